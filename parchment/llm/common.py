@@ -46,3 +46,69 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BROADC
 def fold(column: str = "doc_id", parts: int = 5):
     """crc32 of the id as text, modulo parts; a null id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
+
+
+def with_score(docs: DataFrame, score, name: str, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns keep) with a double column: score(pyarrow column of texts) gives a numpy array.
+
+    The columns that pass are not touched, whatever they are called.
+    """
+    import pyarrow as pa
+
+    keep = keep or docs.columns
+    names = [f"c{i}" for i in range(len(keep))]
+    with_text = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("text").alias("text"))
+    fields = [f for f in with_text.schema.fields if f.name != "text"]
+
+    def run(batches):
+        for b in batches:
+            out = pa.array(score(b.column("text")), pa.float64())
+            b = b.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "score"])
+
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    out = with_text.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("score").alias(name))
+
+
+def some_ids(df: DataFrame, bound: int, seed: int = 1):
+    """At most bound distinct ids of df, chosen by hash: the same whatever the partitions. Sorted numpy array."""
+    import numpy as np
+
+    ids = df.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
+    rows = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound).collect()
+    return np.unique(np.array([r[0] for r in rows], np.int64))
+
+
+def among(ids, column):
+    """Which entries of an Arrow column of ids are in the sorted array ids."""
+    import numpy as np
+
+    got = column.cast("int64").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+    if not len(ids):
+        return np.zeros(len(got), bool)
+    at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)
+    return ids[at] == got
+
+
+def kth_largest(df: DataFrame, column: str, k: int, few: int = 5_000) -> float:
+    """The k-th largest value of a double column, by ever finer histograms; no more than few values are collected."""
+    c = F.col(column)
+    lo, hi = df.agg(F.min(c), F.max(c)).first()
+    bins = 1_000
+    while True:
+        if lo == hi:
+            return lo
+        step = (hi - lo) / bins
+        if step <= 0 or lo + step == lo:
+            return lo
+        inside = df.where(c.between(lo, hi))
+        at = F.least(F.lit(bins - 1), F.floor((c - lo) / step)).cast("int")
+        rows = sorted(inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect(), reverse=True)
+        for _, n, lo, hi in rows:  # noqa: B007
+            if k <= n:
+                break
+            k -= n
+        if n <= few:
+            return sorted((r[0] for r in df.where(c.between(lo, hi)).select(c).collect()), reverse=True)[k - 1]

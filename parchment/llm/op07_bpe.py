@@ -26,7 +26,8 @@ from .textnp import BASE, BYTES, blocks
 
 WINDOW = 16  # bytes that decide on a cut
 MASK = 0x3FF  # one cut in 1024 bytes
-WORDS, CHUNKS = 250_000, 8_000  # kept in a worker
+WORDS, CHUNKS = 400_000, 8_000  # kept in a worker
+MARK = b"\x01"
 COLUMNS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -59,6 +60,12 @@ class Chunked:
         one = self.tok.decode([0], skip_special_tokens=False)
         if self.glue != f"{one} {one}":
             raise ValueError("this tokenizer's decoder doesn't join tokens by spaces")
+        marked = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
+        if len(marked) != 1:
+            raise ValueError("this tokenizer has no single id for the mark")
+        self.mark = marked[0]
+        self.name = [(self.tok.id_to_token(i) or "").encode() for i in range(self.tok.get_vocab_size())]
+        self.digits = [b"%d" % i for i in range(self.tok.get_vocab_size())]
         self.ids: dict[bytes, bytes | None] = {}
         self.tokens: dict[bytes, bytes | None] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
@@ -74,11 +81,20 @@ class Chunked:
             self.ids.clear()
             self.tokens.clear()
             new = words
-        new = list(new)
-        found = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        for w, ids, text in zip(new, found, self.tok.decode_batch(found, skip_special_tokens=False)):
-            self.ids[w] = b" ".join([b"%d" % i for i in ids]) if ids else None
-            self.tokens[w] = text.encode() if ids else None
+        alone = [w for w in new if MARK in w]
+        whole = list(new.difference(alone))
+        # all new words in one string, each followed by a mark that is a piece of its own
+        ids = self.tok.encode_batch_fast([f" {MARK.decode()} ".join([*(w.decode() for w in whole), ""])], add_special_tokens=False)[0].ids
+        found, at = [], 0
+        for w in whole:
+            end = ids.index(self.mark, at)
+            found.append(ids[at:end])
+            at = end + 1
+        found += [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)]
+        name, digits = self.name, self.digits
+        for w, one in zip(whole + alone, found):
+            self.ids[w] = b" ".join([digits[i] for i in one]) if one else None
+            self.tokens[w] = b" ".join([name[i] for i in one]) if one else None
 
     def _words(self, chunk: bytes) -> tuple[bytes, bytes]:
         words = [w for w in chunk.split(b" ") if w]

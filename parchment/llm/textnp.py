@@ -43,6 +43,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: ASCII white space, control characters and punctuation.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
 class Words(NamedTuple):
     doc: np.ndarray  # index of the text
     start: np.ndarray  # byte positions in buf
@@ -76,15 +80,15 @@ def blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, n
         i = j
 
 
-def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
-    """Runs of bytes other than ASCII white space; none spans two texts."""
+def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True, between: np.ndarray = SPACE) -> Words:
+    """Runs of bytes other than those between words (ASCII white space); none spans two texts."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(0, _u))
     if lower:
         buf = LOWER[buf]
-    gap = SPACE[buf]
+    gap = between[buf]
     first = np.zeros(n + 1, bool)
     first[offs] = True
     before = np.empty(n + 1, bool)
@@ -136,3 +140,33 @@ def shingles(w: Words, docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray
     left = np.repeat(firsts + per, per) - np.arange(n)  # words from here to the text's end
     take = (left >= size) | ((np.arange(n) == np.repeat(firsts, per)) & (np.repeat(per, per) < size))
     return w.doc[take], h[take]
+
+
+#: Classes of bytes in a word's shape: small and other letters, capitals, digits; marks stand for themselves.
+SHAPE = np.arange(256, dtype=np.uint8)
+SHAPE[97:123] = SHAPE[128:] = ord("a")
+SHAPE[65:91] = ord("A")
+SHAPE[48:58] = ord("0")
+
+
+def shape_hash(buf: np.ndarray, w: Words) -> np.ndarray:
+    """A hash of each word's shape: its classes of bytes, runs of one class counting once."""
+    if not len(w.doc):
+        return w.hash
+    kind = SHAPE[buf]
+    new = np.ones(len(buf), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[w.start] = True
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[w.start] += 1
+    inside[w.end] -= 1
+    runs = np.flatnonzero(new & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
+    first = np.searchsorted(runs, w.start)
+    place = np.minimum(np.arange(len(runs)) - np.repeat(first, np.diff(np.append(first, len(runs)))), 63)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(BYTES[kind[runs]] * _powers(64)[0][place], first), 5)
+
+
+def per_text(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by text."""
+    return np.bincount(doc, values, n)

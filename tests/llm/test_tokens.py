@@ -12,7 +12,7 @@ from parchment.llm import op07_bpe as op7
 
 ODD = [
     None, "", " ", "\n", "a", "  two  spaces ", "tab\there\r\nand\n\n\nlines ", " nbsp  x", "don't we'll I'M 12345 !!??", "<|endoftext|> in <|startoftext|>text<|endoftext|>",
-    "é ́x Å Å ΑΣ ΣΑΣ", "日本語のテキスト 漢字", "😀😀 a😀b", "x" * 5000, "ab " * 3000, "\x1c\x1d a\x1cb", "un\u0000nul", "ÀÉ" * 700 + "." + "z" * 40, " lead", "trail ", "İstanbul ŞẞSS",
+    "é ́x Å Å ΑΣ ΣΑΣ", "日本語のテキスト 漢字", "😀😀 a😀b", "x" * 5000, "x" * 30000, " " * 30000 + "y", "ab " * 3000, "\x01 a\x01b \x01", "\x1c\x1d a\x1cb", "un\u0000nul", "ÀÉ" * 700 + "." + "z" * 40, " lead", "trail ", "İstanbul ŞẞSS",
 ]
 
 
