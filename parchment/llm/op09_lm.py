@@ -222,7 +222,7 @@ def parts(docs: DataFrame, counts: Counts, logs: np.ndarray) -> DataFrame:
                 per = np.bincount(w.doc, minlength=n)
                 own_columns = [b.column(x).slice(i, n) for x in ("doc_id", "held")]
                 yield pa.RecordBatch.from_arrays(
-                    [*own_columns, pa.array(per + 1), pa.array(per - size), pa.array(score), pa.array(np.bincount(w.doc, freq, n)), pa.array(within), lists],
+                    [*own_columns, pa.array(per + 1), pa.array(per - size), *(pa.array(np.asarray(x, float)) for x in (score, np.bincount(w.doc, freq, n), within)), lists],
                     names=["doc_id", "held", "n_tokens", "known", "classes", "frequent", "within", "rare"],
                 )
 

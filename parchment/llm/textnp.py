@@ -127,7 +127,7 @@ def shingles(w: Words, docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray
     per = np.bincount(w.doc, minlength=docs)
     h = np.zeros(n, _u)
     with np.errstate(over="ignore"):
-        for k in range(size):
+        for k in range(min(size, n)):
             part = np.zeros(n, _u)
             part[: n - k] = w.hash[k:]
             last = np.zeros(n, w.doc.dtype)
