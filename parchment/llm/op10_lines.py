@@ -9,9 +9,9 @@ So a key needs only its earliest line, and no pairs within a key are formed. Lev
 Only lines that can have a partner emit variants: one edit leaves the first or the last half of a line as it
 is, so lines whose halves (cut for both lengths in question) nobody else has are passed over; none is lost.
 
-Defined results: lines are parted by line feeds; blank lines stay; a null text is an empty one and stays; lines
-of repeated rows or equal doc_ids are ordered by doc_id, number and hash, the first stays; a row with a null
-doc_id comes before all others. Case and white space count. Other columns pass.
+Defined results: lines are parted by line feeds; blank lines stay; a null text is an empty one and stays; rows
+equal in doc_id and text are one document, and what stays in one stays in all; rows that differ only in text go
+by line number, then by a hash of the text; a row with a null doc_id comes before all others. Case and white space count. Other columns pass.
 """
 
 from __future__ import annotations
@@ -91,16 +91,10 @@ def near(texts: DataFrame) -> DataFrame:
     return cut(both.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "g").distinct())
 
 
-def decided(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, t, pos, line, kept) of every line of every text."""
-    firsts, gone = first_lines(docs, min_chars)
-    stays = firsts.join(gone, ["h", "g"], "left_anti")
-    return stays
-
-
 def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with an added array<int> column __kept: the numbers of the lines that stay, blank ones aside."""
-    stays = decided(docs, min_chars).select("first.doc_id", "first.t", "first.pos")
+    firsts, gone = first_lines(docs, min_chars)
+    stays = firsts.join(gone, ["h", "g"], "left_anti").select("first.doc_id", "first.t", "first.pos")
     per = cut(stays.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("__kept")))  # of one text's lines
     keyed = docs.select("*", F.xxhash64("text").alias("__t"))
     on = keyed["doc_id"].cast("long").eqNullSafe(per["doc_id"]) & (keyed["__t"] == per["t"])
@@ -113,6 +107,15 @@ def _text(kept):
     return F.array_join(F.filter(line, lambda x, i: _blank(x) | F.coalesce(F.array_contains(kept, i), F.lit(False))), "\n")
 
 
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the lines that stay as text (and n_chars anew); a text of which no line stays goes, one that was blank doesn't."""
+    new = cleaned(docs, min_chars).withColumn("__text", F.when(F.col("text").isNotNull(), _text(F.col("__kept"))))
+    was_blank = ~F.exists(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~_blank(x))
+    new = new.where(F.col("__kept").isNotNull() | was_blank)
+    out = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return new.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = _text(F.col("__kept"))

@@ -2,8 +2,35 @@
 
 from __future__ import annotations
 
-from . import op04_packing, op07_bpe
+from . import op01_resample, op02_digest, op03_toxicity, op04_packing, op05_token_counts, op06_neighbours, op07_bpe, op08_minhash, op09_lm, op10_lines
 
-QUERIES = {f.__name__: f for f in (op04_packing.op4_min_bin_slack, op07_bpe.op7_chunk_reuse_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op01_resample.op1_importance_resampling, op02_digest.op2_canonical_digest, op03_toxicity.op3_nnpu_toxicity, op04_packing.op4_min_bin_slack,
+        op05_token_counts.op5_separator_scan, op06_neighbours.op6_balanced_postings, op07_bpe.op7_chunk_reuse_bpe, op08_minhash.op8_dart_minhash,
+        op09_lm.op9_log_bilinear, op10_lines.op10_deletion_line_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+#: Lines in order; of each distinct line its first place; an earlier line within one edit leaves all but one
+#: character between the common first and last parts.
+LINES = r"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
+           FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)),
+f AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l
+      WHERE trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')) <> '' GROUP BY line),
+k AS (SELECT DISTINCT line, first, n, unnest([left(line, (n // 2)::INT) || 'L', left(line, ((n - 1) // 2)::INT) || 'L',
+      right(line, (n // 2)::INT) || 'R', right(line, ((n - 1) // 2)::INT) || 'R']) AS key FROM f WHERE n >= 16),
+p AS (SELECT DISTINCT a.line AS line, b.line AS other, a.n AS n, b.n AS m FROM k a JOIN k b USING (key) WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
+gone AS (SELECT DISTINCT line FROM p
+         WHERE coalesce(len(list_filter(range(1, least(n, m) + 1), lambda i: left(line, i::INT) = left(other, i::INT))), 0)
+             + coalesce(len(list_filter(range(1, least(n, m) + 1), lambda i: right(line, i::INT) = right(other, i::INT))), 0) >= greatest(n, m) - 1),
+d AS (SELECT l.doc_id, l.pos, l.line, f.line IS NULL OR (f.first = (l.doc_id, l.pos) AND l.line NOT IN (SELECT line FROM gone)) AS kept
+      FROM l LEFT JOIN f ON f.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS clean_sha256
+FROM d GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op10_deletion_line_dedup": LINES}
