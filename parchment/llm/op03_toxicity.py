@@ -23,7 +23,7 @@ from .common import among, fold, some_ids, table, with_score
 from .textnp import BYTES, LOWER, MARKS, blocks, mix, words
 
 BUCKETS = 1 << 20
-MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
+MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
 MAX_FEATURES = 4096
 FOLDS = 5
 
@@ -64,9 +64,9 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(doc: np.ndarray, bucket: np.ndarray, x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights by bucket and bias that lessen the non-negative risk; doc, bucket, x: entries of the sparse matrix."""
-    n = len(positive)
+def train(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights by bucket and bias that lessen the non-negative risk; doc, bucket, n: entries of the sparse matrix and how often."""
+    rows = len(positive)
     seen_p = np.bincount(bucket[positive[doc]], minlength=BUCKETS) / max(1, positive.sum())
     seen_u = np.bincount(bucket[unlabelled[doc]], minlength=BUCKETS) / max(1, unlabelled.sum())
     mean = (seen_p + seen_u) / 2
@@ -77,14 +77,14 @@ def train(doc: np.ndarray, bucket: np.ndarray, x: np.ndarray, positive: np.ndarr
     place[chosen] = np.arange(len(chosen))
     col = place[bucket]
     use = col >= 0
-    row, col, x = doc[use], col[use], x[use]
+    row, col, x = doc[use], col[use], value(n[use].astype(np.int64))
     w, b = np.zeros(len(chosen) + 1), np.log(prior / (1 - prior))
     w[-1] = b
     m, v = np.zeros_like(w), np.zeros_like(w)
     p, u = positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
     sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
     for t in range(1, rounds + 1):
-        f = np.bincount(row, w[col] * x, n) + w[-1]
+        f = np.bincount(row, w[col] * x, rows) + w[-1]
         s = sig(f)
         clean = (u * np.logaddexp(0, f)).sum() - prior * (p * np.logaddexp(0, f)).sum()
         # d/df of: prior * loss+ on positives, and the part that must stay above zero
@@ -123,12 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     if not got.num_rows:
         return Toxicity(np.zeros(BUCKETS), -745.0)
     lists, n = got.column("bucket").combine_chunks(), got.column("n").combine_chunks()
-    doc = np.repeat(np.arange(got.num_rows), lists.value_lengths().to_numpy())
+    doc = np.repeat(np.arange(got.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
     flat = lists.flatten().to_numpy()
     positive, unlabelled = (got.column(c).to_numpy() for c in ("p", "u"))
     if not positive.any() or not unlabelled.any():
         return Toxicity(np.zeros(BUCKETS), -745.0)
-    return Toxicity(*train(doc, flat, value(n.flatten().to_numpy().astype(np.int64)), positive, unlabelled, prior))
+    return Toxicity(*train(doc, flat, n.flatten().to_numpy(), positive, unlabelled, prior))
 
 
 def scored(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "__toxic") -> DataFrame:

@@ -6,8 +6,9 @@ one character deleted is emitted as a hashed key; lines within one edit share su
 deletion for a replaced character, otherwise with the longer line's variant equal to the shorter line itself.
 So a key needs only its earliest line, and no pairs within a key are formed. Levenshtein distance verifies.
 
-Only lines that can have a partner emit variants: one edit leaves the first or the last half of a line as it
-is, so lines whose halves (cut for both lengths in question) nobody else has are passed over; none is lost.
+Only lines that can have a partner emit variants: one edit changes the length by one at most and leaves either
+the first or the last `EDGE` characters as they are (the first or last half of a short line), so lines whose
+edges no other line of about that length has are passed over; none is lost.
 
 Defined results: lines are parted by line feeds; blank lines stay; a null text is an empty one and stays; rows
 equal in doc_id and text are one document, and what stays in one stays in all; rows that differ only in text go
@@ -19,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, table
+from .common import BROADCAST_KEYS, cut, stored, table
 
 MIN_CHARS = 16
+EDGE = 24  # characters; of lines shorter than twice that, MIN_CHARS / 2
 
 
 def _hash(c):
@@ -37,60 +39,69 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _blank(c):
-    return F.trim(F.translate(c, "\t\r\f\v", "    ")) == ""
+    return F.ltrim(c, F.lit(" \t\r\f\v")) == ""
 
 
-def _halves(line, n):
-    """Keys of the first and last halves, for this length and the next ones; equal halves give equal keys."""
-    half = lambda m, left: F.xxhash64(F.lit(left), m, F.left(line, m) if left else F.right(line, m))
-    a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(half(a, True), half(b, True), half(a, False), half(b, False)))
-
-
-def _semi(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+def _edges(line, n, min_chars: int):
+    """Keys of both edges, for the line's own length and the one below; longer lines by one share a key."""
+    edge = lambda m: F.when(m >= 2 * EDGE + 2, EDGE).otherwise(min_chars // 2)
+    key = lambda m, left: F.xxhash64(F.lit(left), m, F.left(line, edge(m)) if left else F.right(line, edge(m)))
+    return F.array(*[key(m, left) for m in (n, n - 1) for left in (True, False)])
 
 
 def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(firsts, gone): each distinct line that isn't blank with its first place, and the hashes of those that go even there."""
     lines = lines_of(docs).where(~_blank(F.col("line")))
-    place = F.struct("doc_id", "pos", "t")
-    n = F.length("line")
-    firsts = cut(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first(F.when(n >= min_chars, _halves(F.col("line"), n))).alias("keys")))
-    keyed = firsts.where(F.col("keys").isNotNull()).select("h", "g", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    able = cut(_semi(keyed, shared, ["key"]).select("h", "g").distinct())
-    small = able.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = lines.select("h", "g", "line").join(F.broadcast(able) if small else able, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
-    texts = cut(texts.join(firsts.select("h", "g", "first"), ["h", "g"]).withColumn("n", F.length("line")))
-    return firsts.select("h", "g", "first"), near(texts)
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "t")).alias("first"))
+    long_ = lines.select("h", "g", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
+    long_ = long_.withColumn("keys", _edges(F.col("line"), F.col("n"), min_chars))
+    keyed = long_.select("h", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"))
+    if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        able = cut(keyed.join(F.broadcast(shared), "key", "left_semi").select("h").distinct())
+        able = F.broadcast(able) if able.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else able
+    else:
+        able = keyed.join(shared, "key", "left_semi").select("h").distinct()
+    texts = long_.select("h", "g", "line").join(able, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    firsts = stored(firsts)
+    texts = cut(texts.join(firsts, ["h", "g"]).withColumn("n", F.length("line")))
+    return firsts, near(texts)
 
 
 def near(texts: DataFrame) -> DataFrame:
     """(h, g) of those lines in texts(h, g, first, line, n) that have an earlier one within one edit."""
-    chars = texts.select("h", "g", "first", "n", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("i", "char"))
-    chars = chars.withColumns({"here": F.xxhash64("char", "i"), "moved": F.xxhash64("char", F.col("i") - 1)})
-    line = Window.partitionBy("h", "g").orderBy("i")
+    # lines are numbered by h here; two lines of one h are told apart when the distance is verified
+    chars = texts.repartition("h").select("h", "n", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("i", "char"))
+    chars = chars.select("h", "n", "i", F.xxhash64("char", "i").alias("here"), F.xxhash64("char", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("h").orderBy("i")
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     upto = F.bit_xor("moved").over(line.rowsBetween(Window.unboundedPreceding, 0))
     # the tail after i is the whole, less what lies up to i
-    run = chars.withColumns({"before": before, "upto": upto})
-    total = chars.groupBy("h", "g").agg(F.bit_xor("here").alias("own"), F.bit_xor("moved").alias("all"))
-    variants = run.join(total, ["h", "g"]).select("h", "g", "first", (F.col("n") - 1).alias("m"), "i", F.col("before").bitwiseXOR(F.col("all")).bitwiseXOR(F.col("upto")).alias("key"))
-    # equal but for the character at one place: the earliest that shares the key and the place
-    group = variants.groupBy("key", "m", "i").agg(F.min("first").alias("least"), F.count("*").alias("k")).where("k > 1")
-    swapped = variants.join(group.select("key", "m", "i", "least"), ["key", "m", "i"]).where("least < first").select("h", "g", "least").distinct()
+    rows = chars.select("h", "n", "i", F.bit_xor("here").over(whole).alias("own"), before.bitwiseXOR(F.bit_xor("moved").over(whole)).bitwiseXOR(upto).alias("key"))
+    rows = stored(rows)
+    place = texts.select("h", "first")
+    # equal but for the character at one place: all who share the key and the place, and the earliest of them
+    group = cut(rows.groupBy("key", "n", "i").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key", "n", "i"))
+    alike = cut(rows.join(_sized(group), ["key", "n", "i"]).select("key", "n", "i", "h").join(_sized(place), "h"))
+    least = alike.groupBy("key", "n", "i").agg(F.min("first").alias("least"))
+    swapped = alike.join(least, ["key", "n", "i"]).where("least < first").select("h", "least")
     # one line is another's variant
-    whole = total.join(texts.select("h", "g", "first", "n"), ["h", "g"]).select(F.col("h").alias("wh"), F.col("g").alias("wg"), F.col("first").alias("wf"), F.col("n").alias("m"), F.col("own").alias("key"))
-    met = variants.select("h", "g", "first", "m", "key").join(whole, ["key", "m"])
-    longer = met.where("wf < first").select("h", "g", F.col("wf").alias("least")).distinct()
-    shorter = met.where("first < wf").groupBy(F.col("wh").alias("h"), F.col("wg").alias("g")).agg(F.min("first").alias("least"))
+    own = rows.where("i = 0").select(F.col("h").alias("wh"), (F.col("n") + 1).alias("n"), F.col("own").alias("key"))
+    met = cut(rows.select("h", "n", "key").join(_sized(own), ["key", "n"]).select("h", "wh").distinct())
+    met = met.join(_sized(place), "h").join(_sized(place.select(F.col("h").alias("wh"), F.col("first").alias("wf"))), "wh")
+    longer = met.where("wf < first").select("h", F.col("wf").alias("least"))
+    shorter = met.where("first < wf").groupBy(F.col("wh").alias("h")).agg(F.min("first").alias("least"))
     pairs = swapped.union(longer).union(shorter).distinct()
-    both = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(texts.select(F.col("first").alias("least"), F.col("line").alias("other")), "least")
+    both = pairs.join(texts.select("h", "g", "line"), "h").join(texts.select(F.col("first").alias("least"), F.col("line").alias("other")), "least")
     return cut(both.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "g").distinct())
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """df, broadcast if a count shows it small."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS // 4 + 1).count() <= BROADCAST_KEYS // 4 else df
+
+
 def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with an added array<int> column __kept: the numbers of the lines that stay, blank ones aside."""
     firsts, gone = first_lines(docs, min_chars)
