@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session held to 1,000 rows where nobody has set another size: texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder: lost executors lose nothing."""
     spark = df.sparkSession
@@ -68,7 +76,7 @@ def with_score(docs: DataFrame, score, name: str, keep: list[str] | None = None)
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    out = with_text.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    out = small_batches(with_text).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("score").alias(name))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, cut, kth_largest, some_ids, table, with_score
+from .common import among, small_batches, cut, kth_largest, some_ids, table, with_score
 from .textnp import BASE, blocks, mix, per_text, shape_hash, words
 
 BUCKETS = 1 << 16
@@ -62,7 +62,7 @@ def counts(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         at = np.flatnonzero(r)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at]), pa.array(r[at])], names=["bucket", "target", "raw"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, target long, raw long")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, target long, raw long")
     got = rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()  # at most BUCKETS rows
     t, r = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for x in got:

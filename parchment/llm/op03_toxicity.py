@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, fold, some_ids, table, with_score
+from .common import among, small_batches, fold, some_ids, table, with_score
 from .textnp import BYTES, LOWER, MARKS, blocks, mix, words
 
 BUCKETS = 1 << 20
@@ -58,7 +58,7 @@ class Toxicity:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        for i, j, buf, offs in blocks(column, 2 << 20):
+        for i, j, buf, offs in blocks(column):
             doc, bucket, n = features(buf, offs)
             out[i:j] += np.bincount(doc, self.weights[bucket] * value(n), j - i)
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
@@ -113,13 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             take = np.flatnonzero(is_p | is_u)
             if len(take):
                 texts = b.column("text").take(pa.array(take))
-                for i, j, buf, offs in blocks(texts, 2 << 20):
+                for i, j, buf, offs in blocks(texts):
                     doc, bucket, n = features(buf, offs)
                     size = np.bincount(doc, minlength=j - i)
                     lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(a, t))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([pa.array(is_p[take[i:j]]), pa.array(is_u[take[i:j]]), lists(bucket, pa.int32()), lists(np.minimum(n, 7), pa.int8())], names=["p", "u", "bucket", "n"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "p boolean, u boolean, bucket array<int>, n array<tinyint>").toArrow()
+    got = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "p boolean, u boolean, bucket array<int>, n array<tinyint>").toArrow()
     if not got.num_rows:
         return Toxicity(np.zeros(BUCKETS), -745.0)
     lists, n = got.column("bucket").combine_chunks(), got.column("n").combine_chunks()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, small_batches, shared_dir, table
 from .op04_packing import tokenizer_path
 
 BLOCK = 8 << 20
@@ -52,7 +52,7 @@ def token_files(docs: DataFrame, path: str, end: int) -> DataFrame:
                 n += k
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([at])], names=["file", "ordinal", "doc_id", "bytes"])
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file string, ordinal long, doc_id long, bytes long"))
+    return cut(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file string, ordinal long, doc_id long, bytes long"))
 
 
 _held: dict = {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .op04_packing import _encoder, tokenizer_path
 from .textnp import BASE, BYTES, blocks
 
@@ -153,12 +153,12 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
         enc = _encoder(Chunked, path)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for i, j, buf, offs in blocks(batch.column("text"), 1 << 20):
+            for i, j, buf, offs in blocks(batch.column("text")):
                 cols = list(zip(*[row(*x) for x in enc.texts(buf, offs)]))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     named = schema.replace("ids_sha256", "ids").replace("decoded_sha256", "decoded")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, named)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, named)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

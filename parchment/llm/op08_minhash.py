@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, stored, table
+from .common import BROADCAST_KEYS, cut, small_batches, stored, table
 from .textnp import Words, blocks, mix, shingles, words
 
 BANDS, ROWS = 40, 7
@@ -114,7 +114,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
 
     def run(batches):
         for batch in batches:
-            for i, j, buf, offs in blocks(batch.column("text"), 1 << 20):
+            for i, j, buf, offs in blocks(batch.column("text")):
                 w = words(buf, offs)
                 a, b, has = digest(w, j - i)
                 doc, h = elements(w, j - i, size)
@@ -122,7 +122,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "t")), pa.array(a, mask=~has), pa.array(b, mask=~has), lists], names=["doc_id", "t", "a", "b", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, a long, b long, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, a long, b long, keys array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
@@ -140,7 +140,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_KEYS) -> Da
                 at = pa.array(np.flatnonzero(take))
                 yield pa.RecordBatch.from_arrays([pa.array(a).take(at), batch.column("text").slice(i, j - i).take(at)], names=["id", "text"])
 
-    rows = docs.select("text").mapInArrow(run, "id long, text string")
+    rows = small_batches(docs).select("text").mapInArrow(run, "id long, text string")
     if not few:
         rows = rows.join(ids, "id", "left_semi")
     return rows.groupBy("id").agg(F.first("text").alias("text"))

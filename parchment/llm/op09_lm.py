@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, table
+from .common import fold, small_batches, stored, table
 from .textnp import Words, blocks, mix, words
 
 TOP, ENDINGS = 382, 256  # words that are classes, and classes of endings
@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    rows = docs.where(fold("doc_id", FOLDS) != HELD).select("text").mapInArrow(run, "h long, s int, c long")
+    rows = small_batches(docs).where(fold("doc_id", FOLDS) != HELD).select("text").mapInArrow(run, "h long, s int, c long")
     return rows.groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
 
 
@@ -154,7 +154,7 @@ def pair_counts(docs: DataFrame, counts: Counts) -> np.ndarray:
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], names=["pair", "n"])
 
-    rows = docs.where(fold("doc_id", FOLDS) != HELD).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES^2 rows
+    rows = small_batches(docs).where(fold("doc_id", FOLDS) != HELD).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES^2 rows
     out = np.zeros(CLASSES * CLASSES)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(CLASSES, CLASSES)
@@ -226,7 +226,7 @@ def parts(docs: DataFrame, counts: Counts, logs: np.ndarray) -> DataFrame:
                     names=["doc_id", "held", "n_tokens", "known", "classes", "frequent", "within", "rare"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == HELD).alias("held"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == HELD).alias("held"), "text")
     return rows.mapInArrow(run, PARTS.removeprefix("row long, "))
 
 

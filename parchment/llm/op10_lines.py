@@ -8,7 +8,8 @@ So a key needs only its earliest line, and no pairs within a key are formed. Lev
 
 Only lines that can have a partner emit variants: one edit changes the length by one at most and leaves either
 the first or the last `EDGE` characters as they are (the first or last half of a short line), so lines whose
-edges no other line of about that length has are passed over; none is lost.
+edges no other line of about that length has are passed over. What is left is filtered again in the same way
+by all but one of `SEGMENTS` segments of a line, as one edit leaves all but one alone. No pair is lost by either.
 
 Defined results: lines are parted by line feeds; blank lines stay; a null text is an empty one and stays; rows
 equal in doc_id and text are one document, and what stays in one stays in all; rows that differ only in text go
@@ -24,6 +25,7 @@ from .common import BROADCAST_KEYS, cut, stored, table
 
 MIN_CHARS = 16
 EDGE = 24  # characters; of lines shorter than twice that, MIN_CHARS / 2
+SEGMENTS = 16
 
 
 def _hash(c):
@@ -49,6 +51,18 @@ def _edges(line, n, min_chars: int):
     return F.array(*[key(m, left) for m in (n, n - 1) for left in (True, False)])
 
 
+def _segments(line, n):
+    """Keys of the line without one of its segments, for its own length and the one below."""
+    key = lambda m, i: F.xxhash64(F.lit(i), m, F.left(line, F.floor(m * i / SEGMENTS).cast("int")), F.right(line, (m - F.floor(m * (i + 1) / SEGMENTS)).cast("int")))
+    return F.array(*[key(m, i) for m in (n, n - 1) for i in range(SEGMENTS)])
+
+
+def _partnered(keyed: DataFrame) -> DataFrame:
+    """(h): those in keyed(h, key) with a key that another h has."""
+    shared = _sized(cut(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key")))
+    return _sized(cut(keyed.join(shared, "key", "left_semi").select("h").distinct()))
+
+
 def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(firsts, gone): each distinct line that isn't blank with its first place, and the hashes of those that go even there."""
     lines = lines_of(docs).where(~_blank(F.col("line")))
@@ -56,15 +70,12 @@ def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
     long_ = lines.select("h", "g", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
     long_ = long_.withColumn("keys", _edges(F.col("line"), F.col("n"), min_chars))
     keyed = long_.select("h", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"))
-    if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        able = cut(keyed.join(F.broadcast(shared), "key", "left_semi").select("h").distinct())
-        able = F.broadcast(able) if able.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else able
-    else:
-        able = keyed.join(shared, "key", "left_semi").select("h").distinct()
+    able = _partnered(keyed)
     texts = long_.select("h", "g", "line").join(able, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts = cut(texts.withColumn("n", F.length("line")))
+    able = _partnered(texts.select("h", F.explode(_segments(F.col("line"), F.col("n"))).alias("key")))
     firsts = stored(firsts)
-    texts = cut(texts.join(firsts, ["h", "g"]).withColumn("n", F.length("line")))
+    texts = cut(texts.join(able, "h", "left_semi").join(firsts, ["h", "g"]))
     return firsts, near(texts)
 
 
