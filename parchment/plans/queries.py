@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cleaning, evaluation, retrieval, scoring
+from ..operators import clauses, cleaning, evaluation, retrieval, scoring, sections
 from ..operators.cleaning import first_of
 
 QUERIES: dict = {}
@@ -280,3 +280,61 @@ def dense_search(spark, d):
     s = s.select("query_id", "vec_id", "score", F.lit("").alias("category"), F.lit(False).alias("asks_meaning"), F.col("label"), "ql")
     s = s.withColumns({"category": F.col("label").cast("string"), "wanted": F.array(F.col("ql").cast("string"))})
     return retrieval.top_k(retrieval.adjusted(s), "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- clauses of policies written from customers
+def policy_pages(spark, d) -> DataFrame:
+    """(doc_id, page, text): a policy of four pages for each customer, its terms drawn from the key and the balance."""
+    k = F.col("c_custkey")
+    mod = lambda n: F.pmod(k, F.lit(n))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rupees = lambda n: F.format_number(n, 0)
+    premium = F.floor(F.abs(F.col("c_acctbal")) * 10).cast("long") + 1800
+    codes = F.transform(F.slice(F.sequence(F.lit(4), F.lit(13)), F.lit(1), mod(10).cast("int")), lambda i: F.format_string("E.%d Treatment of kind %d - Code Excl%02d\nSuch expenses are excluded.", i - 3, i, i))
+    head = say("Harbour Light Health Insurance Company Limited | Policy of ", F.col("c_name"), "\n")
+    one = say(
+        head, "HARBOUR LIGHT HEALTH INSURANCE COMPANY LIMITED\nHarbour Care Plan ", k, " - Policy Wording\nUIN: HARHLIP", F.lpad(mod(100_000).cast("string"), 5, "0"), "V012122\nPREAMBLE\nThis policy is a contract of insurance.\nPOLICY SCHEDULE\n",
+        F.when(mod(7) != 0, say("Sum Insured: Rs. ", rupees((mod(50) + 1) * 100_000), " on family floater basis. ")).otherwise("As the certificate says. "),
+        "Annual premium: Rs. ", rupees(premium), " with taxes. Policy period: ", mod(3) + 1, " years.\nSECTION A - DEFINITIONS\nA.1 Room Rent means the amount charged by a hospital.\nSECTION B - COVERAGE\n1.1 In-patient Hospitalisation\nIn-patient care is payable.\n1.2 Room Rent\n",
+        F.when(mod(2) == 0, "There is no capping on room rent. ").otherwise("Room rent is payable up to 1% of the Sum Insured. "), "\n1.3 Intensive Care\n", F.when(mod(3) == 0, "ICU charges are payable at actuals.\n").otherwise("ICU expenses are payable up to Rs. 10,000 per day.\n"),
+        "1.4 Pre-hospitalisation Expenses\nExpenses of the ", (mod(4) + 1) * 15, " days before admission are covered.\n1.5 Restoration of Sum Insured\n", F.when(mod(5) < 2, "Restoration benefit is not available.\n").otherwise("The Sum Insured is restored once a year.\n"),
+        F.when(mod(6) < 3, "").otherwise("1.6 Maternity\nMaternity expenses are covered up to Rs. 50,000.\n"), "Page 1",
+    )
+    two = say(
+        head, "SECTION C - CO-PAYMENT AND SUB-LIMITS\n2.1 Co-payment\n", F.when(mod(4) == 0, "There is no co-payment under this policy.\n").otherwise(say("Each claim is subject to a co-payment of ", mod(4) * 5, "% of the amount.\n")),
+        "2.2 Sub-limits\nCataract surgery is limited to Rs. 40,000 per eye. ", F.when(mod(3) == 1, "Knee replacement is limited to Rs. 1,50,000. ").otherwise(""), "\nSECTION D - WAITING PERIODS\nD.1 Pre-Existing Diseases - Code Excl01\nTreatment shall be excluded until the expiry of ",
+        F.when(mod(5) == 0, "24/36 months").otherwise(say((mod(4) + 1) * 12, " months")), " of continuous coverage.\nD.2 Specified Diseases - Code Excl02\nListed conditions shall be excluded until the expiry of ", F.when(mod(3) == 0, "2 years").otherwise("12 months"),
+        " of continuous coverage.\nD.3 Initial Waiting Period - Code Excl03\nIllness within 30 days of the start is excluded.\nPage 2",
+    )
+    three = say(head, "SECTION E - EXCLUSIONS\n", F.array_join(codes, "\n"), "\n", F.when(mod(6) < 3, "E.19 Childbirth\nMaternity expenses are excluded.\n").otherwise(""), "Page 3")
+    four = say(
+        head, "SECTION F - CLAIM PROCEDURE\nF.1 Cashless Claims\nCashless care needs notice within ", (mod(3) + 1) * 24, " hours of admission.\nF.2 Settlement of Claims\nThe Company shall settle a claim within ", (mod(2) + 1) * 15, " days of the last document.\n",
+        "Payment is at the sole discretion of the Company.\nSECTION G - RENEWAL\nG.1 Renewal\nThe policy is ordinarily renewable for life.\nG.2 Grace Period\nA grace period of ", (mod(2) + 1) * 15, " days is allowed.\nPage 4",
+    )
+    pages = F.posexplode(F.array(one, two, three, four)).alias("page", "text")
+    return _t(spark, d, "customer").select(k.alias("doc_id"), pages).withColumn("page", F.col("page") + 1)
+
+
+def _extracted(pages: DataFrame) -> DataFrame:
+    clean = cleaning.clean_pages(pages)
+    lines = sections.sectioned(sections.page_lines(clean))
+    return clauses.extract(clean, lines, sections.sentences(lines), pages)
+
+
+_CLAUSES_SQL = """
+SELECT c_custkey AS doc_id, 'Harbour Light Health Insurance Company Limited' AS insurer_name, 'HARHLIP' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') || 'V012122' AS uin, 'Harbour Care Plan ' || c_custkey AS policy_name,
+ CASE WHEN c_custkey % 7 <> 0 THEN 'Family Floater' ELSE 'Individual Health' END AS policy_type, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 50 + 1) * 100000 END AS sum_insured,
+ floor(abs(c_acctbal) * 10)::BIGINT + 1800 AS annual_premium, (c_custkey % 3 + 1)::DOUBLE AS policy_term_years, ((c_custkey % 4 + 1) * 15)::INT AS pre_hospitalization_days, c_custkey % 2 <> 0 AS room_rent_limit_present, c_custkey % 3 <> 0 AS icu_limit_present,
+ c_custkey % 5 >= 2 AS restoration_benefit, c_custkey % 6 >= 3 AS maternity_covered, (c_custkey % 4 * 5)::DOUBLE AS copayment_percentage, CASE WHEN c_custkey % 3 = 1 THEN 2 ELSE 1 END::INT AS n_sub_limits,
+ CASE WHEN c_custkey % 5 = 0 THEN 36 ELSE (c_custkey % 4 + 1) * 12 END::INT AS ped_waiting_period_months, CASE WHEN c_custkey % 3 = 0 THEN 24 ELSE 12 END::INT AS specific_disease_waiting_period_months, 30::INT AS initial_waiting_period_days,
+ 'within ' || (c_custkey % 3 + 1) * 24 || ' hours of admission' AS claim_intimation_timeline, 'within ' || (c_custkey % 2 + 1) * 15 || ' days' AS claim_settlement_timeline, true AS cashless_available, ((c_custkey % 2 + 1) * 15)::INT AS grace_period_days,
+ CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END::INT AS n_ambiguous, 2::INT AS ped_page FROM customer"""
+
+
+@query(_CLAUSES_SQL)
+def clause_extraction(spark, d):
+    """Sections, sentences and typed clauses of whole policies; the SQL states the terms that were written."""
+    got = _extracted(policy_pages(spark, d))
+    same = ["doc_id", "insurer_name", "uin", "policy_name", "policy_type", "sum_insured", "annual_premium", "policy_term_years", "pre_hospitalization_days", "room_rent_limit_present", "icu_limit_present", "restoration_benefit", "maternity_covered", "copayment_percentage",
+            "ped_waiting_period_months", "specific_disease_waiting_period_months", "initial_waiting_period_days", "claim_intimation_timeline", "claim_settlement_timeline", "cashless_available", "grace_period_days"]
+    return got.select(*same, F.size("disease_sub_limits").alias("n_sub_limits"), F.size("ambiguous_clauses").alias("n_ambiguous"), F.col("evidence")["ped_waiting_period_months"]["page"].alias("ped_page"))
