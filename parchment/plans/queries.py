@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clauses, cleaning, evaluation, retrieval, scoring, sections
+from ..operators import clauses, cleaning, comparison, evaluation, retrieval, scoring, sections, validation
 from ..operators.cleaning import first_of
 
 QUERIES: dict = {}
@@ -338,3 +338,81 @@ def clause_extraction(spark, d):
     same = ["doc_id", "insurer_name", "uin", "policy_name", "policy_type", "sum_insured", "annual_premium", "policy_term_years", "pre_hospitalization_days", "room_rent_limit_present", "icu_limit_present", "restoration_benefit", "maternity_covered", "copayment_percentage",
             "ped_waiting_period_months", "specific_disease_waiting_period_months", "initial_waiting_period_days", "claim_intimation_timeline", "claim_settlement_timeline", "cashless_available", "grace_period_days"]
     return got.select(*same, F.size("disease_sub_limits").alias("n_sub_limits"), F.size("ambiguous_clauses").alias("n_ambiguous"), F.col("evidence")["ped_waiting_period_months"]["page"].alias("ped_page"))
+
+
+# ---------------------------------------------------------------- comparison and validation
+def _comparable(spark, d) -> DataFrame:
+    """Policies with extraction x, features f, what was given, and the score."""
+    own = _policies(spark, d)
+    f = scoring.scored(scoring.featured(own)).select("policy_id", F.struct("sum_insured", "annual_premium", "disease_sub_limit_count", "claim_process_clarity_score").alias("f"), "score")
+    k = F.col("policy_id")
+    flag = lambda c: F.when(F.pmod(k, F.lit(17)) != 0, F.col(c) == 1)
+    days = lambda n: F.pmod(k, F.lit(n)) * 15
+    x = own.select("policy_id", F.struct(
+        F.col("pre_existing_disease_waiting_period_months").alias("ped_waiting_period_months"), F.col("waiting_period_months").alias("specific_disease_waiting_period_months"), days(3).alias("initial_waiting_period_days"),
+        "copayment_percentage", flag("room_rent_limit_present").alias("room_rent_limit_present"), flag("icu_limit_present").alias("icu_limit_present"), "exclusion_count", flag("restoration_benefit_present").alias("restoration_benefit"),
+        flag("no_claim_bonus_present").alias("no_claim_bonus"), days(5).alias("pre_hospitalization_days"), days(7).alias("post_hospitalization_days"), (k % 3 == 0).alias("day_care_covered"), (k % 4 == 0).alias("ayush_covered"),
+        flag("maternity_coverage_present").alias("maternity_covered"), (k % 5 == 0).alias("newborn_covered"), flag("child_coverage_present").alias("child_coverage"),
+    ).alias("x"), F.struct("sum_insured", "annual_premium").alias("given"))
+    return x.join(f, "policy_id")
+
+
+def _pairs(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    profile = F.struct((k % 90).cast("int").alias("age"), (k % 3 == 1).alias("planning_child"), (k % 4 == 2).alias("has_ped")).alias("profile")
+    return _t(spark, d, "customer").where(k % 2 == 1).select(k.alias("pair_id"), k.alias("current"), (k + 1).alias("proposed"), profile)
+
+
+_FLAG = lambda c: f"CASE WHEN policy_id % 17 <> 0 THEN {c}::DOUBLE END"
+_VALUES = [  # (value, known) of each aspect in SQL over p5 with what was given as g
+    ("p.sum_insured", "g.sum_insured IS NOT NULL"), ("p.annual_premium", "coalesce(g.annual_premium, 0) <> 0"), ("g.pre_existing_disease_waiting_period_months", ""), ("g.waiting_period_months", ""), ("p.policy_id % 3 * 15", ""), ("g.copayment_percentage", ""),
+    (_FLAG("g.room_rent_limit_present"), ""), (_FLAG("g.icu_limit_present"), ""), ("p.disease_sub_limit_count", "true"), ("g.exclusion_count", ""), (_FLAG("g.restoration_benefit_present"), ""), (_FLAG("g.no_claim_bonus_present"), ""),
+    ("p.policy_id % 5 * 15", ""), ("p.policy_id % 7 * 15", ""), ("(p.policy_id % 3 = 0)", ""), ("(p.policy_id % 4 = 0)", ""), (_FLAG("g.maternity_coverage_present"), ""), ("(p.policy_id % 5 = 0)", ""), (_FLAG("g.child_coverage_present"), ""),
+    ("p.claim_process_clarity_score", "true"), ("round_even(p.raw_score, 0)", "true"),
+]
+_VALUES = [(v.replace("policy_id", "p.policy_id").replace("p.p.", "p."), k) for v, k in _VALUES]
+_ASPECT_SQL = _POLICIES_SQL + ",\na AS (" + " UNION ALL ".join(
+    f"SELECT p.policy_id AS policy_id, {i} AS ord, ({v})::DOUBLE AS v, {k or f'({v}) IS NOT NULL'} AS known, {i in (6, 7, 10, 11, 14, 15, 16, 17, 18)} AS flag, {i in (0, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20) and i != 8} AS up FROM p5 p JOIN p0 g ON g.policy_id = p.policy_id"
+    for i, (v, k) in enumerate(_VALUES)
+) + """),
+t AS (SELECT *, CASE WHEN NOT known THEN CASE WHEN ord < 2 THEN 'Not provided' ELSE 'Not found' END WHEN flag THEN CASE WHEN v <> 0 THEN 'Yes' ELSE 'No' END
+ WHEN v = floor(v) AND v >= 10000 AND ord < 20 THEN format('{:,}', v::BIGINT) WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS text FROM a),
+c AS (SELECT x.policy_id AS pair_id, x.ord AS ord, x.text AS "current", y.text AS proposed, CASE WHEN NOT (x.known AND y.known) THEN 'Unclear' WHEN x.v = y.v THEN 'Same' WHEN x.ord = 1 THEN CASE WHEN y.v > x.v THEN 'Higher cost' ELSE 'Lower cost' END
+ WHEN (y.v > x.v) = x.up THEN 'Improved' ELSE 'Worse' END AS change FROM t x JOIN t y ON y.policy_id = x.policy_id + 1 AND y.ord = x.ord WHERE x.policy_id % 2 = 1)"""
+
+
+@query(f'WITH {_ASPECT_SQL} SELECT pair_id, ord, "current", proposed, change FROM c')
+def policy_comparison(spark, d):
+    """Aspects of pairs of policies with verdicts, as shown."""
+    return comparison.compared(_pairs(spark, d), _comparable(spark, d)).drop("aspect")
+
+
+@query(f"WITH {_ASPECT_SQL} SELECT pair_id, count(*) FILTER (change = 'Improved') AS n_improved, count(*) FILTER (change = 'Worse') AS n_worse, count(*) FILTER (change = 'Unclear') AS n_unclear FROM c GROUP BY pair_id")
+def comparison_summary(spark, d):
+    """Aspects that improve, become worse, or stay unclear."""
+    rows = comparison.summary(comparison.compared(_pairs(spark, d), _comparable(spark, d)))
+    return rows.select("pair_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("improved", "worse", "unclear")])
+
+
+@query(f"""WITH {_POLICIES_SQL} SELECT x.policy_id AS pair_id, CASE WHEN coalesce(gx.annual_premium, 0) <> 0 AND coalesce(gy.annual_premium, 0) <> 0 THEN round_even((y.annual_premium - x.annual_premium) * 100.0::DOUBLE / x.annual_premium, 1) END AS premium_change_pct,
+ 3 + (coalesce(coalesce(gx.pre_existing_disease_waiting_period_months, 0) < gy.pre_existing_disease_waiting_period_months, false))::INT + (y.sum_insured > x.sum_insured)::INT AS n_risks,
+ (x.policy_id % 90 >= 55 AND coalesce(gy.copayment_percentage, 0) > 0)::INT + (x.policy_id % 3 = 1 AND NOT (y.policy_id % 17 <> 0 AND gy.maternity_coverage_present = 1))::INT + (x.policy_id % 4 = 2)::INT AS n_cautions
+ FROM p5 x JOIN p5 y ON y.policy_id = x.policy_id + 1 JOIN p0 gx ON gx.policy_id = x.policy_id JOIN p0 gy ON gy.policy_id = y.policy_id WHERE x.policy_id % 2 = 1""")
+def switching_outlook(spark, d):
+    """The premium's change, risks of a switch, cautions for a profile."""
+    rows = comparison.outlook(_pairs(spark, d), _comparable(spark, d))
+    return rows.select("pair_id", "premium_change_pct", F.size("switching_risks").alias("n_risks"), F.size("cautions").alias("n_cautions"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS doc_id, p_size * 3 AS ours, CASE p_partkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN p_size || ' months' WHEN 2 THEN (p_size % 9) || ' years' WHEN 3 THEN 'about ' || p_size * 3 WHEN 4 THEN NULL ELSE 'none' END AS said FROM part),
+n AS (SELECT *, CASE doc_id % 6 WHEN 1 THEN ours // 3 WHEN 2 THEN ours // 3 % 9 * 12 WHEN 3 THEN ours END AS theirs FROM r)
+SELECT doc_id, CASE WHEN ours > 96 THEN NULL ELSE ours::VARCHAR END AS value, (ours > 96 OR (theirs IS NOT NULL AND theirs <> ours))::INT AS has_note FROM n""")
+def merged_values(spark, d):
+    """Another reader's values typed, the rules' kept where they stand, ranges checked."""
+    p = _t(spark, d, "part")
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    said = F.when(k % 6 == 0, "N/A").when(k % 6 == 1, F.concat(n, F.lit(" months"))).when(k % 6 == 2, F.concat((F.col("p_size") % 9).cast("string"), F.lit(" years"))).when(k % 6 == 3, F.concat(F.lit("about "), (F.col("p_size") * 3).cast("string"))).when(k % 6 == 5, "none")
+    rules = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), (F.col("p_size") * 3).cast("string").alias("value"))
+    other = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), said.alias("value"))
+    return validation.merged(rules, other).select("doc_id", "value", F.col("note").isNotNull().cast("int").alias("has_note"))
