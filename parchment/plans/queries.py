@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clauses, cleaning, comparison, evaluation, retrieval, scoring, sections, validation
+from ..operators import answers, clauses, cleaning, comparison, evaluation, retrieval, scoring, sections, validation
 from ..operators.cleaning import first_of
 
 QUERIES: dict = {}
@@ -416,3 +416,62 @@ def merged_values(spark, d):
     rules = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), (F.col("p_size") * 3).cast("string").alias("value"))
     other = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), said.alias("value"))
     return validation.merged(rules, other).select("doc_id", "value", F.col("note").isNotNull().cast("int").alias("has_note"))
+
+
+# ---------------------------------------------------------------- answers
+_ASKS = ["Is there a room rent cap?", "How long is the waiting time for a claim?", "What does maternity mean?", "Can I switch and keep my bonus?", "Which documents for admission?", "Is the schedule paid within days?"]
+_ASK_SQL = lambda k: f"CASE {k} % {len(_ASKS)} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ASKS)) + " END"
+_WIDE_SQL = "q || ' ' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(q), '\\b{k}') THEN '{v}' END" for k, v in answers.SYNONYMS.items()) + "], lambda x: x IS NOT NULL), ' ')"
+_TOKEN_SQL = lambda t: f"list_filter(list_distinct(regexp_extract_all(lower({t}), '[a-z][a-z\\-]+')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP) + "], w))"
+
+
+def _ask(k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, _ASKS)), (F.pmod(k, F.lit(len(_ASKS))) + 1).cast("int"))
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, {_ASK_SQL('(conv_id + turn)')} AS q FROM conversations) SELECT conv_id, turn, {_WIDE_SQL} AS wide FROM c")
+def expanded_questions(spark, d):
+    """Questions with synonyms."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", answers.expanded(_ask(F.col("conv_id") + F.col("turn"))).alias("wide"))
+
+
+_HITS_SQL = f"""h AS (SELECT p_partkey // 5 AS question_id, p_partkey % 5 + 1 AS rank, {_ASK_SQL('(p_partkey // 5)')} AS q,
+ ['The ' || p_name || ' claim is paid within ' || p_size || ' days of admission here.', 'Room rent means ' || p_type || ' as the schedule says.', 'Documents of the ' || p_brand || ' are kept.'] AS s FROM part)"""
+
+
+def _hits(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("The "), "p_name", F.lit(" claim is paid within "), F.col("p_size").cast("string"), F.lit(" days of admission here. Room rent means "), "p_type", F.lit(" as the schedule says.\nDocuments of the "), "p_brand", F.lit(" are kept."))
+    q = F.floor(k / 5).cast("long")
+    return _t(spark, d, "part").select(q.alias("question_id"), _ask(q).alias("question"), (k % 5 + 1).alias("rank"), text.alias("text"), (F.col("p_size") / 100.0).alias("score"))
+
+
+@query(f"""WITH {_HITS_SQL}, x AS (SELECT question_id, rank, q, {_WIDE_SQL} AS wide, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM h),
+w AS (SELECT *, {_TOKEN_SQL('q')} AS asked, {_TOKEN_SQL('wide')} AS wider, {_TOKEN_SQL('sentence')} AS words FROM x),
+c AS (SELECT *, round((2 * len(list_intersect(asked, words)) + len(list_intersect(wider, words)))::DOUBLE - 0.3::DOUBLE * rank + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.5 ELSE 0 END - CASE WHEN contains(lower(sentence), ' means ') AND NOT regexp_matches(lower(q), '\\bmean|defin') THEN 2 ELSE 0 END, 6) AS score
+ FROM w WHERE len(list_intersect(asked, words)) > 0 AND length(sentence) > 30),
+f AS (SELECT *, row_number() OVER (PARTITION BY question_id, left(sentence, 50) ORDER BY score DESC, rank, pos) AS m FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank, pos) AS n FROM f WHERE m = 1)
+SELECT question_id, n, rank, sentence, score FROM r WHERE n <= 3""")
+def answer_sentences(spark, d):
+    """Q04, Q06: the three best distinct sentences for each question."""
+    return answers.sentences(_hits(spark, d)).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""WITH {_HITS_SQL}, w AS (SELECT question_id, first(q) AS q, list_distinct(flatten(list({_TOKEN_SQL("array_to_string(s, ' ')")}))) AS said FROM h GROUP BY question_id)
+SELECT question_id, array_to_string(list_sort(list_filter({_TOKEN_SQL('q')}, lambda t: length(t) > 2 AND NOT list_contains(said, t) AND NOT list_contains([{", ".join(f"'{g}'" for g in answers.GENERIC)}], t)
+ AND NOT CASE t {" ".join(f"WHEN '{k}' THEN list_has_any({_TOKEN_SQL(chr(39) + v + chr(39))}, said)" for k, v in answers.SYNONYMS.items())} ELSE false END)), ' ') AS missing FROM w""")
+def missing_terms(spark, d):
+    """Q05: words of a question that the retrieved text doesn't hold."""
+    return answers.missing(_hits(spark, d)).select("question_id", F.array_join("missing", " ").alias("missing"))
+
+
+@query("""SELECT avg((conv_id % 3 = 0)::INT)::DOUBLE AS citation_rate, avg((turn % 4 = 1)::INT)::DOUBLE AS unsafe_rate, round(avg(CASE WHEN conv_id % 5 < 3 THEN turn / 10 END), 9) AS recall,
+ round(avg(CASE WHEN conv_id % 5 = 4 THEN (conv_id % 2 = 0)::INT END), 9) AS refused, round(avg(CASE WHEN conv_id % 5 < 3 THEN (conv_id % 2 = 0)::INT END), 9) AS refused_falsely FROM conversations""")
+def answer_rates(spark, d):
+    """Flags of answers and their rates."""
+    c, t = F.col("conv_id"), F.col("turn")
+    say = F.concat(F.when(c % 3 == 0, "As said [S1]. ").otherwise(""), F.when(t % 4 == 1, "You should buy it. ").otherwise(answers.ALLOWED + ". "), F.when(c % 2 == 0, answers.NOT_FOUND).otherwise(""))
+    rows = _t(spark, d, "conversations").select(say.alias("answer"), F.when(c % 5 < 3, "yes").when(c % 5 == 4, "no").otherwise("decision").alias("answerable"), (t / 10).alias("keyword_recall"))
+    got = answers.rates(rows.withColumns(answers.flags(F.col("answer"))))
+    return got.select("citation_rate", "unsafe_rate", *[F.round(x, 9).alias(x) for x in ("recall", "refused", "refused_falsely")])
