@@ -14,17 +14,22 @@ def grams(docs: DataFrame, key: str, stop: list[str]) -> DataFrame:
     return rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def fit(docs: DataFrame, key: str, stop: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(idf(term, idf), postings(key, term, w)): 1 + ln tf, smoothed idf, rows of unit length."""
+def fit(docs: DataFrame, key: str, stop: list[str], queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(idf(term, idf), postings(key, term, w)): 1 + ln tf, smoothed idf, rows of unit length.
+
+    With queries(query_id, text) only postings of their terms are given, with weights of the whole rows.
+    """
     tf = grams(docs, key, stop)
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return idf, _unit(tf.join(idf, "term"), key)
+    return idf, _unit(tf.join(idf, "term"), key, None if queries is None else grams(queries, "query_id", stop).select("term").distinct())
 
 
-def _unit(rows: DataFrame, key: str) -> DataFrame:
+def _unit(rows: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
     norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
     return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 

@@ -29,6 +29,15 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df for costly expressions of each row: dealt over all cores where its files, smaller than a split for each core, leave some idle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 # ---------------------------------------------------------------- cleaning
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), chr(10))) AS line FROM documents),
@@ -37,14 +46,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line <> '' AND NOT regexp_m
        sum(length(line))::BIGINT AS n_chars FROM n GROUP BY doc_id""")
 def line_cleaning(spark, d):
     """Lines of whole documents, normal and without page numbers."""
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(T.lines(T.dehyphenate(F.col("text")))).alias("line")).withColumn("line", T.normal_line(F.col("line")))
+    rows = _dealt(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.lines(T.dehyphenate(F.col("text")))).alias("line")).withColumn("line", T.normal_line(F.col("line")))
     keep = (F.col("line") != "") & ~T.page_number(F.col("line"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(keep).alias("n_kept"), F.sum(F.length("line")).alias("n_chars"))
 
 
 def _as_pages(spark, d) -> DataFrame:
     """Documents as pages of six lines each."""
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rows = _dealt(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return rows.groupBy("doc_id", F.floor(F.col("i") / 6).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -70,7 +79,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 def personal_data_masked(spark, d):
     """The five masks that look at no neighbouring digit; the others are tested on fixtures."""
     rules = [m for m in T.MASKS if "?<!" not in m[0]]
-    return _t(spark, d, "documents").select("doc_id", F.md5(T._each(F.col("text"), rules)).alias("masked_md5"))
+    return _dealt(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T._each(F.col("text"), rules)).alias("masked_md5"))
 
 
 @query("SELECT doc_id, sum(length(text))::BIGINT AS chars, sum(length(text)) >= 200 AS ok FROM documents GROUP BY doc_id")
@@ -105,7 +114,7 @@ SELECT p_partkey, {_CATEGORY_SQL} AS category, letters >= 5 AND caps > 0.8 * let
 def headings(spark, d):
     """Category, capitals, heading test and number of headings made from parts."""
     h = F.concat(F.col("p_size").cast("string"), F.lit(". "), _heads(F.col("p_partkey")), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_name"))).otherwise(""))
-    rows = _t(spark, d, "part").select("p_partkey", h.alias("h"))
+    rows = _dealt(_t(spark, d, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", h.alias("h"))
     return rows.select("p_partkey", T.category(F.col("h")).alias("category"), T.upper_case(F.col("h")).alias("is_upper"), T.heading(F.col("h")).alias("is_heading"), T.section_number(F.col("h"))["top"].cast("int").alias("number"))
 
 
@@ -115,7 +124,7 @@ SELECT doc_id, 1 + len(list_filter(range(2, len(parts) + 1), lambda i: NOT regex
   '(?i)(?:(?:^|[^\p{L}\p{N}_])(?:rs|no|nos|e\.g|i\.e|viz|etc|sr|dr|mr|mrs|ms|st|vs|approx|max|min|cl|sec|art)|(?:^|[^\p{L}\p{N}_])[a-z]|\d)\.$'))) AS n_sentences FROM p WHERE trim(regexp_replace(text, '\s', '', 'g')) <> ''""")
 def sentence_split(spark, d):
     """Sentences of whole documents."""
-    return _t(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return _dealt(_t(spark, d, "documents").select("doc_id", "text")).where(F.col("text").rlike(r"\S")).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
 # ---------------------------------------------------------------- features and score
@@ -259,8 +268,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""")
 def lexical_search(spark, d):
     """The five documents nearest to each benchmark passage by TF-IDF."""
-    idf, postings = retrieval.fit(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", [])
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    idf, postings = retrieval.fit(_dealt(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", [], q)
     s = retrieval.blended(retrieval.sparse_scores(q, idf, postings, "doc_id", []), None, "doc_id")
     return retrieval.top_k(s, "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -312,7 +321,7 @@ def policy_pages(spark, d) -> DataFrame:
         "Payment is at the sole discretion of the Company.\nSECTION G - RENEWAL\nG.1 Renewal\nThe policy is ordinarily renewable for life.\nG.2 Grace Period\nA grace period of ", (mod(2) + 1) * 15, " days is allowed.\nPage 4",
     )
     pages = F.posexplode(F.array(one, two, three, four)).alias("page", "text")
-    return _t(spark, d, "customer").select(k.alias("doc_id"), pages).withColumn("page", F.col("page") + 1)
+    return _dealt(_t(spark, d, "customer")).select(k.alias("doc_id"), pages).withColumn("page", F.col("page") + 1)
 
 
 def _extracted(pages: DataFrame) -> DataFrame:
