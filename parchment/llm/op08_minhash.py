@@ -7,10 +7,11 @@ elements have equal darts. A document keeps the darts below its weight and a ran
 coordinate with the probability of their weighted Jaccard similarity. Bands of coordinates are joined by hash.
 
 Equal texts (by words) are first folded into one representative. In a bucket every text meets the bucket's
-first one, in one order for all bands, so groups give stars, not all pairs; met pairs are verified on the exact
+most central one, which shares the most buckets with others, so groups give stars, not all pairs; met pairs are verified on the exact
 shingle sets (0.8 or more). What the stars leave apart although it shares a bucket is then compared too, the
 texts of a bucket's smaller components with all of the others: a pair goes on to the exact verification if the
-numbers of shingles allow the similarity and two bits of each coordinate agree often enough (six standard
+numbers of shingles and the bits in which the texts' parity sketches differ (each stands for a shingle that only one
+of them has, so no link is lost by that) allow the similarity, and two bits of each coordinate agree often enough (six standard
 deviations below what the similarity would give, so about one link in a thousand million is lost by that; the bands
 themselves miss 8 in 100,000 pairs at exactly 0.8, and far fewer above). Components take labels along links.
 
@@ -32,6 +33,7 @@ from .textnp import Words, blocks, mix, shingles, words
 BANDS, ROWS = 40, 7
 SIZE, LEAST = 5, 0.8
 DARTS = 10  # a coordinate of the signature
+ODD = 1024  # bits of the parity sketch
 
 
 def elements(w: Words, docs: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +123,26 @@ def bits(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(planes.reshape(n, -1), 1).view(np.int64).reshape(n, 2 * words_)
 
 
+def parity(doc: np.ndarray, element: np.ndarray, docs: int, size: int = ODD) -> np.ndarray:
+    """docs x size bits, as words: whether an odd number of a text's elements falls on the bit."""
+    at = (mix(element, 47) % np.uint64(size)).astype(np.int64)
+    odd = (np.bincount(doc * size + at, minlength=docs * size) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(docs, size), 1).view(np.int64).reshape(docs, size // 64)
+
+
 def may_be(x: str, y: str, k: int, least: float):
-    """Whether rows with (n, bits) named x and y can be as similar as least; as a condition of the join itself."""
+    """Whether rows with (n, bits, odd) named x and y can be as similar as least; as a condition of the join itself."""
     half = -(-k // 64)
     apart = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i))).bitwiseOR(F.get(f"{x}.bits", F.lit(i + half)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i + half))))) for i in range(half)), F.lit(0))
     agree = least + (1 - least) / 4
     most = k * (1 - agree) + 6 * (k * agree * (1 - agree)) ** 0.5
-    return (F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n") - 1e-9) & (apart <= most)
+    only_one = sum((F.bit_count(F.get(f"{x}.odd", F.lit(i)).bitwiseXOR(F.get(f"{y}.odd", F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
+    allowed = (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - least) / (1 + least)) + 1e-6
+    return (F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n") - 1e-9) & (only_one <= allowed) & (apart <= most)
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """(doc_id, t, a, b, n, bits, keys): hash of the text, digest of its words, null where it has none, its number of shingles, and what its signature gives."""
+    """(doc_id, t, a, b, n, bits, odd, keys): hash of the text, digest of its words, null where it has none, its number of shingles, their parity sketch, and what its signature gives."""
 
     def run(batches):
         for batch in batches:
@@ -140,11 +151,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
                 a, b, has = digest(w, j - i)
                 doc, h = elements(w, j - i, size)
                 signs = dart_signatures(doc, h, np.ones(len(h)), j - i, bands * rows)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1))) for x in (bits(signs), band_keys(signs, bands, rows).view(np.int64))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1))) for x in (bits(signs), parity(doc, h, j - i), band_keys(signs, bands, rows).view(np.int64))]
                 size_ = pa.array(np.bincount(doc, minlength=j - i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "t")), pa.array(a, mask=~has), pa.array(b, mask=~has), size_, *lists], names=["doc_id", "t", "a", "b", "n", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "t")), pa.array(a, mask=~has), pa.array(b, mask=~has), size_, *lists], names=["doc_id", "t", "a", "b", "n", "bits", "odd", "keys"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, a long, b long, n long, bits array<long>, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, a long, b long, n long, bits array<long>, odd array<long>, keys array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
@@ -222,8 +233,11 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     own = signs.where(F.col("a").isNotNull()).select("doc_id", "t", "a")
     one = signs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.first("keys").alias("keys"))
     buckets = one.select("id", F.explode("keys").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head != last").drop("last")
-    full = cut(buckets.join(heads, "key"))
+    shared = cut(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    shared = cut(shared.drop("n").join(met, "id"))
+    heads = shared.groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("head"))
+    full = cut(shared.drop("met").join(heads, "key"))
     stars = cut(full.where("id != head").select(F.col("id").alias("x"), F.col("head").alias("y")).distinct())
     ids = cut(stars.select(F.col("x").alias("id")).union(stars.select(F.col("y").alias("id"))).distinct())
     near = stored(texts_of(docs, ids))
@@ -234,7 +248,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     per = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     mixed = placed.join(mixed, "key")
-    traits = signs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    traits = signs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
     mixed = stored(mixed.join(_sized(mixed.select("id").distinct().join(traits, "id")), "id"))
     x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))

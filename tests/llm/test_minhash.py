@@ -98,3 +98,14 @@ def test_deduplicated(docs, spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert op8.classes(none).count() == 0 and op8.deduplicated(none).count() == 0
+
+
+def test_parity_sketch_never_differs_in_more_bits_than_sets_do():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 3_000, n)).astype(np.uint64) for n in (0, 1, 40, 900, 2_500)]
+    doc = np.concatenate([np.full(len(x), i) for i, x in enumerate(sets)])
+    got = op8.parity(doc, np.concatenate(sets), len(sets)).view(np.uint64)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = sum(int(a ^ b).bit_count() for a, b in zip(got[i], got[j]))
+            assert apart <= len(np.setxor1d(x, y)) and (apart == 0 or i != j)
