@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Words for no value, yes and no; plausible ranges; fields where the rules' value stands.
 NO_VALUE = ["", "null", "none", "n/a", "na", "not mentioned", "not found", "unknown"]
 YES = ["true", "yes", "covered", "available", "1"]
@@ -23,6 +25,13 @@ BOOLS = [
     "inpatient_hospitalization", "day_care_covered", "domiciliary_covered", "ayush_covered", "opd_covered", "restoration_benefit", "no_claim_bonus", "maternity_covered", "newborn_covered", "child_coverage",
     "room_rent_limit_present", "icu_limit_present", "non_payable_items_mentioned", "cashless_available", "reimbursement_available", "claim_documents_listed", "portability_mentioned", "moratorium_mentioned",
 ]
+LISTS = ["disease_sub_limits", "permanent_exclusions", "temporary_exclusions"]
+TEXTS = [
+    "insurer_name", "policy_name", "uin", "policy_type", "sum_insured_options", "family_members_covered", "age_band", "coverage_category", "ambulance_cover", "restoration_details", "no_claim_bonus_details",
+    "maternity_details", "child_coverage_details", "copayment_conditions", "room_rent_limit", "icu_limit", "claim_intimation_timeline", "claim_settlement_timeline", "renewal_conditions",
+]
+#: What another reader is asked for: exclusions are counted, not asked.
+FIELDS = [f for f in [*INTS, *FLOATS, *BOOLS, *LISTS, *TEXTS] if f != "exclusion_count"]
 MOST_OPEN = 15
 
 
@@ -38,36 +47,50 @@ def number(field: Column, value: Column) -> Column:
     return n * factor
 
 
+def items(value: Column) -> Column:
+    """A list's items that aren't blank; a text that is no JSON array is one item."""
+    held = F.when(strip(value).startswith("["), F.from_json(value, "array<string>"))
+    listed = F.filter(F.transform(held, lambda x: F.coalesce(x, F.lit("None"))), lambda x: strip(x) != "")
+    return F.when(value.isNotNull(), F.coalesce(listed, F.array(value)))
+
+
 def coerced(field: Column, value: Column) -> Column:
-    """value as text of its field's type; null where it says nothing or doesn't fit."""
+    """value as text of its field's type, a list as a JSON array; null where it says nothing or doesn't fit."""
     low = F.lower(F.trim(value))
     n = number(field, value)
     flag = F.when(low.isin(YES), "true").when(low.isin(NO), "false")
-    typed = F.when(field.isin(INTS), F.bround(n, 0).cast("long").cast("string")).when(field.isin(FLOATS), n.cast("string")).when(field.isin(BOOLS), flag).otherwise(F.trim(value))
+    typed = F.when(field.isin(INTS), F.bround(n, 0).cast("long").cast("string")).when(field.isin(FLOATS), n.cast("string")).when(field.isin(BOOLS), flag).when(field.isin(LISTS), F.to_json(items(value))).otherwise(F.trim(value))
     return F.when(value.isNull() | low.isin(NO_VALUE), None).otherwise(typed)
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """(doc_id, field, value, note): of rows with these, values out of range go and leave a note."""
+    """(doc_id, field, value, note) and evidence, if rows have it: of rows with these, values out of range go and leave a note."""
     f = F.col("field")
     bound = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in PLAUSIBLE.items() for x in (k, float(v[i]))]), f)
     label = F.try_element_at(F.create_map(*[F.lit(x) for k, v in PLAUSIBLE.items() for x in (k, f"[{v[0]}, {v[1]}]")]), f)
     out = F.coalesce(~F.col("value").try_cast("double").between(bound(0), bound(1)), F.lit(False))
     note = F.when(out, F.concat(f, F.lit("="), "value", F.lit(" is outside the plausible range "), label, F.lit(" - ignored."))).otherwise(F.col("note") if "note" in rows.columns else F.lit(None).cast("string"))
-    return rows.select("doc_id", "field", F.when(~out, F.col("value")).alias("value"), note.alias("note"))
+    return rows.select("doc_id", "field", F.when(~out, F.col("value")).alias("value"), note.alias("note"), *[c for c in rows.columns if c == "evidence"])
 
 
 def merged(rules: DataFrame, other: DataFrame) -> DataFrame:
-    """(doc_id, field, value, note) of rules and other(doc_id, field, value), one row a field.
+    """(doc_id, field, value, note) of rules and other(doc_id, field, value), one row a field; evidence too, if one of them has it.
 
     A value that the other reader lacks is the rules'; where the rules' value stands and they differ, a note says so.
+    Of two lists the longer one wins, the other reader's if both are as long. The other reader's evidence goes over the rules'.
     """
-    o = other.select("doc_id", "field", coerced(F.col("field"), F.col("value")).alias("theirs"))
-    r = rules.select("doc_id", "field", F.col("value").alias("ours"))
+    proof = lambda df: [F.col("evidence")] if "evidence" in df.columns else []
+    f = F.col("field")
+    o = other.where(f.isin(FIELDS)).select("doc_id", "field", coerced(f, F.col("value")).alias("theirs"), *[c.alias("their_evidence") for c in proof(other)])
+    r = rules.select("doc_id", "field", F.when(f.isin(LISTS), coerced(f, F.col("value"))).otherwise(F.col("value")).alias("ours"), *[c.alias("our_evidence") for c in proof(rules)])
+    both = r.join(o, ["doc_id", "field"], "full")
     same = F.coalesce(F.col("theirs").try_cast("double") == F.col("ours").try_cast("double"), F.col("theirs") == F.col("ours"))
-    stands = F.col("field").isin(RULE_STANDS) & F.col("ours").isNotNull() & F.col("theirs").isNotNull() & ~same
-    note = F.when(stands, F.concat("field", F.lit(": LLM read '"), "theirs", F.lit("', rule extractor found '"), "ours", F.lit("' - kept the rule value; verify in the document.")))
-    return checked(r.join(o, ["doc_id", "field"], "full").select("doc_id", "field", F.when(stands, F.col("ours")).otherwise(F.coalesce("theirs", "ours")).alias("value"), note.alias("note")))
+    stands = f.isin(RULE_STANDS) & F.col("ours").isNotNull() & F.col("theirs").isNotNull() & ~same
+    longer = f.isin(LISTS) & F.coalesce(F.size(items(F.col("ours"))) > F.size(items(F.col("theirs"))), F.lit(False))
+    page = F.coalesce(F.col("our_evidence")["page"].cast("string"), F.lit("?")) if proof(rules) else F.lit("?")
+    note = F.when(stands, F.concat("field", F.lit(": LLM read '"), "theirs", F.lit("', rule extractor found '"), "ours", F.lit("' (p."), page, F.lit(") - kept the rule value (base wording); verify in the document.")))
+    found = [c for c in ("their_evidence", "our_evidence") if c in both.columns]
+    return checked(both.select("doc_id", "field", F.when(stands | longer, F.col("ours")).otherwise(F.coalesce("theirs", "ours")).alias("value"), note.alias("note"), *([F.coalesce(*found).alias("evidence")] if found else [])))
 
 
 def merged_open(rules: DataFrame, other: DataFrame, most: int = MOST_OPEN) -> DataFrame:
@@ -83,6 +106,7 @@ def cross_checked(x: DataFrame) -> DataFrame:
     """Wide rows with notes: a premium above half the sum insured; a limit's text implies the limit; exclusions are counted from their list."""
     high = F.coalesce(F.try_divide("annual_premium", "sum_insured") > 0.5, F.lit(False))
     note = F.array_compact(F.array(F.when(high, "Premium looks too high relative to sum insured - please check both values.")))
+    note = F.concat(F.coalesce("validation_notes", F.array().cast("array<string>")), note) if "validation_notes" in x.columns else note
     limit = F.coalesce("room_rent_limit_present", F.when(F.coalesce("room_rent_limit", F.lit("")) != "", True))
     n = F.nullif(F.size("permanent_exclusions"), F.lit(0))
     return x.withColumns({"validation_notes": note, "room_rent_limit_present": limit, "exclusion_count": F.coalesce("exclusion_count", F.when(n > 0, n))})

@@ -426,6 +426,37 @@ def merged_values(spark, d):
     return validation.merged(rules, other).select("doc_id", "value", F.col("note").isNotNull().cast("int").alias("has_note"))
 
 
+_LIST_SQL = lambda a, n: f"""'[' || array_to_string(['"{a}1"', '"{a}2"', '"{a}3"'][1:{n}], ',') || ']'"""
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part),
+v AS (SELECT k, 'sum_insured' AS field, (CASE WHEN k % 3 = 0 THEN n * 100000 ELSE n * 10000 END)::VARCHAR AS value, 0 AS has_note FROM p
+ UNION ALL SELECT k, 'copayment_percentage', n || '.0', (k % 2 = 0)::INT FROM p
+ UNION ALL SELECT k, 'restoration_benefit', CASE WHEN k % 4 = 3 THEN 'false' ELSE 'true' END, (k % 4 = 1)::INT FROM p
+ UNION ALL SELECT k, 'claim_settlement_timeline', 'within ' || CASE WHEN k % 2 = 0 THEN n ELSE 30 END || ' days', 0 FROM p
+ UNION ALL SELECT k, 'disease_sub_limits', CASE WHEN k % 7 = 0 THEN {_LIST_SQL('r', 'k % 4')} WHEN k % 5 = 0 THEN CASE WHEN k % 4 > 1 THEN {_LIST_SQL('r', 'k % 4')} ELSE '["Cataract: 40,000"]' END
+  WHEN k % 4 > k % 3 THEN {_LIST_SQL('r', 'k % 4')} ELSE {_LIST_SQL('t', 'k % 3')} END, 0 FROM p)
+SELECT k AS doc_id, field, value, has_note, (CASE WHEN k % 3 = 0 THEN 10 ELSE 1 END + k % 9)::INT AS page FROM v""")
+def merged_field_types(spark, d):
+    """Numbers, flags, texts and lists of both readers, with evidence."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    first = lambda m, *xs: F.to_json(F.slice(F.array(*map(F.lit, xs)), F.lit(1), m.cast("int")))
+    theirs = F.from_json(first(k % 3, "t1", "t2", "t3"), "array<string>")
+    fields = {
+        "sum_insured": (text(n * 10_000), F.when(k % 3 == 0, text(n, " lakh")).when(k % 3 == 1, "n/a")), "copayment_percentage": (text(n.cast("double")), F.when(k % 2 == 0, text(n + 1, "%"))),
+        "restoration_benefit": (F.when(k % 4 != 3, "true"), F.when(k % 4 == 0, "Yes").when(k % 4 == 1, "not covered").when(k % 4 == 2, "maybe").otherwise("no")),
+        "claim_settlement_timeline": (F.lit("within 30 days"), F.when(k % 2 == 0, text(" within ", n, " days "))),
+        "disease_sub_limits": (first(k % 4, "r1", "r2", "r3"), F.when(k % 7 == 0, None).when(k % 5 == 0, "Cataract: 40,000").otherwise(F.to_json(F.array_append(theirs, F.lit(" "))))),
+    }
+    rows = _t(spark, d, "part").select(k.alias("doc_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), a.alias("ours"), b.alias("theirs")) for f, (a, b) in fields.items()])))
+    page = lambda start: F.struct((start + F.col("doc_id") % 9).cast("int").alias("page"), F.lit("here").alias("quote"))
+    rules = rows.select("doc_id", "field", F.col("ours").alias("value"), page(1).alias("evidence"))
+    other = rows.select("doc_id", "field", F.col("theirs").alias("value"), F.when(F.col("doc_id") % 3 == 0, page(10)).alias("evidence"))
+    return validation.merged(rules, other).select("doc_id", "field", "value", F.col("note").isNotNull().cast("int").alias("has_note"), F.col("evidence")["page"].alias("page"))
+
+
 # ---------------------------------------------------------------- answers
 _ASKS = ["Is there a room rent cap?", "How long is the waiting time for a claim?", "What does maternity mean?", "Can I switch and keep my bonus?", "Which documents for admission?", "Is the schedule paid within days?"]
 _ASK_SQL = lambda k: f"CASE {k} % {len(_ASKS)} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ASKS)) + " END"

@@ -26,3 +26,30 @@ def test_answered(spark):
     got = {r.question_id: r for r in answers.answered(spark.createDataFrame(rows, "question_id int, question string, rank int, text string, score double")).collect()}
     assert got[1].grounded and "does not mention: dialysis" in got[1].answer and "[S1]" in got[1].answer
     assert not got[2].grounded and got[2].answer == answers.NOT_FOUND
+
+
+def test_merged_lists_and_evidence(spark):
+    schema = "doc_id int, field string, value string, evidence struct<page: int, quote: string>"
+    own = [
+        (1, "permanent_exclusions", '["war", "rest cure", "cosmetic"]', (3, "a")), (2, "permanent_exclusions", '["war", "rest cure"]', None), (3, "temporary_exclusions", '["x"]', None), (4, "disease_sub_limits", '["a", "b"]', None),
+        (5, "disease_sub_limits", None, None), (1, "copayment_percentage", "10.0", (7, "b")), (2, "copayment_percentage", "10.0", None), (1, "uin", "U1", (1, "c")), (6, "disease_sub_limits", '["a"]', None),
+    ]
+    said = [
+        (1, "permanent_exclusions", '["war", "hazard", " ", ""]', (9, "z")), (2, "permanent_exclusions", '["war", "bed rest"]', None), (3, "temporary_exclusions", "[]", None), (4, "disease_sub_limits", "Cataract: 25%, at most", None),
+        (5, "disease_sub_limits", "[1, \"two\", null]", None), (1, "copayment_percentage", "20%", None), (2, "copayment_percentage", "20", (8, "d")), (1, "uin", None, (2, "e")), (1, "made_up", "x", (1, "f")), (6, "disease_sub_limits", "[Cataract", None),
+    ]
+    got = {(r.doc_id, r.field): r for r in validation.merged(spark.createDataFrame(own, schema), spark.createDataFrame(said, schema)).collect()}
+    value = {k: r.value for k, r in got.items()}
+    assert value == {
+        (1, "permanent_exclusions"): '["war","rest cure","cosmetic"]', (2, "permanent_exclusions"): '["war","bed rest"]', (3, "temporary_exclusions"): '["x"]', (4, "disease_sub_limits"): '["a","b"]',
+        (5, "disease_sub_limits"): '["1","two","None"]', (1, "copayment_percentage"): "10.0", (2, "copayment_percentage"): "10.0", (1, "uin"): "U1", (6, "disease_sub_limits"): '["[Cataract"]',
+    }
+    assert {k: r.evidence and r.evidence.page for k, r in got.items() if k[0] < 3} == {(1, "permanent_exclusions"): 9, (2, "permanent_exclusions"): None, (1, "copayment_percentage"): 7, (2, "copayment_percentage"): 8, (1, "uin"): 2}
+    assert "(p.7)" in got[1, "copayment_percentage"].note and "(p.?)" in got[2, "copayment_percentage"].note and got[1, "uin"].note is None
+
+
+def test_cross_checked(spark):
+    rows = [(1, 600, 1000, None, "1%", None, ["a", "b"], ["old"]), (2, 500, 1000, False, "1%", 7, ["a"], None), (3, None, 1000, None, "", None, [], []), (4, 5, 0, None, None, None, None, [])]
+    df = spark.createDataFrame(rows, "k int, annual_premium long, sum_insured long, room_rent_limit_present boolean, room_rent_limit string, exclusion_count int, permanent_exclusions array<string>, validation_notes array<string>")
+    got = [(r.room_rent_limit_present, r.exclusion_count, [n[:7] for n in r.validation_notes]) for r in validation.cross_checked(df).orderBy("k").collect()]
+    assert got == [(True, 2, ["old", "Premium"]), (False, 7, []), (None, None, []), (None, None, [])]
