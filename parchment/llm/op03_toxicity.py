@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (at most `max_positive`) and texts without any label in use (at most `max_unlabelled`)
-train a linear model over hashed words and word beginnings. Its risk is estimated from both: what the
+Hashed words and word beginnings that tell confirmed toxic texts from texts without any label in use are chosen
+by their counts over all such texts. A linear model over them is trained on a sample of these texts (at most
+`max_positive` and `max_unlabelled`), of which only the chosen features come to the driver. Its risk is estimated from both: what the
 unlabelled texts cost as clean ones, less the share of the toxic among them, whose cost the positives tell;
 that difference is kept from going below zero. The share (class prior) comes from the labelled rows.
 
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, small_batches, fold, some_ids, table, with_score
+from .common import BROADCAST_KEYS, among, small_batches, fold, some_ids, stored, table, with_score
 from .textnp import BYTES, LOWER, MARKS, blocks, mix, words
 
 BUCKETS = 1 << 20
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
-MAX_FEATURES = 4096
+MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
+MAX_FEATURES, LEAST_Z = 4096, 4
 FOLDS = 5
 
 
@@ -64,15 +65,48 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights by bucket and bias that lessen the non-negative risk; doc, bucket, n: entries of the sparse matrix and how often."""
+def counted(docs: DataFrame, toxic: DataFrame) -> DataFrame:
+    """(bucket, p, u): how many of the toxic and of all docs outside the held-out fold have it; bucket -1 has the texts."""
+    ids = toxic.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("p", F.lit(True))
+    if ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        ids = F.broadcast(ids)
+    marked = docs.where(fold("doc_id", FOLDS) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+
+    def run(batches):
+        seen = np.zeros((2, BUCKETS + 1), np.int64)
+        for b in batches:
+            is_p = b.column("p").fill_null(False).to_numpy(zero_copy_only=False)
+            seen[:, 0] += is_p.sum(), len(is_p)
+            for i, j, buf, offs in blocks(b.column("text")):
+                doc, bucket, _ = features(buf, offs)
+                seen[1] += np.bincount(bucket + 1, minlength=BUCKETS + 1)
+                seen[0] += np.bincount(bucket[is_p[i:j][doc]] + 1, minlength=BUCKETS + 1)
+        at = np.flatnonzero(seen[1])
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part - 1, pa.int32()), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["bucket", "p", "u"])
+
+    got = small_batches(marked).select("text", "p").mapInArrow(run, "bucket int, p long, u long")
+    return got.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def telling(docs: DataFrame, toxic: DataFrame) -> np.ndarray | None:
+    """Buckets, in order, that differ most between the toxic and all docs outside the held-out fold; None without toxic ones."""
+    seen = stored(counted(docs, toxic))
+    texts = seen.where("bucket = -1").first()
+    if not texts or not texts.p:
+        return None
+    p, u = F.col("p") / texts.p, F.col("u") / texts.u
+    mean = (p + u) / 2
+    z = F.abs(p - u) / F.sqrt(mean * (1 - mean) * (1 / texts.p + 1 / texts.u) + 1e-12)
+    rows = seen.where("bucket >= 0").select("bucket", z.alias("z")).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).collect()
+    return np.sort(np.array([r.bucket for r in rows], np.int32))
+
+
+def train(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, chosen: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights by bucket and bias that lessen the non-negative risk; doc, bucket, n: entries of the sparse matrix and how often; chosen: the buckets in use, else all."""
     rows = len(positive)
-    seen_p = np.bincount(bucket[positive[doc]], minlength=BUCKETS) / max(1, positive.sum())
-    seen_u = np.bincount(bucket[unlabelled[doc]], minlength=BUCKETS) / max(1, unlabelled.sum())
-    mean = (seen_p + seen_u) / 2
-    z = np.abs(seen_p - seen_u) / np.sqrt(mean * (1 - mean) * (1 / max(1, positive.sum()) + 1 / max(1, unlabelled.sum())) + 1e-12)
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[z[chosen] > 4]
+    chosen = np.unique(bucket) if chosen is None else chosen
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     col = place[bucket]
@@ -103,11 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     if not toxic:
         return Toxicity(np.zeros(BUCKETS), -745.0)
     prior = min(0.99, toxic / all_)
+    chosen = telling(docs, learn.where(F.col("toxic") == 1))
+    if chosen is None:
+        return Toxicity(np.zeros(BUCKETS), -745.0)
     p, u = some_ids(learn.where(F.col("toxic") == 1), max_positive), some_ids(docs.where(fold("doc_id", FOLDS) != 0), max_unlabelled)
-    sent = docs.sparkSession.sparkContext.broadcast((p, u))
+    sent = docs.sparkSession.sparkContext.broadcast((p, u, chosen))
 
     def run(batches):
-        p, u = sent.value
+        p, u, chosen = sent.value
+        use = np.zeros(BUCKETS, bool)
+        use[chosen] = True
         for b in batches:
             is_p, is_u = among(p, b.column("doc_id")), among(u, b.column("doc_id"))
             take = np.flatnonzero(is_p | is_u)
@@ -115,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
                 texts = b.column("text").take(pa.array(take))
                 for i, j, buf, offs in blocks(texts):
                     doc, bucket, n = features(buf, offs)
+                    kept = use[bucket]
+                    doc, bucket, n = doc[kept], bucket[kept], n[kept]
                     size = np.bincount(doc, minlength=j - i)
                     lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(a, t))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([pa.array(is_p[take[i:j]]), pa.array(is_u[take[i:j]]), lists(bucket, pa.int32()), lists(np.minimum(n, 7), pa.int8())], names=["p", "u", "bucket", "n"])
@@ -128,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     positive, unlabelled = (got.column(c).to_numpy() for c in ("p", "u"))
     if not positive.any() or not unlabelled.any():
         return Toxicity(np.zeros(BUCKETS), -745.0)
-    return Toxicity(*train(doc, flat, n.flatten().to_numpy(), positive, unlabelled, prior))
+    return Toxicity(*train(doc, flat, n.flatten().to_numpy(), positive, unlabelled, prior, chosen=chosen))
 
 
 def scored(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "__toxic") -> DataFrame:

@@ -1,8 +1,10 @@
 """Resampling, toxicity and token counts on small fixtures."""
 
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parchment.llm import op01_resample as op1
@@ -101,6 +103,27 @@ def test_toxicity(tables):
     assert op3.clean(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_rare_word(spark):
+    """A toxic word that a small sample has too seldom is found by its counts over all texts."""
+    g = random.Random(8)
+    rows = [(i, " ".join(g.choice(VOCAB) for _ in range(30)) + (" zounds" if i % 8 == 0 else "") + (" quagmired" if i % 80 == 0 else "")) for i in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(3200)], "doc_id long, toxic int")
+    model = op3.fit(docs, labels, max_positive=60, max_unlabelled=120)
+    buf, offs = buffers(pa.array(["quagmired", "zounds"]))
+    doc, bucket, _ = op3.features(buf, offs)
+    assert (model.weights[bucket[doc == 0]] > 0).all() and (model.weights[bucket[doc == 1]] > 0).all()
+    texts = {k: [0, 0] for k in (-1, int(bucket[0]))}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % op3.FOLDS:
+            for k in texts:
+                if k < 0 or k in op3.features(*buffers(pa.array([t])))[1]:
+                    texts[k][0] += i % 8 == 0
+                    texts[k][1] += 1
+    got = {r.bucket: [r.p, r.u] for r in op3.counted(docs, labels.where("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")).collect()}
+    assert {k: got[k] for k in texts} == texts
+
+
 def test_nonnegative_risk():
     """The clean part of the risk doesn't end far below zero even when everything can be told apart."""
     doc = np.arange(40)
