@@ -80,13 +80,27 @@ def with_score(docs: DataFrame, score, name: str, keep: list[str] | None = None)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("score").alias(name))
 
 
-def some_ids(df: DataFrame, bound: int, seed: int = 1):
+def by_hash(df: DataFrame, keys: list[str], want: int, rows: int):
+    """An Arrow table of want of df's rows (all, if fewer), those of the least hashes of keys; rows: how many df has.
+
+    A threshold on the hash, from the counts, keeps all but about want rows where they are; no partition sends more than its share.
+    """
+    import pyarrow as pa
+
+    span = 1 << 50
+    h = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(span))
+    share = 1.0 if rows <= want else (want + 6 * want**0.5 + 20) / rows
+    got = df.withColumn("by_hash", h).where(F.col("by_hash") < F.lit(int(min(1.0, share) * span)) + 1).toArrow()
+    got = got.sort_by([("by_hash", "ascending"), *[(k, "ascending") for k in keys]]).slice(0, want).drop_columns(["by_hash"])
+    return got if isinstance(got, pa.Table) else pa.Table.from_batches([got])
+
+
+def some_ids(df: DataFrame, bound: int):
     """At most bound distinct ids of df, chosen by hash: the same whatever the partitions. Sorted numpy array."""
     import numpy as np
 
-    ids = df.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
-    rows = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound).collect()
-    return np.unique(np.array([r[0] for r in rows], np.int64))
+    ids = df.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    return np.unique(by_hash(ids, ["doc_id"], bound, ids.count()).column("doc_id").to_numpy())
 
 
 def among(ids, column):

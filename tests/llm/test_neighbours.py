@@ -43,6 +43,28 @@ def test_recall(spark, unit):
         assert found == sorted(found, key=lambda p: (-round(p[1], 9), p[0]))
 
 
+def test_recall_beyond_the_sample(spark, monkeypatch):
+    """Most vectors neither make centroids nor choose ratios; directions without clusters are the hardest case."""
+    monkeypatch.setattr(op6, "SAMPLE", 800)
+    monkeypatch.setattr(op6, "REST", 400)
+    x = np.random.default_rng(1).normal(size=(5000, 24)).astype(np.float32).astype(float)
+    got, want = run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), brute(list(range(5000)), x, range(0, 5000, 20))
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_a_bound_hands_on_less(spark):
+    """Lists that a query asks later hand on only what reaches its bound."""
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    kept = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "list int, c long, v array<double>")
+    asks = spark.createDataFrame([(0, i, x[i].tolist(), (1e9, float("-inf"), 3.0, 3.0, 3.0)[i]) for i in range(5)], "list int, c long, v array<double>, bound double")
+    s = x[:5] @ x.T
+    want = {q: [(i, s[q][i]) for i in np.argsort(-s[q])[:11] if s[q][i] >= (1e9, -np.inf, 3, 3, 3)[q]] for q in range(5)}
+    got = {q: [] for q in range(5)}
+    for r in op6._met(kept, asks, 10).orderBy("q", "score", ascending=[True, False]).collect():
+        got[r.q].append((r.c, r.score))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()} and not got[0] and len(got[1]) == 11
+
+
 def test_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (40, None, 1), (60, [0.0, 0.0], 1), (80, [nan, 1.0], 1), (1, [inf, 1.0], 1), (2, [None, 1.0], 1), (None, [1.0, 1.0], 1), (3, [1.0, 1.0], 1), (4, [1.0, 1.0], 1), (5, [1.0], 1), (4, [1.0, 1.0], 1)]
