@@ -1,6 +1,7 @@
 """Signatures against exact similarity, classes against all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,12 +12,14 @@ R = random.Random(8)
 
 
 def jaccard(s, t):
+    """By how often each run of five words occurs."""
+
     def sh(x):
         w = (x or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
     a, b = sh(s), sh(t)
-    return len(a & b) / len(a | b) if a | b else 0.0
+    return (a & b).total() / (a | b).total() if a | b else 0.0
 
 
 def rows():
@@ -32,6 +35,10 @@ def rows():
                 t[R.randrange(len(t))] = R.choice(vocab)
             out.append(" ".join(t))
     out += [out[-1]] * 3
+    base = text(60)  # near as sets of shingles, not as weighted ones
+    out += [" ".join(base), " ".join(base + base), " ".join(base * 3), " ".join(base * 3 + ["end"])]
+    out += [" ".join(text(30_000))]
+    out += [out[-1] + " more"]
     base = text(150)  # a long chain: each text near the next
     for _ in range(30):
         base = list(base)
@@ -104,8 +111,25 @@ def test_parity_sketch_never_differs_in_more_bits_than_sets_do():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 3_000, n)).astype(np.uint64) for n in (0, 1, 40, 900, 2_500)]
     doc = np.concatenate([np.full(len(x), i) for i, x in enumerate(sets)])
-    got = op8.parity(doc, np.concatenate(sets), len(sets)).view(np.uint64)
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets):
+    weights = [rng.integers(1, 4, len(x)) for x in sets]
+    got = op8.parity(doc, np.concatenate(sets), np.concatenate(weights), len(sets)).view(np.uint64)
+    bags = [Counter(dict(zip(x.tolist(), n.tolist()))) for x, n in zip(sets, weights)]
+    for i, x in enumerate(bags):
+        for j, y in enumerate(bags):
             apart = sum(int(a ^ b).bit_count() for a, b in zip(got[i], got[j]))
-            assert apart <= len(np.setxor1d(x, y)) and (apart == 0 or i != j)
+            assert apart <= ((x | y) - (x & y)).total() and (apart == 0 or i != j)
+
+
+def test_texts_that_share_a_digest_stay_apart(spark, monkeypatch):
+    real = op8.digest
+
+    def small(w, docs):
+        a, b, has = real(w, docs)
+        return a & 7, b, has
+
+    monkeypatch.setattr(op8, "digest", small)
+    texts = [f"word{i} of text {i} that no other one has, number {i * i}" for i in range(40)] * 2
+    signs, clashing = op8.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert 5 < len(clashing) <= 8
+    got = signs.groupBy("a").agg(op8.F.countDistinct("b").alias("n")).collect()
+    assert len(got) == 40 and all(r.n == 1 for r in got)
