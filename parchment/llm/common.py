@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests)."""
+    """The cluster's shared folder; one of our own only in a local session where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all of the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parchment-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -44,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bundled(docs: DataFrame, **more) -> DataFrame:
+    """(row, and columns of more): docs' own columns together in row, where no other name can clash with theirs."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unbundled(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of df whose key is in keys; keys is broadcast only if a count shows it small."""
     if keys.limit(bound + 1).count() <= bound:

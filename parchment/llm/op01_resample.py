@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, small_batches, cut, kth_largest, some_ids, table, with_score
+from .common import among, bundled, cut, kth_largest, small_batches, some_ids, table, unbundled, with_score
 from .textnp import BASE, blocks, mix, per_text, shape_hash, words
 
 BUCKETS = 1 << 16
@@ -87,12 +87,15 @@ class Resampler:
                 out[i:j] += per_text(doc, self.logs[g], j - i)
         return out
 
-    def scored(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """Columns keep (all), log_weight and key."""
+    def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """Columns keep, and log_weight."""
         model = docs.sparkSession.sparkContext.broadcast(self)
-        df = with_score(docs, lambda c: model.value.weights(c), "__log_weight", keep)
+        return with_score(docs, lambda c: model.value.weights(c), "log_weight", keep)
+
+    def key(self):
+        """The sum of log_weight and Gumbel noise that doc_id decides."""
         u = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(self.seed)), F.lit(1 << 50)) + 0.5) / float(1 << 50)
-        return df.withColumn("__key", F.col("__log_weight") - F.log(-F.log(u)))
+        return F.col("log_weight") - F.log(-F.log(u))
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -106,34 +109,33 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((at[i] + at[i - 1]) / 2) if i else float(at[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, max_labelled: int = MAX_LABELLED) -> Resampler:
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, max_labelled: int = MAX_LABELLED) -> tuple[Resampler, DataFrame]:
+    """The model, and (doc_id, log_weight, key) of every row of docs by it."""
     good, bad = (some_ids(labels.where(F.col("quality") == q), max_labelled) for q in (1, 0))
-    if not len(good) or not len(bad):
-        return Resampler(np.zeros(BUCKETS), seed)
-    target, raw = counts(docs, good)
-    logs = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    model = Resampler(logs, seed)
-    scored = cut(model.scored(docs, ["doc_id"]))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = Resampler(np.zeros(BUCKETS), seed)
+    if len(good) and len(bad):
+        target, raw = counts(docs, good)
+        model.logs = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    scored = cut(model.scored(ids, ["doc_id"]).withColumn("key", model.key()))
     spark = docs.sparkSession
-    own = {}
-    for name, ids in (("good", good), ("bad", bad)):  # bounded: max_labelled ids each
-        few = spark.createDataFrame([(int(x),) for x in ids], "doc_id long")
-        own[name] = np.array([r[0] for r in scored.join(F.broadcast(few), "doc_id", "left_semi").select("__log_weight").collect()])
-    if not len(own["good"]) or not len(own["bad"]):
-        return model
-    at = best_cut(own["good"], own["bad"])
-    model.k = scored.where(F.col("__log_weight") >= at).count()
-    model.cut = kth_largest(scored, "__key", model.k) if model.k else float("inf")
-    return model
+    own = []
+    for few in (good, bad):  # bounded: max_labelled ids each
+        few = spark.createDataFrame([(int(x),) for x in few], "doc_id long")
+        own.append(np.array([r[0] for r in scored.join(F.broadcast(few), "doc_id", "left_semi").select("log_weight").collect()]))
+    if len(own[0]) and len(own[1]):
+        model.k = scored.where(F.col("log_weight") >= best_cut(*own)).count()
+        model.cut = kth_largest(scored, "key", model.k) if model.k else float("inf")
+    return model, scored
 
 
 def resampled(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of docs that are drawn, with their own columns only."""
-    model = fit(docs, labels, seed)
-    return model.scored(docs).where(F.col("__key") >= model.cut).select(*[f"`{c}`" for c in docs.columns])
+    model, _ = fit(docs, labels, seed)
+    rows = model.scored(bundled(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")), ["row", "doc_id"])
+    return unbundled(rows.where(model.key() >= model.cut), docs.columns)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return model.scored(docs, ["doc_id"]).select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__key").alias("gumbel_key"), (F.col("__key") >= model.cut).alias("kept"))
+    model, scored = fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), (F.col("key") >= model.cut).alias("kept"))

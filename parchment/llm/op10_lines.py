@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, stored, table
+from .common import BROADCAST_KEYS, bundled, cut, stored, table
 
 MIN_CHARS = 16
 EDGE = 24  # characters; of lines shorter than twice that, MIN_CHARS / 2
@@ -114,34 +114,35 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with an added array<int> column __kept: the numbers of the lines that stay, blank ones aside."""
+    """(row, text, n, marks): docs' rows and texts, how many lines stay, blank ones aside (null: none), and a byte of 1 at the number of each."""
     firsts, gone = first_lines(docs, min_chars)
     stays = firsts.join(gone, ["h", "g"], "left_anti").select("first.doc_id", "first.t", "first.pos")
-    per = cut(stays.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("__kept")))  # of one text's lines
-    keyed = docs.select("*", F.xxhash64("text").alias("__t"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(per["doc_id"]) & (keyed["__t"] == per["t"])
-    return keyed.join(per, on, "left").select(*[keyed[c] for c in docs.columns], "__kept")
+    at = F.sort_array(F.collect_list("pos"))  # of one text's lines
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    marks = F.array_join(F.zip_with(at, before, lambda x, y: F.concat(F.repeat(F.lit("0"), x - y - 1), F.lit("1"))), "")
+    per = cut(stays.groupBy("doc_id", "t").agg(F.count("*").alias("n"), marks.cast("binary").alias("marks")))
+    keyed = bundled(docs, id=F.col("doc_id").cast("long"), t=F.xxhash64("text"), text=F.col("text")).alias("d")
+    on = F.col("d.id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.t") == F.col("p.t"))
+    return keyed.join(per.alias("p"), on, "left").select("row", "text", "n", "marks")
 
 
-def _text(kept):
-    """The text of the lines that stay."""
+def _text():
+    """The text of the lines that stay; a line's mark is found by its number, whatever the number of lines."""
     line = F.split(F.col("text"), "\n", -1)
-    return F.array_join(F.filter(line, lambda x, i: _blank(x) | F.coalesce(F.array_contains(kept, i), F.lit(False))), "\n")
+    return F.array_join(F.filter(line, lambda x, i: _blank(x) | F.coalesce(F.substr(F.col("marks"), i + 1, F.lit(1)) == F.lit("1").cast("binary"), F.lit(False))), "\n")
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines that stay as text (and n_chars anew); a text of which no line stays goes, one that was blank doesn't."""
-    new = cleaned(docs, min_chars).withColumn("__text", F.when(F.col("text").isNotNull(), _text(F.col("__kept"))))
+    new = cleaned(docs, min_chars).withColumn("new", F.when(F.col("text").isNotNull(), _text()))
     was_blank = ~F.exists(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~_blank(x))
-    new = new.where(F.col("__kept").isNotNull() | was_blank)
-    out = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return new.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    new = new.where(F.col("n").isNotNull() | was_blank)
+    out = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return new.select(*[(out[c] if c in out else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = _text(F.col("__kept"))
-    rows = cleaned(docs).withColumn("clean", text)
-    n = F.size(F.split(F.col("text"), "\n", -1))
-    left = F.size(F.filter(F.split(F.col("text"), "\n", -1), lambda x: _blank(x))) + F.coalesce(F.size("__kept"), F.lit(0))
-    return rows.select("doc_id", n.cast("long").alias("n_lines"), left.cast("long").alias("n_kept"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))
+    rows = cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("clean", _text())
+    lines = F.split(F.col("text"), "\n", -1)
+    left = F.size(F.filter(lines, lambda x: _blank(x))) + F.coalesce("n", F.lit(0))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), left.cast("long").alias("n_kept"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))

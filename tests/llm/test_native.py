@@ -114,7 +114,5 @@ def test_lines(spark):
             earlier.append(x)
         want[i] = None if t is None else "\n".join(kept)
     df = spark.createDataFrame([(i, t, "c", 2) for i, t in docs], "doc_id long, text string, line string, n int").repartition(3)
-    out = op10.cleaned(df)
-    assert out.columns == [*df.columns, "__kept"]
-    got = {r.doc_id: r.clean for r in out.withColumn("clean", op10._text(out["__kept"])).collect()}
+    got = {r.row.doc_id: r.clean for r in op10.cleaned(df).withColumn("clean", op10._text()).collect()}
     assert got == want
