@@ -1,10 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Hashed words and word beginnings that tell confirmed toxic texts from texts without any label in use are chosen
-by their counts over all such texts. A linear model over them is trained on a sample of these texts (at most
-`max_positive` and `max_unlabelled`), of which only the chosen features come to the driver. Its risk is estimated from both: what the
-unlabelled texts cost as clean ones, less the share of the toxic among them, whose cost the positives tell;
-that difference is kept from going below zero. The share (class prior) comes from the labelled rows.
+by their counts over all such texts: those of the `MAX_FEATURES` greatest differences of `LEAST_Z` standard errors or
+more. A linear model over them is trained on all confirmed toxic and all unlabelled texts: what a text has of the
+features is stored, and in each of `ROUNDS` rounds tasks sum gradients over their texts, of which only the sums come
+to the driver. The risk is estimated from both: what the unlabelled texts cost as clean ones, less the share of the
+toxic among them, whose cost the positives tell; that difference is kept from going below zero. The share (class
+prior) comes from the labelled rows.
 
 Labels are learnt only from rows whose crc32 of doc_id, as text, modulo 5 is not 0, and the unlabelled texts
 are of those rows too. A score depends on the text alone. Defined results: a null text scores as an empty one;
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, among, small_batches, fold, some_ids, stored, table, with_score
+from .common import BROADCAST_KEYS, bundled, fold, small_batches, stored, table, unbundled, with_score
 from .textnp import BYTES, LOWER, MARKS, blocks, mix, words
 
 BUCKETS = 1 << 20
-MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
+ROUNDS, RATE = 120, 0.1
 MAX_FEATURES, LEAST_Z = 4096, 4
 FOLDS = 5
 
@@ -65,12 +67,16 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def counted(docs: DataFrame, toxic: DataFrame) -> DataFrame:
-    """(bucket, p, u): how many of the toxic and of all docs outside the held-out fold have it; bucket -1 has the texts."""
+def marked(docs: DataFrame, toxic: DataFrame) -> DataFrame:
+    """(text, p) of docs outside the held-out fold; p: whether it is one of toxic, else null."""
     ids = toxic.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("p", F.lit(True))
     if ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         ids = F.broadcast(ids)
-    marked = docs.where(fold("doc_id", FOLDS) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    return docs.where(fold("doc_id", FOLDS) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left").select("text", "p")
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(bucket, p, u): how many of the toxic and of all texts have it; bucket -1 has the texts."""
 
     def run(batches):
         seen = np.zeros((2, BUCKETS + 1), np.int64)
@@ -86,13 +92,13 @@ def counted(docs: DataFrame, toxic: DataFrame) -> DataFrame:
             part = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part - 1, pa.int32()), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["bucket", "p", "u"])
 
-    got = small_batches(marked).select("text", "p").mapInArrow(run, "bucket int, p long, u long")
+    got = small_batches(texts).mapInArrow(run, "bucket int, p long, u long")
     return got.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def telling(docs: DataFrame, toxic: DataFrame) -> np.ndarray | None:
-    """Buckets, in order, that differ most between the toxic and all docs outside the held-out fold; None without toxic ones."""
-    seen = stored(counted(docs, toxic))
+def telling(texts: DataFrame) -> np.ndarray | None:
+    """Buckets, in order, that differ most between the toxic and all texts; None without toxic ones."""
+    seen = stored(counted(texts))
     texts = seen.where("bucket = -1").first()
     if not texts or not texts.p:
         return None
@@ -103,87 +109,114 @@ def telling(docs: DataFrame, toxic: DataFrame) -> np.ndarray | None:
     return np.sort(np.array([r.bucket for r in rows], np.int32))
 
 
-def train(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, chosen: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights by bucket and bias that lessen the non-negative risk; doc, bucket, n: entries of the sparse matrix and how often; chosen: the buckets in use, else all."""
-    rows = len(positive)
-    chosen = np.unique(bucket) if chosen is None else chosen
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    col = place[bucket]
-    use = col >= 0
-    row, col, x = doc[use], col[use], value(n[use].astype(np.int64))
-    w, b = np.zeros(len(chosen) + 1), np.log(prior / (1 - prior))
-    w[-1] = b
+def sparse(texts: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(p, size, at, n): for a block of texts each, as bytes: whether toxic, how many chosen features, which, and how often."""
+    sent = texts.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        place = np.full(BUCKETS, -1, np.int16)
+        place[sent.value] = np.arange(len(sent.value))
+        for b in batches:
+            is_p = b.column("p").fill_null(False).to_numpy(zero_copy_only=False)
+            for i, j, buf, offs in blocks(b.column("text")):
+                doc, bucket, n = features(buf, offs)
+                at = place[bucket]
+                use = at >= 0
+                cells = is_p[i:j], np.bincount(doc[use], minlength=j - i).astype("<i4"), at[use], np.minimum(n[use], 7).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=["p", "size", "at", "n"])
+
+    return small_batches(texts).mapInArrow(run, "p binary, size binary, at binary, n binary")
+
+
+def block_sums(cells: tuple, w: np.ndarray) -> np.ndarray:
+    """2 x (features + 3): over all texts and over toxic ones, the gradient of log(1 + e^f) by weight and bias, its own sum, and the number of texts."""
+    is_p, size, at, n = cells
+    row, x = np.repeat(np.arange(len(size)), size), value(n.astype(np.int64))
+    f = np.bincount(row, w[at] * x, len(size)) + w[-1]
+    s = 1 / (1 + np.exp(-np.clip(f, -500, 500)))
+    out = np.zeros((2, len(w) + 2))
+    for k, of in enumerate((np.ones(len(size)), is_p.astype(float))):
+        out[k, : len(w) - 1] = np.bincount(at, (s * of)[row] * x, len(w) - 1)
+        out[k, len(w) - 1 :] = (s * of).sum(), (np.logaddexp(0, f) * of).sum(), of.sum()
+    return out
+
+
+def summed(rows: DataFrame):
+    """A function of weights and bias: block_sums over all rows, and with it the toxic texts' sums of features."""
+    spark = rows.sparkSession
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(w)
+
+        def run(batches):
+            total = np.zeros((2, len(sent.value) + 2))
+            for b in batches:
+                for cells in zip(*(b.column(c).to_pylist() for c in ("p", "size", "at", "n"))):
+                    total += block_sums(tuple(np.frombuffer(c, t) for c, t in zip(cells, (np.bool_, "<i4", np.int16, np.int8))), sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["i", "u", "p"])
+
+        got = rows.mapInArrow(run, "i long, u double, p double").groupBy("i").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toArrow()
+        sent.unpersist()
+        out = np.zeros((2, len(w) + 2))
+        at = got.column("i").to_numpy()
+        out[0, at], out[1, at] = got.column("u").to_numpy(), got.column("p").to_numpy()
+        return out
+
+    return sums
+
+
+def train(sums, features: int, prior: float, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, float]:
+    """Weights and bias that lessen the non-negative risk; sums as summed() gives them.
+
+    With l(f) = log(1 + e^f) the risk is prior * mean over toxic of l(-f), and the mean over unlabelled of l(f) less
+    prior * mean over toxic of l(f), or 0 if that is less; below 0 a step goes the other way.
+    """
+    w = np.zeros(features + 1)
+    # at weights 0, where the gradient of l is half the features
+    own = 2 * sums(w)[1, : features + 1]
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    p, u = positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
-    sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
     for t in range(1, rounds + 1):
-        f = np.bincount(row, w[col] * x, rows) + w[-1]
-        s = sig(f)
-        clean = (u * np.logaddexp(0, f)).sum() - prior * (p * np.logaddexp(0, f)).sum()
-        # d/df of: prior * loss+ on positives, and the part that must stay above zero
-        g = prior * p * (s - 1) + (u * s - prior * p * s) if clean >= 0 else -(u * s - prior * p * s)
-        grad = np.append(np.bincount(col, g[row] * x, len(chosen)) + 1e-5 * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    out = np.zeros(BUCKETS)
-    out[chosen] = w[:-1]
-    return out, float(w[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Toxicity:
+        u, p = sums(w)
+        gu, gp, g1 = u[:-2] / u[-1], p[:-2] / p[-1], own / p[-1]
+        clean = gu - prior * gp
+        grad = prior * (gp - g1) + (clean if u[-2] / u[-1] >= prior * p[-2] / p[-1] else -clean)
+        grad[:-1] += 1e-5 * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        step = rate * min(1.0, 2 * (1 - t / (rounds + 1)))
+        w = w - step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     learn = labels.where(fold("doc_id", FOLDS) != 0).where(F.col("toxic").isNotNull())
     all_, toxic = learn.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
+    none = Toxicity(np.zeros(BUCKETS), -745.0)
     if not toxic:
-        return Toxicity(np.zeros(BUCKETS), -745.0)
-    prior = min(0.99, toxic / all_)
-    chosen = telling(docs, learn.where(F.col("toxic") == 1))
+        return none
+    texts = marked(docs, learn.where(F.col("toxic") == 1))
+    chosen = telling(texts)
     if chosen is None:
-        return Toxicity(np.zeros(BUCKETS), -745.0)
-    p, u = some_ids(learn.where(F.col("toxic") == 1), max_positive), some_ids(docs.where(fold("doc_id", FOLDS) != 0), max_unlabelled)
-    sent = docs.sparkSession.sparkContext.broadcast((p, u, chosen))
+        return none
+    weights, bias = train(summed(stored(sparse(texts, chosen))), len(chosen), min(0.99, toxic / all_))
+    out = np.zeros(BUCKETS)
+    out[chosen] = weights
+    return Toxicity(out, bias)
 
-    def run(batches):
-        p, u, chosen = sent.value
-        use = np.zeros(BUCKETS, bool)
-        use[chosen] = True
-        for b in batches:
-            is_p, is_u = among(p, b.column("doc_id")), among(u, b.column("doc_id"))
-            take = np.flatnonzero(is_p | is_u)
-            if len(take):
-                texts = b.column("text").take(pa.array(take))
-                for i, j, buf, offs in blocks(texts):
-                    doc, bucket, n = features(buf, offs)
-                    kept = use[bucket]
-                    doc, bucket, n = doc[kept], bucket[kept], n[kept]
-                    size = np.bincount(doc, minlength=j - i)
-                    lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(a, t))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(is_p[take[i:j]]), pa.array(is_u[take[i:j]]), lists(bucket, pa.int32()), lists(np.minimum(n, 7), pa.int8())], names=["p", "u", "bucket", "n"])
-
-    got = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "p boolean, u boolean, bucket array<int>, n array<tinyint>").toArrow()
-    if not got.num_rows:
-        return Toxicity(np.zeros(BUCKETS), -745.0)
-    lists, n = got.column("bucket").combine_chunks(), got.column("n").combine_chunks()
-    doc = np.repeat(np.arange(got.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
-    flat = lists.flatten().to_numpy()
-    positive, unlabelled = (got.column(c).to_numpy() for c in ("p", "u"))
-    if not positive.any() or not unlabelled.any():
-        return Toxicity(np.zeros(BUCKETS), -745.0)
-    return Toxicity(*train(doc, flat, n.flatten().to_numpy(), positive, unlabelled, prior, chosen=chosen))
-
-
-def scored(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "__toxic") -> DataFrame:
+
+def scored(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
+    """Columns keep, and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return with_score(docs, lambda c: sent.value.scores(c), name, keep)
+    return with_score(docs, lambda c: sent.value.scores(c), "score", keep)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their own columns only."""
-    model = fit(docs, labels)
-    return scored(docs, model).where(F.col("__toxic") < 0.5).select(*[f"`{c}`" for c in docs.columns])
+    rows = scored(bundled(docs, text=F.col("text")), fit(docs, labels), ["row"])
+    return unbundled(rows.where(F.col("score") < 0.5), docs.columns)
 
 
 def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = scored(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"], "score")
+    rows = scored(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return rows.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
