@@ -84,10 +84,13 @@ def scan(files: DataFrame, end: int, width: int = 2, block: int = BLOCK) -> Data
                     ends = np.append(ends, size // width)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at]), pa.array([ends.tolist()], pa.list_(pa.int64()))], names=["file", "at", "ends"])
 
-    found = parts.mapInArrow(run, "file string, at long, ends array<long>")
+    found = cut(parts.mapInArrow(run, "file string, at long, ends array<long>"))
+    # the scan is over one small row a block; the separators stay where they are until it is done
     earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns({"first": F.coalesce(F.max(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)).over(earlier) + 1, F.lit(0)), "before": F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0))})
-    rows = found.select("file", "first", "before", "ends", F.posexplode("ends").alias("pos", "stop"))
+    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
+    before = found.select("file", "at", last.alias("last"), F.size("ends").alias("n"))
+    before = before.select("file", "at", F.coalesce(F.max("last").over(earlier) + 1, F.lit(0)).alias("first"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = found.join(before.hint("merge"), ["file", "at"]).select("file", "first", "before", "ends", F.posexplode("ends").alias("pos", "stop"))
     start = F.when(F.col("pos") == 0, F.col("first")).otherwise(F.element_at("ends", F.greatest(F.col("pos"), F.lit(1))) + 1)
     return rows.select("file", (F.col("before") + F.col("pos")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"))
 
@@ -96,7 +99,7 @@ def counted(docs: DataFrame, path: str | None = None, end: int = 50256, block: i
     """(doc_id, n_tokens): texts written to token files, and these scanned."""
     rows = token_files(docs, path or tokenizer_path(), end)
     found = scan(rows.where(F.col("ordinal") < 0).select("file", "bytes"), end, 2, block)
-    return rows.where(F.col("ordinal") >= 0).select("file", "ordinal", "doc_id").join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return rows.where(F.col("ordinal") >= 0).select("file", "ordinal", "doc_id").join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
