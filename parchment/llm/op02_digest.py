@@ -7,7 +7,7 @@ different classes and fingerprints. Only digests that occur more than once have
 
 Defined results: a null text is an empty one; likeness of fingerprints is 1 for equal, else 0; documents are in
 order of doc_id (a null one first), those of one doc_id by a hash of their text; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored. Rows of one doc_id are sorted in one task: ids are taken to be nearly unique.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, keep_keys, table
+from .common import BROADCAST_KEYS, cut, keep_keys, stored, table
 
 LEAST = -(2**63)
-BLOCK_BITS, BLOCKS_BITS = 8, 12
+BLOCK_BITS = 8
 
 
 def canonical(c: Column) -> Column:
@@ -50,6 +50,7 @@ def classes(docs: DataFrame, bits: int = 128) -> tuple[DataFrame, DataFrame]:
     many = cut(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     # bytes are compared here: the canonical form itself is a key, and copies meet before they move
     own = keep_keys(rows, many, ["digest"]).groupBy("digest", "canon").agg(F.min("k").alias("class_id"), F.count("*").alias("copies"))
+    own = stored(own)
     own = own.select("digest", "canon", "class_id", "copies", F.count("*").over(Window.partitionBy("digest")).alias("texts"))
     once = cut(own.where("texts = 1").select("digest", "class_id", "copies"))
     split = own.where("texts > 1").withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("class_id", "canon")) - 1)
@@ -61,14 +62,14 @@ def classes(docs: DataFrame, bits: int = 128) -> tuple[DataFrame, DataFrame]:
 
 
 def after(ids: DataFrame) -> DataFrame:
-    """(b, next): of each distinct number b the next larger one, of the largest the smallest; in blocks of numbers."""
-    one = ids.select("b").distinct().withColumn("up", F.shiftright("b", BLOCKS_BITS))
-    tops = one.groupBy("up").agg(F.min("b").alias("first"))
-    # one row for each 2^20 ids
-    first = F.first("first").over(Window.orderBy("up").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select("up", F.coalesce(F.lead("first").over(Window.orderBy("up")), first).alias("beyond"))
-    within = one.withColumn("within", F.lead("b").over(Window.partitionBy("up").orderBy("b")))
-    return within.join(tops, "up").select("b", F.coalesce("within", "beyond").alias("next"))
+    """(b, next): of each distinct number b the next larger one, of the largest the smallest; numbers alone are sorted."""
+    one = stored(ids.select("b").distinct().repartitionByRange("b").select("b", F.spark_partition_id().alias("part")))
+    # a row for each partition of the sort
+    tops = one.groupBy("part").agg(F.min("b").alias("first"))
+    first = F.first("first").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), first).alias("beyond"))
+    within = one.withColumn("within", F.lead("b").over(Window.partitionBy("part").orderBy("b")))
+    return within.join(F.broadcast(tops), "part").select("b", F.coalesce("within", "beyond").alias("next"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
