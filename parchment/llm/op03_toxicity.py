@@ -4,7 +4,7 @@ Hashed words and word beginnings that tell confirmed toxic texts from texts with
 by their counts over all such texts: those of the `MAX_FEATURES` greatest differences of `LEAST_Z` standard errors or
 more. A linear model over them is trained on all confirmed toxic and all unlabelled texts: what a text has of the
 features is stored, and in each of `ROUNDS` rounds tasks sum gradients over their texts, of which only the sums come
-to the driver. The risk is estimated from both: what the unlabelled texts cost as clean ones, less the share of the
+to the driver: those of each partition where these are few, else added up by feature first. The risk is estimated from both: what the unlabelled texts cost as clean ones, less the share of the
 toxic among them, whose cost the positives tell; that difference is kept from going below zero. The share (class
 prior) comes from the labelled rows.
 
@@ -26,7 +26,8 @@ from .common import BROADCAST_KEYS, bundled, fold, small_batches, stored, table,
 from .textnp import BYTES, LOWER, MARKS, blocks, mix, words
 
 BUCKETS = 1 << 20
-ROUNDS, RATE = 120, 0.1
+ROUNDS, RATE = 60, 0.2
+FEW = 64  # partitions whose sums come straight to the driver
 MAX_FEATURES, LEAST_Z = 4096, 4
 FOLDS = 5
 
@@ -143,7 +144,13 @@ def block_sums(cells: tuple, w: np.ndarray) -> np.ndarray:
 
 def summed(rows: DataFrame):
     """A function of weights and bias: block_sums over all rows, and with it the toxic texts' sums of features."""
-    spark = rows.sparkSession
+    spark, parts = rows.sparkSession, rows.rdd.getNumPartitions()
+
+    def spread(batches):
+        for b in batches:
+            for u, p in zip(*(b.column(c).to_pylist() for c in ("u", "p"))):
+                u, p = np.frombuffer(u), np.frombuffer(p)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u))), pa.array(u), pa.array(p)], names=["i", "u", "p"])
 
     def sums(w: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(w)
@@ -153,13 +160,15 @@ def summed(rows: DataFrame):
             for b in batches:
                 for cells in zip(*(b.column(c).to_pylist() for c in ("p", "size", "at", "n"))):
                     total += block_sums(tuple(np.frombuffer(c, t) for c, t in zip(cells, (np.bool_, "<i4", np.int16, np.int8))), sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["i", "u", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total], names=["u", "p"])
 
-        got = rows.mapInArrow(run, "i long, u double, p double").groupBy("i").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toArrow()
-        sent.unpersist()
         out = np.zeros((2, len(w) + 2))
-        at = got.column("i").to_numpy()
-        out[0, at], out[1, at] = got.column("u").to_numpy(), got.column("p").to_numpy()
+        if parts <= FEW:
+            for u, p in rows.mapInArrow(run, "u binary, p binary").collect():
+                out += np.frombuffer(u), np.frombuffer(p)
+            return out
+        for r in rows.mapInArrow(run, "u binary, p binary").mapInArrow(spread, "i long, u double, p double").groupBy("i").agg(F.sum("u"), F.sum("p")).collect():
+            out[:, r[0]] = r[1], r[2]
         return out
 
     return sums
