@@ -25,6 +25,8 @@ rows with a null doc_id are classed with their texts, and only a class of such r
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,8 @@ from .textnp import Words, blocks, mix, shingles, words
 BANDS, ROWS = 40, 7
 SIZE, LEAST = 5, 0.8
 DARTS = 10  # a coordinate of the signature
-ODD = 1024  # bits of the parity sketch
+ODD = 4096  # bits of the parity sketch
+FOLDED = 16  # words that the sketch is folded to for a first look
 
 
 def elements(w: Words, docs: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,10 +129,16 @@ def parity(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int,
 
 
 def may_be(x: str, y: str, least: float):
-    """Whether rows with (n, odd) named x and y can be as similar as least; as a condition of the join itself."""
-    only_one = sum((F.bit_count(F.get(f"{x}.odd", F.lit(i)).bitwiseXOR(F.get(f"{y}.odd", F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
+    """Whether rows with (n, fold, odd) named x and y can be as similar as least; as a condition of the join itself.
+
+    odd is a parity sketch, and so is fold, its words folded together by exclusive or: cheaper, but for long texts blunter.
+    """
+    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     allowed = (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - least) / (1 + least)) + 1e-6
-    return (F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n") - 1e-9) & (only_one <= allowed)
+    sizes = F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n") - 1e-9
+    folded = sum((apart(F.get(f"{x}.fold", F.lit(i)), F.get(f"{y}.fold", F.lit(i))) for i in range(FOLDED)), F.lit(0))
+    whole = F.aggregate(F.zip_with(f"{x}.odd", f"{y}.odd", apart), F.lit(0), lambda a, v: a + v)
+    return sizes & (folded <= allowed) & (whole <= allowed)
 
 
 def renamed(a: np.ndarray, b: np.ndarray, clashing: np.ndarray) -> np.ndarray:
@@ -257,6 +266,8 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     mixed = per.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     mixed = placed.join(mixed, "key")
     traits = signs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
+    folds = [reduce(lambda a, b: a.bitwiseXOR(b), [F.get("odd", F.lit(i + j)) for j in range(0, ODD // 64, FOLDED)]) for i in range(FOLDED)]
+    traits = traits.withColumn("fold", F.array(*folds))
     mixed = stored(mixed.join(_sized(mixed.select("id").distinct().join(traits, "id")), "id"))
     x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
