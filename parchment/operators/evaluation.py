@@ -45,3 +45,54 @@ def null_profile(df: DataFrame) -> DataFrame:
     """(column, rows, nulls) of every column in one pass."""
     one = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in df.columns])
     return one.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls")) for c in df.columns])).alias("x")).select("x.column", "rows", "x.nulls")
+
+
+def checked(truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(doc_id, field, expected, extracted, correct): truth(doc_id, field, expected) beside extracted(doc_id, field, value)."""
+    rows = truth.join(extracted.select("doc_id", "field", F.col("value").alias("extracted")), ["doc_id", "field"], "left")
+    return rows.withColumn("correct", same_value(F.col("expected"), F.col("extracted")))
+
+
+def long_form(extracted: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, field, value): these fields as texts; lists as JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in extracted.schema.fields}
+    text = lambda c: F.to_json(c) if kinds[c].startswith("array") else F.col(c).cast("string")
+    return extracted.select("doc_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), text(c).alias("value")) for c in fields])))
+
+
+def field_accuracy(rows: DataFrame) -> DataFrame:
+    """(field, n, accuracy) of checked rows; rows without an expectation don't count."""
+    return rows.where(F.col("correct").isNotNull()).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+
+
+def united(*frames: DataFrame) -> DataFrame:
+    """Rows of all frames by column name; what one lacks is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def value_counts(df: DataFrame, column: str, order: list) -> DataFrame:
+    """(ord, value, n) of these values in this order, 0 where one doesn't occur."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    want = df.sparkSession.createDataFrame(list(enumerate(order)), ["ord", "value"])
+    return F.broadcast(want).join(counts, "value", "left").select("ord", "value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def quartiles(df: DataFrame, by: str, column: str) -> DataFrame:
+    """Least, quartiles and most of a column, exact, for each value of by."""
+    p = F.percentile(column, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0)))
+    return df.groupBy(by).agg(p.alias("p")).select(by, *[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))])
+
+
+def ranked_correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """(column, corr) of each column with the target, in one pass; the largest first."""
+    one = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("corr")) for c in columns])))
+    return rows.orderBy(F.desc("corr"))
+
+
+def replication(df: DataFrame, made: str, given: str) -> DataFrame:
+    """How a count made from rules agrees with the given one: correlation and share of equal ones."""
+    return df.agg(F.corr(made, given).alias("corr"), F.avg((F.col(made) == F.col(given)).cast("double")).alias("equal"))

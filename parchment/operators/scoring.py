@@ -86,9 +86,9 @@ def label(score: Column) -> Column:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """score (half to even), label, and reasons: contributions of half a point or more, largest first."""
-    parts = [F.struct((-F.abs(F.bround(F.col(k) * w, 1))).alias("less"), F.lit(i).alias("i"), F.lit(k).alias("feature"), F.bround(F.col(k) * w, 1).alias("points")) for i, (k, w) in enumerate(WEIGHTS.items())]
-    big = F.filter(F.array(*parts), lambda p: p["less"] <= -0.5)
+    """score (half to even), label, and reasons: contributions of half a point or more (before they are rounded), largest first."""
+    parts = [F.struct((-F.abs(F.bround(F.col(k) * w, 1))).alias("less"), (F.abs(F.col(k) * w) >= 0.5).alias("big"), F.lit(i).alias("i"), F.lit(k).alias("feature"), F.bround(F.col(k) * w, 1).alias("points")) for i, (k, w) in enumerate(WEIGHTS.items())]
+    big = F.filter(F.array(*parts), lambda p: p["big"])
     reasons = F.transform(F.array_sort(big), lambda p: F.struct(p["feature"].alias("feature"), p["points"].alias("points")))
     s = raw_score()
     return df.withColumn("raw_score", s).withColumns({"score": F.bround("raw_score", 0).cast("int"), "label": label(F.col("raw_score")), "reasons": reasons})

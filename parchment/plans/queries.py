@@ -30,12 +30,9 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    """df for costly expressions of each row: dealt over all cores where its files, smaller than a split for each core, leave some idle."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    """df for costly expressions of each row: dealt over all cores where its files leave some idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # ---------------------------------------------------------------- cleaning
@@ -159,7 +156,7 @@ def policy_features(spark, d):
 
 
 @query(f"WITH {_POLICIES_SQL} SELECT policy_id, raw_score, round_even(raw_score, 0)::INT AS score, CASE WHEN raw_score >= 80 THEN 'Strong Coverage' WHEN raw_score >= 58 THEN 'Moderate Coverage' WHEN raw_score >= 38 THEN 'Caution Required' ELSE 'High Risk' END AS label, "
-       + " + ".join(f"(abs(round_even(({k} * {w})::DOUBLE, 1)) >= 0.5)::INT" for k, w in scoring.WEIGHTS.items()) + " AS n_reasons FROM p5")
+       + " + ".join(f"(abs(({k} * {w})::DOUBLE) >= 0.5)::INT" for k, w in scoring.WEIGHTS.items()) + " AS n_reasons FROM p5")
 def policy_scores(spark, d):
     """The transparent score with its reasons and label."""
     return scoring.scored(scoring.featured(_policies(spark, d))).select("policy_id", "raw_score", "score", "label", F.size("reasons").alias("n_reasons"))
