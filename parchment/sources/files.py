@@ -23,7 +23,7 @@ def documents(spark: SparkSession, path: str, magic: bytes | None = None, glob:
 def pages(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(doc_id, page, text, ocr) of text files, whose pages are parted by form feeds; a file is read by one task."""
     rows, _ = documents(spark, path, glob=glob)
-    rows = rows.select("doc_id", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\f", -1)).alias("page", "text"))
+    rows = rows.select("doc_id", F.posexplode(F.split(F.decode("content", "UTF-8"), "\f", -1)).alias("page", "text"))
     return rows.select("doc_id", (F.col("page") + 1).alias("page"), "text", F.lit(False).alias("ocr"))
 
 
