@@ -13,27 +13,27 @@ from parchment.llm.common import stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null and empty texts score alike, repeated rows too; an empty table gives none, without toxic labels all stay."""
     return op03_toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that resampling towards good text doesn't draw go."""
+    """Documents that resampling towards good text doesn't draw go. Null and empty texts have the logarithm 0 as weight; rows equal to the last drawn key stay; without labels all stay."""
     return op01_resample.resampled(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before go, and documents of which nothing is left."""
+    """Lines seen before go, and documents of which nothing is left. Null, empty and blank texts stay; rows equal in doc_id and text are one document; of equal lines the earliest stays."""
     return op10_lines.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, that of the smallest doc_id. Texts without words all stay; of repeated rows one does; one with a null doc_id stays only if its class has no other."""
     return op08_minhash.deduplicated(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences. A null or empty text is the end token alone; repeated rows are packed as often as they come; an empty table gives no rows."""
     return op04_packing.pack(docs)
 
 
