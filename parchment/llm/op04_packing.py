@@ -3,7 +3,8 @@
 Only the count of pieces of each length (at most `capacity` numbers) reaches the driver. There, per bin, a
 bitset holds the sums that the lengths at hand can reach; the fullest one is taken apart into lengths, and
 that combination is removed as often as the counts allow. Pieces are then dealt to the planned places by
-their rank among those of their length; ranks come from counts per block, so no length meets in one task.
+their rank among those of their length; ranks come from counts per block, so pieces of one length are sorted in
+many tasks, and only the blocks' counts (4,096 of a length) in one.
 
 Defined results: a null text packs as an empty one (the end token alone); equal texts and repeated doc_ids are
 packed as often as they come; an empty table gives no rows; other columns are ignored.
