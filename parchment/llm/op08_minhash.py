@@ -261,7 +261,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     links = cut(similar(stars, near, least, size))
     labels = components(links)
     # what shares a bucket but not a component, and hasn't met
-    placed = full.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    placed = full.join(labels, "id", "left").select("key", "id", "head", F.coalesce("label", "id").alias("label"))
     per = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     mixed = placed.join(mixed, "key")
@@ -270,7 +270,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     traits = traits.withColumn("fold", F.array(*folds))
     mixed = stored(mixed.join(_sized(mixed.select("id").distinct().join(traits, "id")), "id"))
     x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    # a bucket's head has met all others of it as their star
+    unmet = (F.col("x.id") != F.col("x.head")) & (F.col("y.id") != F.col("y.head"))
+    apart = (F.col("x.key") == F.col("y.key")) & unmet & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     rest = x.join(y, apart & may_be("x", "y", least)).select(F.greatest("x.id", "y.id").alias("x"), F.least("x.id", "y.id").alias("y"))
     rest = rest.distinct().join(stars, ["x", "y"], "left_anti")
     more = cut(similar(cut(rest.select("x", "y")), near, least, size))
