@@ -201,10 +201,11 @@ def label_counts(spark, d):
     return evaluation.value_counts(_analysed(spark, d), "label", [*models.LABELS, "None"])
 
 
-@query("SELECT c_mktsegment, min(c_acctbal)::DOUBLE AS least, quantile_cont(c_acctbal, 0.25)::DOUBLE AS q1, quantile_cont(c_acctbal, 0.5)::DOUBLE AS median, quantile_cont(c_acctbal, 0.75)::DOUBLE AS q3, max(c_acctbal)::DOUBLE AS most FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, min(c_acctbal)::DOUBLE AS least, round(quantile_cont(c_acctbal, 0.25), 4)::DOUBLE AS q1, round(quantile_cont(c_acctbal, 0.5), 4)::DOUBLE AS median, round(quantile_cont(c_acctbal, 0.75), 4)::DOUBLE AS q3, max(c_acctbal)::DOUBLE AS most FROM customer GROUP BY c_mktsegment")
 def balance_quartiles(spark, d):
     """What a box plot shows."""
-    return evaluation.quartiles(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    got = evaluation.quartiles(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    return got.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 @query("SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS \"column\", round(unnest([corr(l_quantity, l_extendedprice), corr(l_discount, l_extendedprice), corr(l_tax, l_extendedprice), corr(l_linenumber, l_extendedprice)]), 8) AS corr FROM lineitem")
