@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 
@@ -27,15 +28,21 @@ class ByteLevel:
 
     def __init__(self, path: str, ordinary: bool = False):
         """ordinary: the strings of special tokens in a text are ordinary text."""
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.tok.encode_special_tokens = ordinary
+        self.path, self.ordinary = path, ordinary
         self.allowed = set() if ordinary else "all"
         self.fast = self._fast(path)
 
+    @cached_property
+    def tok(self):
+        """The library's tokenizer, loaded where a text needs it: workers hold one vocabulary, not two."""
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(self.path)
+        tok.no_truncation()
+        tok.no_padding()
+        tok.encode_special_tokens = self.ordinary
+        return tok
+
     def _fast(self, path: str):
         import tiktoken
 

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, max_labelled: int =
     spark = docs.sparkSession
     own = []
     for few in (good, bad):  # bounded: max_labelled ids each
-        few = spark.createDataFrame([(int(x),) for x in few], "doc_id long")
+        few = spark.createDataFrame(pa.table({"doc_id": pa.array(few, pa.int64())}))
         own.append(np.array([r[0] for r in scored.join(F.broadcast(few), "doc_id", "left_semi").select("log_weight").collect()]))
     if len(own[0]) and len(own[1]):
         model.k = scored.where(F.col("log_weight") >= best_cut(*own)).count()

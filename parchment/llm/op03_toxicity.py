@@ -86,8 +86,8 @@ def counted(texts: DataFrame) -> DataFrame:
             seen[:, 0] += is_p.sum(), len(is_p)
             for i, j, buf, offs in blocks(b.column("text")):
                 doc, bucket, _ = features(buf, offs)
-                seen[1] += np.bincount(bucket + 1, minlength=BUCKETS + 1)
-                seen[0] += np.bincount(bucket[is_p[i:j][doc]] + 1, minlength=BUCKETS + 1)
+                np.add.at(seen[1], bucket + 1, 1)
+                np.add.at(seen[0], bucket[is_p[i:j][doc]] + 1, 1)
         at = np.flatnonzero(seen[1])
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]

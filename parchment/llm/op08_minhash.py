@@ -124,7 +124,9 @@ def parity(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int,
     number = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
     with np.errstate(over="ignore"):
         at = (mix(np.repeat(element, weight) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 47) % np.uint64(size)).astype(np.int64)
-    odd = (np.bincount(np.repeat(doc, weight) * size + at, minlength=docs * size) & 1).astype(np.uint8)
+    odd = np.zeros(docs * size, np.uint8)
+    np.add.at(odd, np.repeat(doc, weight) * size + at, np.uint8(1))  # wraps at 256, which is even
+    odd &= 1
     return np.packbits(odd.reshape(docs, size), 1).view(np.int64).reshape(docs, size // 64)
 
 

@@ -70,7 +70,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts of about limit bytes together, or of a single longer one."""
     buf, offs = buffers(column)
     i, n = 0, len(offs) - 1
