@@ -266,7 +266,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
     placed = full.join(labels, "id", "left").select("key", "id", "head", F.coalesce("label", "id").alias("label"))
     per = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    mixed = placed.join(mixed, "key")
+    mixed = cut(placed.join(mixed, "key"))  # read three times below
     traits = signs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
     folds = [reduce(lambda a, b: a.bitwiseXOR(b), [F.get("odd", F.lit(i + j)) for j in range(0, ODD // 64, FOLDED)]) for i in range(FOLDED)]
     traits = traits.withColumn("fold", F.array(*folds))
