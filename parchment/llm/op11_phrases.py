@@ -35,7 +35,7 @@ from .ranks import ranked, sized
 from .textnp import BASE, LOWER, buffers, mix, words
 
 LEAST, LONGEST, FIRST = 30, 4, 2_000
-SHARD = 1 << 23  # bytes of text in a suffix array
+SHARD = 1 << 21  # bytes of text in a suffix array; its arrays take some 50 times as much
 BITS = 1 << 28
 
 ENDS = np.zeros(256, bool)  # bytes that end a piece
