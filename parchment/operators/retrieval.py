@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def term_list(text: Column, stop: list[str]) -> Column:
+    """Words of two characters or more without stop words, and pairs of these; a term is 64 bits of its hash, which move and group faster."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+
+    def both(w: Column) -> Column:
+        pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+        return F.transform(F.concat(w, pairs), lambda t: F.xxhash64(t))
+
+    # the list of words is bound once, as an element, not taken again for each pair
+    return F.flatten(F.transform(F.array(words), both))
+
+
 def grams(docs: DataFrame, key: str, stop: list[str]) -> DataFrame:
-    """(key, term, tf): words of two characters or more without stop words, and pairs of these; a term is 64 bits of its hash, which move and group faster."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~F.array_contains(F.array(*map(F.lit, stop)), w) if stop else F.lit(True))
-    rows = docs.select(key, words.alias("w"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
-    return rows.select(key, F.explode(F.transform(F.concat("w", pairs), lambda t: F.xxhash64(t))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of docs(key, text)."""
+    return docs.select(key, F.explode(term_list(F.col("text"), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fit(docs: DataFrame, key: str, stop: list[str], queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
