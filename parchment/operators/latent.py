@@ -22,7 +22,7 @@ BLOCK = 128  # columns whose sums travel together
 
 
 def rows_of(texts: DataFrame, key: str, stop: list[str], columns: int, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((key, at, w): columns and weights of each text, of unit length; idf(column, idf), of texts if not given)."""
+    """((key, _at, _w): columns and weights of each text, of unit length; idf(column, idf), of texts if not given)."""
     terms = F.explode_outer(F.transform(term_list(F.coalesce("text", F.lit("")), stop), lambda t: F.pmod(t, F.lit(columns)).cast("int")))
     tf = texts.select(key, terms.alias("column")).groupBy(key, "column").agg(F.count("*").alias("tf"))
     if idf is None:
@@ -32,12 +32,12 @@ def rows_of(texts: DataFrame, key: str, stop: list[str], columns: int, idf: Data
     rows = tf.join(sized(idf), "column", "left").withColumn("w", F.when(F.col("idf").isNotNull(), (1 + F.ln("tf")) * F.col("idf")))
     rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("column", "w")))).alias("l"))
     size = F.sqrt(F.aggregate("l", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.select(key, F.col("l.column").alias("at"), F.transform("l", lambda x: x["w"] / size).alias("w")), idf
+    return rows.select(key, F.col("l.column").alias("_at"), F.transform("l", lambda x: x["w"] / size).alias("_w")), idf
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, weight) of the entries of a batch."""
-    at, w = batch.column("at"), batch.column("w")
+    at, w = batch.column("_at"), batch.column("_w")
     many = np.diff(at.offsets.to_numpy())
     return np.repeat(np.arange(len(many)), many), at.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
 
@@ -52,7 +52,7 @@ def _times(row: np.ndarray, column: np.ndarray, weight: np.ndarray, rows: int, b
 
 
 def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
-    """AᵀA block for the matrix A of rows(at, w): one pass; tasks add up before they send, at most one sum for each core."""
+    """AᵀA block for the matrix A of rows(_at, _w): one pass; tasks add up before they send, at most one sum for each core."""
     columns, width = block.shape
     sent = rows.sparkSession.sparkContext.broadcast(block)
 
@@ -77,7 +77,7 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.select("at", "w").coalesce(cores).mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary").collect()
+    parts = rows.select("_at", "_w").coalesce(cores).mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary").collect()
     out = np.zeros((columns, width))
     for at, sums in parts:
         got = np.frombuffer(sums).reshape(-1, width)

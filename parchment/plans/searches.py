@@ -152,9 +152,9 @@ def hybrid_policy_search(spark, d):
     asks = chunks.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % n).alias("query_id"))
     index = kept(indexes.indexed(chunks.repartition("doc_id"), "doc_id", "chunk", questions, indexes.STOP_WORDS))
     sparse = indexes.sparse_scores(index, "doc_id", "chunk", asks, questions, indexes.STOP_WORDS)
-    named = chunks.select(F.struct("doc_id", "chunk").alias("at"), "text")
-    model = latent.fit(named, "at", indexes.STOP_WORDS)
-    vectors = model.vectors(named, "at").select("at.doc_id", "at.chunk", "v")
+    named = chunks.select(F.struct("doc_id", "chunk").alias("id"), "text")
+    model = latent.fit(named, "id", indexes.STOP_WORDS)
+    vectors = model.vectors(named, "id").select("id.doc_id", "id.chunk", "v")
     asked = model.vectors(questions, "query_id").withColumnRenamed("v", "qv")
     dense = indexes.dense_scores(vectors, "doc_id", "chunk", asks, asked)
     mode = chunks.select("doc_id", F.lit(True).alias("hybrid")).distinct()

@@ -117,7 +117,7 @@ def test_decomposition(spark, matrix):
     rows, _ = latent.rows_of(df, "k", [], 512)
     a = np.zeros((152, 512))
     for i, r in enumerate(rows.collect()):
-        a[i, r["at"]] = r["w"]
+        a[i, r["_at"]] = r["_w"]
     _, s, vt = np.linalg.svd(a, full_matrices=False)
     assert np.allclose(model.strength, s[:6], rtol=1e-3)
     assert np.linalg.norm(model.basis.T @ vt[:6].T, 2) <= 1 + 1e-9 and np.linalg.svd(model.basis.T @ vt[:6].T)[1].min() > 0.99
