@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evaluation, scoring
+from .boosting import SoftmaxBoosting
 
 #: Numeric features in order, and labels.
 NUMERIC = [
@@ -32,13 +33,13 @@ def preprocess() -> list:
 
 
 def candidates(trees: int = 400, rounds: int = 100, seed: int = 42) -> dict[str, Callable]:
-    """The classifiers by name; boosting knows two classes, so one model is made for each class."""
+    """The classifiers by name."""
     own = {"labelCol": "label", "featuresCol": "features"}
     return {
         "Logistic Regression": lambda: LogisticRegression(maxIter=200, regParam=0.0025, weightCol="weight", **own),
         "Decision Tree": lambda: DecisionTreeClassifier(maxDepth=6, weightCol="weight", seed=seed, **own),
         "Random Forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=12, weightCol="weight", seed=seed, **own),
-        "Gradient Boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed), **own),
+        "Gradient Boosting": lambda: SoftmaxBoosting(rounds=rounds, depth=3, rate=0.1, least=1, **own),
     }
 
 
