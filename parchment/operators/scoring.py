@@ -60,10 +60,21 @@ def imputed(df: DataFrame) -> DataFrame:
     return df.withColumn("unclear", missing).withColumns({k: F.coalesce(F.col(k), F.lit(IMPUTED[k])) for k in keys})
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, half to even, of the value that the double has: x times ten to the digits is taken exactly, as two doubles."""
+    scale = float(10**digits)
+    product, part = x * scale, x * 134217729.0
+    high = part - (part - x)
+    rest = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    over = (product - whole - 0.5) + rest
+    return (whole + F.when((over > 0) | ((over == 0) & (whole % 2 != 0)), 1).otherwise(0)) / scale
+
+
 def featured(df: DataFrame) -> DataFrame:
     """Filled, with the premium's ratio, clipped, with the flags and their number."""
     df = imputed(df)
-    df = df.withColumn("premium_to_coverage_ratio", F.round(F.col("annual_premium") / F.greatest(F.col("sum_insured"), F.lit(1)), 4))
+    df = df.withColumn("premium_to_coverage_ratio", rounded(F.col("annual_premium") / F.greatest(F.col("sum_insured"), F.lit(1)), 4))
     return flagged(clipped(df))
 
 

@@ -64,19 +64,21 @@ def coerced(field: Column, value: Column) -> Column:
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """(doc_id, field, value, note) and evidence, if rows have it: of rows with these, values out of range go and leave a note."""
+    """(doc_id, field, value, notes) and evidence, if rows have it: values out of range go and leave a note, after those that rows have."""
     f = F.col("field")
     bound = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in PLAUSIBLE.items() for x in (k, float(v[i]))]), f)
     label = F.try_element_at(F.create_map(*[F.lit(x) for k, v in PLAUSIBLE.items() for x in (k, f"[{v[0]}, {v[1]}]")]), f)
     out = F.coalesce(~F.col("value").try_cast("double").between(bound(0), bound(1)), F.lit(False))
-    note = F.when(out, F.concat(f, F.lit("="), "value", F.lit(" is outside the plausible range "), label, F.lit(" - ignored."))).otherwise(F.col("note") if "note" in rows.columns else F.lit(None).cast("string"))
-    return rows.select("doc_id", "field", F.when(~out, F.col("value")).alias("value"), note.alias("note"), *[c for c in rows.columns if c == "evidence"])
+    note = F.array_compact(F.array(F.when(out, F.concat(f, F.lit("="), "value", F.lit(" is outside the plausible range "), label, F.lit(" - ignored.")))))
+    notes = F.concat("notes", note) if "notes" in rows.columns else note
+    return rows.select("doc_id", "field", F.when(~out, F.col("value")).alias("value"), notes.alias("notes"), *[c for c in rows.columns if c == "evidence"])
 
 
 def merged(rules: DataFrame, other: DataFrame) -> DataFrame:
-    """(doc_id, field, value, note) of rules and other(doc_id, field, value), one row a field; evidence too, if one of them has it.
+    """(doc_id, field, value, notes) of rules and other(doc_id, field, value), one row a field; evidence too, if one of them has it.
 
-    A value that the other reader lacks is the rules'; where the rules' value stands and they differ, a note says so.
+    A value that the other reader lacks is the rules'; where the rules' value stands and they differ, a note says so,
+    and where the value that is kept is out of range, a second one.
     Of two lists the longer one wins, the other reader's if both are as long. The other reader's evidence goes over the rules'.
     """
     proof = lambda df: [F.col("evidence")] if "evidence" in df.columns else []
@@ -88,9 +90,11 @@ def merged(rules: DataFrame, other: DataFrame) -> DataFrame:
     stands = f.isin(RULE_STANDS) & F.col("ours").isNotNull() & F.col("theirs").isNotNull() & ~same
     longer = f.isin(LISTS) & F.coalesce(F.size(items(F.col("ours"))) > F.size(items(F.col("theirs"))), F.lit(False))
     page = F.coalesce(F.col("our_evidence")["page"].cast("string"), F.lit("?")) if proof(rules) else F.lit("?")
-    note = F.when(stands, F.concat("field", F.lit(": LLM read '"), "theirs", F.lit("', rule extractor found '"), "ours", F.lit("' (p."), page, F.lit(") - kept the rule value (base wording); verify in the document.")))
+    shown = lambda c: F.when(f.isin(BOOLS), F.initcap(c)).otherwise(F.col(c))
+    note = F.when(stands, F.concat("field", F.lit(": LLM read '"), shown("theirs"), F.lit("', rule extractor found '"), shown("ours"), F.lit("' (p."), page, F.lit(") - kept the rule value (base wording); verify in the document.")))
     found = [c for c in ("their_evidence", "our_evidence") if c in both.columns]
-    return checked(both.select("doc_id", "field", F.when(stands | longer, F.col("ours")).otherwise(F.coalesce("theirs", "ours")).alias("value"), note.alias("note"), *([F.coalesce(*found).alias("evidence")] if found else [])))
+    value = F.when(stands | longer, F.col("ours")).otherwise(F.coalesce("theirs", "ours"))
+    return checked(both.select("doc_id", "field", value.alias("value"), F.array_compact(F.array(note)).alias("notes"), *([F.coalesce(*found).alias("evidence")] if found else [])))
 
 
 def merged_open(rules: DataFrame, other: DataFrame, most: int = MOST_OPEN) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +78,15 @@ _RISKS = [f"CASE WHEN {k} {op} {b} THEN {{'s': '{'High' if k in scoring.HIGH els
 ]
 
 
-@query(f"{_FEATURED}, r AS (SELECT policy_id, {_LIST(_RISKS)} AS r FROM a) SELECT policy_id, i - 1 AS ord, x.s AS severity, x.t AS said FROM (SELECT policy_id, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM r)")
+_ASSUMED = " not clearly found in the document (-) - A typical value was assumed for scoring - confirm the real value."
+_VERIFY = _LIST([f"CASE WHEN {k} IS NULL THEN {{'s': 'Verify', 't': '{k}{_ASSUMED}'}} END" for k in scoring.IMPUTED] + ["CASE WHEN policy_id % 3 = 0 THEN {'s': 'Verify', 't': 'Extraction cross-check (-) - months: 24/36, policy ' || policy_id} END"])
+
+
+@query(f"{_FEATURED}, v AS (SELECT policy_id, {_VERIFY} AS v FROM p0), r AS (SELECT policy_id, list_concat({_LIST(_RISKS)}, v) AS r FROM a JOIN v USING (policy_id)) SELECT policy_id, i - 1 AS ord, x.s AS severity, x.t AS said FROM (SELECT policy_id, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM r)")
 def reasoned_risk_flags(spark, d):
-    """Flags of the policy and of who asks, with reasons and pages; what is to be verified is left out of the rows."""
-    df = analysis.risk_flags(_analysed(spark, d).withColumn("unclear", F.transform("unclear", lambda u: F.lit("A value"))))
-    rows = df.select("policy_id", F.posexplode("risks").alias("ord", "r")).where("r.severity != 'Verify'")
+    """Flags of the policy and of who asks, with reasons and pages, and what is to be verified."""
+    notes = F.array_compact(F.array(F.when(F.col("policy_id") % 3 == 0, F.concat(F.lit("months: 24/36, policy "), F.col("policy_id").cast("string")))))
+    rows = analysis.risk_flags(_analysed(spark, d), notes).select("policy_id", F.posexplode("risks").alias("ord", "r"))
     return rows.select("policy_id", F.col("ord").cast("long").alias("ord"), "r.severity", F.concat("r.flag", F.lit(" ("), "r.source", F.lit(") - "), "r.why").alias("said"))
 
 
@@ -121,10 +127,17 @@ def policy_summaries(spark, d):
     return rows.select("policy_id", (F.col("n") + 1).cast("long").alias("n"), "line")
 
 
-@query(f"{_FEATURED} SELECT policy_id, score, label, score AS rule_score, label AS rule_label, true AS agreement, {_SHOWN} AS label_display FROM a")
+_CLASS = "CASE WHEN risk_flags_count >= 6 THEN 3 WHEN risk_flags_count >= 4 THEN 2 WHEN risk_flags_count >= 2 THEN 1 ELSE 0 END"
+_VALUE = "97 - 6.5 * risk_flags_count"
+_NAME = f"['Strong Coverage', 'Moderate Coverage', 'Caution Required', 'High Risk'][1 + {_CLASS}]"
+
+
+@query(f"{_FEATURED}, m AS (SELECT *, {_NAME} AS said, round_even(least(greatest(({_VALUE})::DOUBLE, 0), 100), 0)::INT AS own FROM a) SELECT policy_id, own AS score, said AS label, score AS rule_score, label AS rule_label, said = label AS agreement, {_SHOWN.replace('label', 'said')} AS label_display FROM m")
 def served_scores(spark, d):
-    """What is served without a trained model."""
-    return models.served(_analysed(spark, d).drop("score", "label"), None).select("policy_id", "score", "label", "rule_score", "rule_label", "agreement", "label_display")
+    """What is served with a model (here one that counts flags), beside the rules' score and label."""
+    stage = lambda say: PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, CAST({say} AS DOUBLE) AS prediction FROM __THIS__")])
+    pair = stage(_CLASS), stage(_VALUE)
+    return models.served(_analysed(spark, d).drop("score", "label"), pair).select("policy_id", "score", "label", "rule_score", "rule_label", "agreement", "label_display")
 
 
 @query("""
@@ -258,8 +271,20 @@ def page_counts(spark, d):
     return reports.page_counters(_as_pages(spark, d).withColumn("ocr", F.col("page") % 5 == 0))
 
 
-@query("SELECT conv_id, turn, md5(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' Rs 5 -> <b>x</b>') AS markup_md5 FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[^ -~\\n]|\\*\\*|Rs\\s')")
+def _markup_sql(text: str) -> str:
+    for old, new in replies.GLYPHS.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    text = rf"regexp_replace({text}, 'Rs\s+([0-9])', 'Rs \1', 'g')"
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = f"replace({text}, '{old}', '{new}')"
+    return rf"regexp_replace({text}, '\*\*(.+?)\*\*', '<b>\1</b>', 'g')"
+
+
+_ODD = "₹  5 → **x** – ½ ≥ 3"
+
+
+@query(f"SELECT conv_id, turn, md5({_markup_sql(f"coalesce(text, '') || ' {_ODD}'")}) AS markup_md5 FROM conversations")
 def marked_up(spark, d):
-    """Texts as markup, those with plain characters."""
-    rows = _t(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.col("text").rlike(r"[^ -~\n]|\*\*|Rs\s"))
-    return rows.select("conv_id", "turn", F.md5(F.replace(replies.bold(F.concat("text", F.lit(" ₹  5 → **x**"))), F.lit("-&gt;"), F.lit("->"))).alias("markup_md5"))
+    """Whole texts as markup, with glyphs that plain fonts lack."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" " + _ODD))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.md5(replies.bold(text)).alias("markup_md5"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers, clauses, cleaning, comparison, evaluation, retrieval, scoring, sections, validation
 from ..operators.cleaning import first_of
+from ..storage import kept, sized
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,14 +68,21 @@ def repeated_edge_lines(spark, d):
     return cleaning.repeated_lines(_as_pages(spark, d))
 
 
-@query(r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g'), '\b[A-Z]{5}\d{4}[A-Z]\b', '[PAN]', 'g'),
- '(?i)(policy\s*(?:no|number)\.?\s*[:\-]?\s*)([A-Z0-9/\-]{6,})', '\1[POLICY_NO]', 'g'),
- '(?i)((?:insured|proposer|policyholder)(?:''s)?\s*name\s*[:\-]\s*)([A-Za-z .]{3,40})', '\1[NAME]', 'g'),
- '(?i)(date of birth|dob)\s*[:\-]?\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}', '\1: [DOB]', 'g')) AS masked_md5 FROM documents""")
+def _masks_sql(text: str) -> str:
+    """The masks in order; where a look at the neighbours is needed, these are captured, and a second pass sees those that two matches share."""
+    for pattern, put in T.MASKS:
+        put = put.replace("$1", "\\1")
+        if "(?<!\\d)" in pattern:
+            inner = pattern.replace("(?<!\\d)", "").replace("(?!\\d)", "")
+            pattern, put = rf"(^|[^0-9])({inner})([^0-9]|$)", rf"\1{put}\3"
+            text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+        text = f"""regexp_replace({text}, '{pattern.replace("'", "''")}', '{put}', 'g')"""
+    return text
+
+
+@query(f"SELECT doc_id, md5({_masks_sql('text')}) AS masked_md5 FROM documents")
 def personal_data_masked(spark, d):
-    """All seven masks on whole texts. The SQL has five: it differs where a text has a phone number or a 12-digit id."""
+    """All seven masks on whole texts."""
     return _dealt(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.anonymize(F.col("text"))).alias("masked_md5"))
 
 
@@ -144,7 +152,7 @@ p0 AS (SELECT c_custkey AS k, c_custkey AS policy_id, CASE WHEN c_custkey % 7 <>
  c_custkey % 8 AS disease_sub_limit_count, c_custkey % 2 AS restoration_benefit_present, (c_custkey % 4 > 1)::INT AS no_claim_bonus_present, (c_custkey % 10 > 6)::INT AS child_coverage_present, (c_custkey % 9 > 4)::INT AS maternity_coverage_present,
  least(100, 35 + 13 * ((c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT + (c_custkey % 11 = 0)::INT)) AS claim_process_clarity_score, c_custkey % 9 AS ambiguous_clause_count FROM customer),
 p1 AS (SELECT * REPLACE (""" + ", ".join(f"coalesce({k}, {v}) AS {k}" for k, v in scoring.IMPUTED.items()) + "), " + " + ".join(f"({k} IS NULL)::INT" for k in scoring.IMPUTED) + """ AS n_unclear FROM p0),
-p2 AS (SELECT *, round(annual_premium / greatest(sum_insured, 1), 4) AS premium_to_coverage_ratio FROM p1),
+p2 AS (SELECT *, format('{:.4f}', (annual_premium / greatest(sum_insured, 1))::DOUBLE)::DOUBLE AS premium_to_coverage_ratio FROM p1),
 p3 AS (SELECT * REPLACE (""" + ", ".join(f"least(greatest({k}, {lo}), {hi}) AS {k}" for k, (lo, hi) in scoring.RANGES.items()) + ") FROM p2),\np4 AS (SELECT *, " + " + ".join(f"({f} {op} {b})::INT" for f, op, b, _ in scoring.FLAGS) + """ AS risk_flags_count FROM p3),
 p5 AS (SELECT *, least(100.0, greatest(0.0, 103.0 + """ + " + ".join(f"{k}::DOUBLE * {w}::DOUBLE" for k, w in scoring.WEIGHTS.items()) + ")) AS raw_score FROM p4)"
 
@@ -212,15 +220,15 @@ def first_questions(spark, d):
 
 
 @query("""WITH a AS (SELECT conv_id, string_agg(lower(text), ' ' ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-q AS (SELECT conv_id, array_slice(string_split(lower(text), ' '), 1, 5) AS k FROM conversations WHERE role = 'user' AND turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND role = 'user')),
+q AS (SELECT conv_id, string_split(lower(text), ' ') AS k FROM conversations WHERE role = 'user' AND turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND role = 'user')),
 w AS (SELECT conv_id, list_filter(list_transform(k, lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, '|')) AS k FROM q)
-SELECT conv_id, CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda x: contains(answer, x))) / len(k) END AS recall FROM w JOIN a USING (conv_id)""")
+SELECT conv_id, CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda x: contains(answer, x))) / len(k) END AS recall FROM w LEFT JOIN a USING (conv_id)""")
 def keyword_recall(spark, d):
-    """Share of a question's first words that the answers hold."""
+    """Share of a first question's words that the answers hold; 0 without an answer."""
     c = _t(spark, d, "conversations")
     a = c.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.lower(x["text"])), " ").alias("answer"))
-    q = first_of(c.where("role = 'user'"), ["conv_id"], ["turn"]).select("conv_id", F.array_join(F.filter(F.slice(F.split(F.lower("text"), " "), 1, 5), lambda x: ~F.contains(x, F.lit("|"))), "|").alias("keys"))
-    return q.join(a, "conv_id").select("conv_id", evaluation.keyword_recall(F.col("keys"), F.col("answer")).alias("recall"))
+    q = first_of(c.where("role = 'user'"), ["conv_id"], ["turn"]).select("conv_id", F.array_join(F.filter(F.split(F.lower("text"), " "), lambda x: ~F.contains(x, F.lit("|"))), "|").alias("keys"))
+    return q.join(a, "conv_id", "left").select("conv_id", evaluation.keyword_recall(F.col("keys"), F.col("answer")).alias("recall"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -265,6 +273,7 @@ SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""
 def lexical_search(spark, d):
     """The five documents nearest to each benchmark passage by TF-IDF."""
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    q = kept(q)
     idf, postings = retrieval.fit(_dealt(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", [], q)
     s = retrieval.blended(retrieval.sparse_scores(q, idf, postings, "doc_id", []), None, "doc_id")
     return retrieval.top_k(s, "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -303,7 +312,12 @@ def policy_pages(spark, d) -> DataFrame:
         "Annual premium: Rs. ", rupees(premium), " with taxes. Policy period: ", mod(3) + 1, " years.\nSECTION A - DEFINITIONS\nA.1 Room Rent means the amount charged by a hospital.\nSECTION B - COVERAGE\n1.1 In-patient Hospitalisation\nIn-patient care is payable.\n1.2 Room Rent\n",
         F.when(mod(2) == 0, "There is no capping on room rent. ").otherwise("Room rent is payable up to 1% of the Sum Insured. "), "\n1.3 Intensive Care\n", F.when(mod(3) == 0, "ICU charges are payable at actuals.\n").otherwise("ICU expenses are payable up to Rs. 10,000 per day.\n"),
         "1.4 Pre-hospitalisation Expenses\nExpenses of the ", (mod(4) + 1) * 15, " days before admission are covered.\n1.5 Restoration of Sum Insured\n", F.when(mod(5) < 2, "Restoration benefit is not available.\n").otherwise("The Sum Insured is restored once a year.\n"),
-        F.when(mod(6) < 3, "").otherwise("1.6 Maternity\nMaternity expenses are covered up to Rs. 50,000.\n"), "Page 1",
+        F.when(mod(6) < 3, "").otherwise("1.6 Maternity\nMaternity expenses are covered up to Rs. 50,000.\n"),
+        "1.7 Road Ambulance\nAmbulance charges are paid up to Rs. ", (mod(4) + 1) * 500, " per stay.\n1.8 Day Care Procedures\n", F.when(mod(4) == 1, "Day care treatment is not covered.\n").otherwise("Day care treatment is covered.\n"),
+        "1.9 Domiciliary Care\n", F.when(mod(5) == 2, "Domiciliary care is not covered.\n").otherwise("Domiciliary care is covered.\n"), "1.10 AYUSH Treatment\n", F.when(mod(3) == 0, "AYUSH treatment is not covered.\n").otherwise("AYUSH treatment is covered.\n"),
+        "1.11 OPD\n", F.when(mod(2) == 1, "OPD visits are not covered.\n").otherwise("OPD visits are covered once a year.\n"), "1.12 Cumulative Bonus\n", F.when(mod(3) == 1, "A cumulative bonus is not available here.\n").otherwise("A cumulative bonus of 10% is added each year.\n"),
+        "1.13 New Born Cover\n", F.when(mod(4) == 0, "A new born baby is not covered.\n").otherwise("A new born baby is covered from the first day.\n"), F.when(mod(5) == 4, "").otherwise("1.14 Family\nDependent children up to age 25 can be included.\n"),
+        "1.15 Post-hospitalisation Expenses\nExpenses of the ", (mod(3) + 1) * 30, " days after discharge are covered.\nPage 1",
     )
     two = say(
         head, "SECTION C - CO-PAYMENT AND SUB-LIMITS\n2.1 Co-payment\n", F.when(mod(4) == 0, "There is no co-payment under this policy.\n").otherwise(say("Each claim is subject to a co-payment of ", mod(4) * 5, "% of the amount.\n")),
@@ -311,38 +325,60 @@ def policy_pages(spark, d) -> DataFrame:
         F.when(mod(5) == 0, "24/36 months").otherwise(say((mod(4) + 1) * 12, " months")), " of continuous coverage.\nD.2 Specified Diseases - Code Excl02\nListed conditions shall be excluded until the expiry of ", F.when(mod(3) == 0, "2 years").otherwise("12 months"),
         " of continuous coverage.\nD.3 Initial Waiting Period - Code Excl03\nIllness within 30 days of the start is excluded.\nPage 2",
     )
-    three = say(head, "SECTION E - EXCLUSIONS\n", F.array_join(codes, "\n"), "\n", F.when(mod(6) < 3, "E.19 Childbirth\nMaternity expenses are excluded.\n").otherwise(""), "Page 3")
+    three = say(head, "SECTION E - EXCLUSIONS\nThe following are no part of this policy.\n", F.array_join(codes, "\n"), "\n", F.when(mod(6) < 3, "E.19 Childbirth\nMaternity expenses are excluded.\n").otherwise(""), F.when(mod(5) == 1, "E.20 Non-payable items\nConsumables are not paid.\n").otherwise(""), "Page 3")
     four = say(
         head, "SECTION F - CLAIM PROCEDURE\nF.1 Cashless Claims\nCashless care needs notice within ", (mod(3) + 1) * 24, " hours of admission.\nF.2 Settlement of Claims\nThe Company shall settle a claim within ", (mod(2) + 1) * 15, " days of the last document.\n",
-        "Payment is at the sole discretion of the Company.\nSECTION G - RENEWAL\nG.1 Renewal\nThe policy is ordinarily renewable for life.\nG.2 Grace Period\nA grace period of ", (mod(2) + 1) * 15, " days is allowed.\nPage 4",
+        "Payment is at the sole discretion of the Company.\n", F.when(mod(3) == 2, "").otherwise("F.3 Reimbursement Claims\nReimbursement needs the claim form and the bills as documents.\n"), "SECTION G - RENEWAL\nG.1 Renewal\nThe policy is ordinarily renewable for life.\nG.2 Grace Period\nA grace period of ", (mod(2) + 1) * 15, " days is allowed.\n", F.when(mod(4) < 2, "G.3 Portability\nPortability credit is given in writing. The moratorium is eight years.\n").otherwise(""), "Page 4",
     )
     pages = F.posexplode(F.array(one, two, three, four)).alias("page", "text")
     return _dealt(_t(spark, d, "customer")).select(k.alias("doc_id"), pages).withColumn("page", F.col("page") + 1)
 
 
 def _extracted(pages: DataFrame) -> DataFrame:
-    clean = cleaning.clean_pages(pages)
-    lines = sections.sectioned(sections.page_lines(clean))
-    return clauses.extract(clean, lines, sections.sentences(lines), pages)
-
-
-_CLAUSES_SQL = """
-SELECT c_custkey AS doc_id, 'Harbour Light Health Insurance Company Limited' AS insurer_name, 'HARHLIP' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') || 'V012122' AS uin, 'Harbour Care Plan ' || c_custkey AS policy_name,
- CASE WHEN c_custkey % 7 <> 0 THEN 'Family Floater' ELSE 'Individual Health' END AS policy_type, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 50 + 1) * 100000 END AS sum_insured,
- floor(abs(c_acctbal) * 10)::BIGINT + 1800 AS annual_premium, (c_custkey % 3 + 1)::DOUBLE AS policy_term_years, ((c_custkey % 4 + 1) * 15)::INT AS pre_hospitalization_days, c_custkey % 2 <> 0 AS room_rent_limit_present, c_custkey % 3 <> 0 AS icu_limit_present,
- c_custkey % 5 >= 2 AS restoration_benefit, c_custkey % 6 >= 3 AS maternity_covered, (c_custkey % 4 * 5)::DOUBLE AS copayment_percentage, CASE WHEN c_custkey % 3 = 1 THEN 2 ELSE 1 END::INT AS n_sub_limits,
- CASE WHEN c_custkey % 5 = 0 THEN 36 ELSE (c_custkey % 4 + 1) * 12 END::INT AS ped_waiting_period_months, CASE WHEN c_custkey % 3 = 0 THEN 24 ELSE 12 END::INT AS specific_disease_waiting_period_months, 30::INT AS initial_waiting_period_days,
- 'within ' || (c_custkey % 3 + 1) * 24 || ' hours of admission' AS claim_intimation_timeline, 'within ' || (c_custkey % 2 + 1) * 15 || ' days' AS claim_settlement_timeline, true AS cashless_available, ((c_custkey % 2 + 1) * 15)::INT AS grace_period_days,
- CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END::INT AS n_ambiguous, 2::INT AS ped_page FROM customer"""
+    """Clauses of pages; clean pages, their sections and sentences are each made once and kept for all the fields."""
+    pages = kept(pages)
+    clean = kept(cleaning.clean_pages(pages))
+    lines = kept(sections.sectioned(sections.page_lines(clean)))
+    return clauses.extract(clean, lines, kept(sections.sentences(lines)), pages)
+
+
+#: The terms as they were written, field by field.
+_TERMS_SQL = {
+    "insurer_name": "'Harbour Light Health Insurance Company Limited'", "uin": "'HARHLIP' || lpad((k % 100000)::VARCHAR, 5, '0') || 'V012122'", "policy_name": "'Harbour Care Plan ' || k", "policy_type": "CASE WHEN k % 7 <> 0 THEN 'Family Floater' ELSE 'Individual Health' END",
+    "sum_insured": "CASE WHEN k % 7 <> 0 THEN (k % 50 + 1) * 100000 END", "sum_insured_options": "NULL::VARCHAR", "annual_premium": "floor(abs(c_acctbal) * 10)::BIGINT + 1800", "policy_term_years": "(k % 3 + 1)::DOUBLE",
+    "pre_hospitalization_days": "((k % 4 + 1) * 15)::INT", "post_hospitalization_days": "((k % 3 + 1) * 30)::INT", "inpatient_hospitalization": "true", "day_care_covered": "k % 4 <> 1", "domiciliary_covered": "k % 5 <> 2", "ayush_covered": "k % 3 <> 0", "opd_covered": "k % 2 = 0",
+    "ambulance_cover": "'Ambulance charges are paid up to Rs. ' || (k % 4 + 1) * 500 || ' per stay.'", "restoration_benefit": "k % 5 >= 2", "restoration_details": "CASE WHEN k % 5 < 2 THEN 'Restoration benefit is not available.' ELSE 'The Sum Insured is restored once a year.' END",
+    "no_claim_bonus": "k % 3 <> 1", "no_claim_bonus_details": "CASE WHEN k % 3 = 1 THEN 'A cumulative bonus is not available here.' ELSE 'A cumulative bonus of 10% is added each year.' END",
+    "maternity_covered": "k % 6 >= 3", "maternity_details": "CASE WHEN k % 6 >= 3 THEN 'Maternity expenses are covered up to Rs. 50,000.' END", "newborn_covered": "k % 4 <> 0", "child_coverage": "CASE WHEN k % 5 <> 4 THEN true END",
+    "child_coverage_details": "CASE WHEN k % 5 <> 4 THEN 'Dependent children up to age 25 can be included.' END", "ped_waiting_period_months": "CASE WHEN k % 5 = 0 THEN 36 ELSE (k % 4 + 1) * 12 END::INT", "specific_disease_waiting_period_months": "CASE WHEN k % 3 = 0 THEN 24 ELSE 12 END::INT",
+    "initial_waiting_period_days": "30::INT", "copayment_percentage": "(k % 4 * 5)::DOUBLE", "copayment_conditions": "CASE WHEN k % 4 = 0 THEN 'There is no co-payment under this policy.' ELSE 'Each claim is subject to a co-payment of ' || k % 4 * 5 || '% of the amount.' END",
+    "room_rent_limit_present": "k % 2 <> 0", "room_rent_limit": "CASE WHEN k % 2 = 0 THEN '…re is no capping on room rent.' ELSE 'Room rent is payable up to 1% of the Sum Insured.' END", "icu_limit_present": "k % 3 <> 0",
+    "icu_limit": "CASE WHEN k % 3 = 0 THEN 'ICU charges are payable at actuals.' ELSE 'ICU expenses are payable up to Rs. 10,000 per day.' END", "exclusion_count": "CASE WHEN k % 10 >= 2 THEN 3 + k % 10 + (k % 6 < 3)::INT ELSE nullif(k % 10 + (k % 6 < 3)::INT + (k % 5 = 1)::INT, 0) END::INT",
+    "non_payable_items_mentioned": "k % 5 = 1", "cashless_available": "true", "reimbursement_available": "CASE WHEN k % 3 <> 2 THEN true END", "claim_documents_listed": "CASE WHEN k % 3 <> 2 THEN true END", "claim_intimation_timeline": "'within ' || (k % 3 + 1) * 24 || ' hours of admission'",
+    "claim_settlement_timeline": "'within ' || (k % 2 + 1) * 15 || ' days'", "grace_period_days": "((k % 2 + 1) * 15)::INT", "renewal_conditions": "'The policy is ordinarily renewable for life.'", "portability_mentioned": "CASE WHEN k % 4 < 2 THEN true END", "moratorium_mentioned": "CASE WHEN k % 4 < 2 THEN true END",
+    "extraction_method": "'rules'",
+}
+_LISTS_SQL = {
+    "disease_sub_limits": "CASE WHEN k % 3 = 1 THEN 'Cataract: Cataract surgery is limited to Rs. 40,000 per eye.; Knee: Knee replacement is limited to Rs. 1,50,000.' ELSE 'Cataract: Cataract surgery is limited to Rs. 40,000 per eye.' END",
+    "permanent_exclusions": "array_to_string(list_concat(list_transform(range(4, 4 + k % 10), lambda i: 'Treatment of kind ' || i), list_filter([CASE WHEN k % 6 < 3 THEN 'Childbirth' END, CASE WHEN k % 5 = 1 THEN 'Non-payable items' END], lambda x: x IS NOT NULL)), '; ')",
+    "temporary_exclusions": "'Treatment shall be excluded until the expiry of ' || CASE WHEN k % 5 = 0 THEN '24/36' ELSE ((k % 4 + 1) * 12)::VARCHAR END || ' months of continuous coverage.; Listed conditions shall be excluded until the expiry of ' || CASE WHEN k % 3 = 0 THEN '2 years' ELSE '12 months' END || ' of continuous coverage.; Illness within 30 days of the start is excluded.'",
+    "ambiguous_clauses": "'p.4: “Payment is at the sole discretion of the Company.”' || CASE WHEN k % 5 = 0 THEN '; p.2: waiting period has options ''24/36 months'' - depends on plan/schedule or condition; longest used for scoring' ELSE '' END",
+}
+_PAGES_SQL = {
+    "annual_premium": "1", "ambulance_cover": "1", "ayush_covered": "1", "child_coverage": "CASE WHEN k % 5 <> 4 THEN 1 END", "claim_intimation_timeline": "4", "claim_settlement_timeline": "4", "copayment_percentage": "2", "day_care_covered": "1", "disease_sub_limits": "2", "domiciliary_covered": "1",
+    "grace_period_days": "4", "icu_limit_present": "1", "initial_waiting_period_days": "2", "inpatient_hospitalization": "1", "maternity_covered": "CASE WHEN k % 6 >= 3 THEN 1 ELSE 3 END", "newborn_covered": "1", "no_claim_bonus": "1", "opd_covered": "1", "ped_waiting_period_months": "2",
+    "post_hospitalization_days": "1", "pre_hospitalization_days": "1", "restoration_benefit": "1", "room_rent_limit_present": "1", "specific_disease_waiting_period_months": "2", "sum_insured": "CASE WHEN k % 7 <> 0 THEN 1 END",
+}
+_FOUND_SQL = "array_to_string(list_filter([" + ", ".join(f"'{f} p.' || ({p})" for f, p in sorted(_PAGES_SQL.items())) + "], lambda x: x IS NOT NULL), '; ')"
+_CLAUSES_SQL = "WITH c AS (SELECT c_custkey AS k, c_acctbal FROM customer) SELECT k AS doc_id, " + ", ".join(f"{v} AS {f}" for f, v in (_TERMS_SQL | _LISTS_SQL).items()) + f", {_FOUND_SQL} AS found FROM c"
 
 
 @query(_CLAUSES_SQL)
 def clause_extraction(spark, d):
-    """Sections, sentences and typed clauses of whole policies; the SQL states the terms that were written."""
+    """Sections, sentences and every typed clause of whole policies, with the pages of their evidence; the SQL states the terms that were written."""
     got = _extracted(policy_pages(spark, d))
-    same = ["doc_id", "insurer_name", "uin", "policy_name", "policy_type", "sum_insured", "annual_premium", "policy_term_years", "pre_hospitalization_days", "room_rent_limit_present", "icu_limit_present", "restoration_benefit", "maternity_covered", "copayment_percentage",
-            "ped_waiting_period_months", "specific_disease_waiting_period_months", "initial_waiting_period_days", "claim_intimation_timeline", "claim_settlement_timeline", "cashless_available", "grace_period_days"]
-    return got.select(*same, F.size("disease_sub_limits").alias("n_sub_limits"), F.size("ambiguous_clauses").alias("n_ambiguous"), F.col("evidence")["ped_waiting_period_months"]["page"].alias("ped_page"))
+    found = F.array_sort(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit(" p."), e["value"]["page"].cast("string"))))
+    return got.select("doc_id", *_TERMS_SQL, *[F.array_join(c, "; ").alias(c) for c in _LISTS_SQL], F.array_join(found, "; ").alias("found"))
 
 
 # ---------------------------------------------------------------- comparison and validation
@@ -412,7 +448,9 @@ def switching_outlook(spark, d):
 @query("""
 WITH r AS (SELECT p_partkey AS doc_id, p_size * 3 AS ours, CASE p_partkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN p_size || ' months' WHEN 2 THEN (p_size % 9) || ' years' WHEN 3 THEN 'about ' || p_size * 3 WHEN 4 THEN NULL ELSE 'none' END AS said FROM part),
 n AS (SELECT *, CASE doc_id % 6 WHEN 1 THEN ours // 3 WHEN 2 THEN ours // 3 % 9 * 12 WHEN 3 THEN ours END AS theirs FROM r)
-SELECT doc_id, CASE WHEN ours > 96 THEN NULL ELSE ours::VARCHAR END AS value, (ours > 96 OR (theirs IS NOT NULL AND theirs <> ours))::INT AS has_note FROM n""")
+SELECT doc_id, CASE WHEN ours > 96 THEN NULL ELSE ours::VARCHAR END AS value, array_to_string(list_filter([
+ CASE WHEN theirs <> ours THEN 'ped_waiting_period_months: LLM read ''' || theirs || ''', rule extractor found ''' || ours || ''' (p.?) - kept the rule value (base wording); verify in the document.' END,
+ CASE WHEN ours > 96 THEN 'ped_waiting_period_months=' || ours || ' is outside the plausible range [0, 96] - ignored.' END], lambda x: x IS NOT NULL), chr(10)) AS notes FROM n""")
 def merged_values(spark, d):
     """Another reader's values typed, the rules' kept where they stand, ranges checked."""
     p = _t(spark, d, "part")
@@ -420,7 +458,7 @@ def merged_values(spark, d):
     said = F.when(k % 6 == 0, "N/A").when(k % 6 == 1, F.concat(n, F.lit(" months"))).when(k % 6 == 2, F.concat((F.col("p_size") % 9).cast("string"), F.lit(" years"))).when(k % 6 == 3, F.concat(F.lit("about "), (F.col("p_size") * 3).cast("string"))).when(k % 6 == 5, "none")
     rules = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), (F.col("p_size") * 3).cast("string").alias("value"))
     other = p.select(k.alias("doc_id"), F.lit("ped_waiting_period_months").alias("field"), said.alias("value"))
-    return validation.merged(rules, other).select("doc_id", "value", F.col("note").isNotNull().cast("int").alias("has_note"))
+    return validation.merged(rules, other).select("doc_id", "value", F.array_join("notes", "\n").alias("notes"))
 
 
 _LIST_SQL = lambda a, n: f"""'[' || array_to_string(['"{a}1"', '"{a}2"', '"{a}3"'][1:{n}], ',') || ']'"""
@@ -428,13 +466,13 @@ _LIST_SQL = lambda a, n: f"""'[' || array_to_string(['"{a}1"', '"{a}2"', '"{a}3"
 
 @query(f"""
 WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part),
-v AS (SELECT k, 'sum_insured' AS field, (CASE WHEN k % 3 = 0 THEN n * 100000 ELSE n * 10000 END)::VARCHAR AS value, 0 AS has_note FROM p
+v AS (SELECT k, 'sum_insured' AS field, (CASE WHEN k % 3 = 0 THEN n * 100000 ELSE n * 10000 END)::VARCHAR AS value, 0 AS n_notes FROM p
  UNION ALL SELECT k, 'copayment_percentage', n || '.0', (k % 2 = 0)::INT FROM p
  UNION ALL SELECT k, 'restoration_benefit', CASE WHEN k % 4 = 3 THEN 'false' ELSE 'true' END, (k % 4 = 1)::INT FROM p
  UNION ALL SELECT k, 'claim_settlement_timeline', 'within ' || CASE WHEN k % 2 = 0 THEN n ELSE 30 END || ' days', 0 FROM p
  UNION ALL SELECT k, 'disease_sub_limits', CASE WHEN k % 7 = 0 THEN {_LIST_SQL('r', 'k % 4')} WHEN k % 5 = 0 THEN CASE WHEN k % 4 > 1 THEN {_LIST_SQL('r', 'k % 4')} ELSE '["Cataract: 40,000"]' END
   WHEN k % 4 > k % 3 THEN {_LIST_SQL('r', 'k % 4')} ELSE {_LIST_SQL('t', 'k % 3')} END, 0 FROM p)
-SELECT k AS doc_id, field, value, has_note, (CASE WHEN k % 3 = 0 THEN 10 ELSE 1 END + k % 9)::INT AS page FROM v""")
+SELECT k AS doc_id, field, value, n_notes, (CASE WHEN k % 3 = 0 THEN 10 ELSE 1 END + k % 9)::INT AS page FROM v""")
 def merged_field_types(spark, d):
     """Numbers, flags, texts and lists of both readers, with evidence."""
     k, n = F.col("p_partkey"), F.col("p_size")
@@ -451,7 +489,7 @@ def merged_field_types(spark, d):
     page = lambda start: F.struct((start + F.col("doc_id") % 9).cast("int").alias("page"), F.lit("here").alias("quote"))
     rules = rows.select("doc_id", "field", F.col("ours").alias("value"), page(1).alias("evidence"))
     other = rows.select("doc_id", "field", F.col("theirs").alias("value"), F.when(F.col("doc_id") % 3 == 0, page(10)).alias("evidence"))
-    return validation.merged(rules, other).select("doc_id", "field", "value", F.col("note").isNotNull().cast("int").alias("has_note"), F.col("evidence")["page"].alias("page"))
+    return validation.merged(rules, other).select("doc_id", "field", "value", F.size("notes").alias("n_notes"), F.col("evidence")["page"].alias("page"))
 
 
 # ---------------------------------------------------------------- answers

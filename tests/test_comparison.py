@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.operators import answers, validation
+from parchment.operators import answers, scoring, validation
 
 
 @pytest.mark.parametrize("field,value,want", [
@@ -45,7 +45,22 @@ def test_merged_lists_and_evidence(spark):
         (5, "disease_sub_limits"): '["1","two","None"]', (1, "copayment_percentage"): "10.0", (2, "copayment_percentage"): "10.0", (1, "uin"): "U1", (6, "disease_sub_limits"): '["[Cataract"]',
     }
     assert {k: r.evidence and r.evidence.page for k, r in got.items() if k[0] < 3} == {(1, "permanent_exclusions"): 9, (2, "permanent_exclusions"): None, (1, "copayment_percentage"): 7, (2, "copayment_percentage"): 8, (1, "uin"): 2}
-    assert "(p.7)" in got[1, "copayment_percentage"].note and "(p.?)" in got[2, "copayment_percentage"].note and got[1, "uin"].note is None
+    assert "(p.7)" in got[1, "copayment_percentage"].notes[0] and "(p.?)" in got[2, "copayment_percentage"].notes[0] and got[1, "uin"].notes == []
+
+
+def test_both_notes_of_a_field(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id int, field string, value string")
+    got = validation.merged(rows((1, "copayment_percentage", "140.0"), (1, "opd_covered", "false")), rows((1, "copayment_percentage", "20"), (1, "opd_covered", "yes"))).collect()
+    notes = {r.field: r.notes for r in got}
+    assert [n[:34] for n in notes["copayment_percentage"]] == ["copayment_percentage: LLM read '20", "copayment_percentage=140.0 is outs"]
+    assert notes["opd_covered"][0].startswith("opd_covered: LLM read 'True', rule extractor found 'False' (p.?)")
+
+
+@pytest.mark.parametrize("premium, insured", [(1815, 300000), (1, 3), (605, 100000), (1, 32), (5, 100000), (123456, 1000003), (25, 100000), (3, 32000)])
+def test_ratio_is_rounded_as_the_double_that_it_is(spark, premium, insured):
+    df = spark.createDataFrame([(premium, insured)], "annual_premium long, sum_insured long")
+    got = df.select(scoring.rounded(F.col("annual_premium") / F.col("sum_insured"), 4).alias("r")).first().r
+    assert got == round(premium / insured, 4)
 
 
 def test_cross_checked(spark):
