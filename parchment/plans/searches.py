@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answers, indexes, latent, retrieval, sections
-from ..storage import kept
-from .queries import _WIDE_SQL, _t, query
+from ..operators import analysis, answers, indexes, latent, retrieval, sections
+from ..storage import kept, sized
+from .queries import _TOKEN_SQL, _WIDE_SQL, _t, query
 
 #: Each document is read as a policy of its own: six lines a page, 24 lines a section, categories in turn.
 CATEGORIES = ["coverage", "definitions", "exclusions"]
@@ -70,16 +70,16 @@ def _asked(spark, d) -> tuple[DataFrame, DataFrame]:
     return b.select("query_id", answers.expanded(F.col("text")).alias("text")), b.select("query_id", F.coalesce(F.lower("text").rlike(r"\bmean|defin"), F.lit(False)).alias("asks_meaning"))
 
 
-def _hits(spark, d, asks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(the k best chunks of each document for what asks(doc_id, query_id) puts to it, all chunks without their text)."""
-    questions, meaning = _asked(spark, d)
-    chunks = sections.chunks(document_lines(spark, d)).withColumn("chunk", F.col("chunk").cast("long"))
+def _hits(spark, d, asks: DataFrame, k: int, asked: tuple[DataFrame, DataFrame] | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of each document for what asks(doc_id, query_id) puts to it, without their text."""
+    questions, meaning = asked or _asked(spark, d)
+    chunks = (sections.chunks(document_lines(spark, d)) if chunks is None else chunks).withColumn("chunk", F.col("chunk").cast("long"))
     about = chunks.select("doc_id", "chunk", "category", "page_start", "page_end", "title", (F.length("text") + F.length("title") + F.length(F.col("page_start").cast("string")) + 9).alias("size"))
     index = kept(indexes.indexed(chunks, "doc_id", "chunk", questions, indexes.STOP_WORDS).join(about, ["doc_id", "chunk"]))
     scores = indexes.sparse_scores(index, "doc_id", "chunk", asks, questions, indexes.STOP_WORDS)
     about = index.select("doc_id", "chunk", "category", "page_start", "page_end", "title", "size")
     scores = scores.join(about, ["doc_id", "chunk"]).join(F.broadcast(meaning), "query_id").withColumnsRenamed({"sparse": "score"}).withColumn("wanted", F.array(F.lit(CATEGORIES[0])))
-    return indexes.best(retrieval.adjusted(scores), ["doc_id", "query_id"], "chunk", k), about
+    return indexes.best(retrieval.adjusted(scores), ["doc_id", "query_id"], "chunk", k)
 
 
 @query(f"""WITH {_CHUNK_SQL}, {_ASK_SQL}, asks AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS query_id FROM documents WHERE text IS NOT NULL),
@@ -91,7 +91,7 @@ def policy_search(spark, d):
     """An index for each document, which is asked one of the questions: its five best chunks."""
     n = _t(spark, d, "benchmark").count()
     asks = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % n).alias("query_id"))
-    got, _ = _hits(spark, d, asks, 5)
+    got = _hits(spark, d, asks, 5)
     return got.select("doc_id", "query_id", F.col("rank").cast("long").alias("rank"), "chunk", "page_start", F.round("score", 5).alias("score"))
 
 
@@ -113,7 +113,7 @@ def packed_contexts(spark, d):
     n = _t(spark, d, "benchmark").count()
     j = F.explode(F.sequence(F.lit(0), F.lit(GROUPS * EACH - 1))).alias("j")
     asks = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", j).select("doc_id", ((F.col("doc_id") + 7 * F.col("j")) % n).alias("query_id"), "j")
-    got, about = _hits(spark, d, asks.select("doc_id", "query_id").distinct(), 4)
+    got = _hits(spark, d, asks.select("doc_id", "query_id").distinct(), 4)
     rows = got.join(asks, ["doc_id", "query_id"]).select("doc_id", F.floor(F.col("j") / EACH).alias("part"), F.col("j").alias("query"), "rank", F.col("chunk").alias("key"), "size")
     return indexes.packed(rows, ["doc_id", "part"], BUDGET).select("doc_id", "part", F.array_join("parts", " ").alias("chunks"), "size")
 
@@ -160,3 +160,51 @@ def hybrid_policy_search(spark, d):
     mode = chunks.select("doc_id", F.lit(True).alias("hybrid")).distinct()
     got = indexes.fused(sparse, dense, "doc_id", "chunk", mode)
     return got.select("doc_id", "query_id", "chunk", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
+_SENTENCES_SQL = r"""list_filter(list_transform(string_split(list_reduce(string_split(regexp_replace(replace(text, chr(10), ' '), '([.;])\s+([A-Z(\d"''“])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+ lambda a, p: a || CASE WHEN regexp_matches(a, '(?i)(?:(?:^|[^\p{L}\p{N}_])(?:rs|no|nos|e\.g|i\.e|viz|etc|sr|dr|mr|mrs|ms|st|vs|approx|max|min|cl|sec|art)|(?:^|[^\p{L}\p{N}_])[a-z]|\d)\.$') THEN ' ' ELSE chr(2) END || p), chr(2)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"""
+_QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
+_SYNONYM_SQL = "CASE t " + " ".join(f"WHEN {_QUOTED(k)} THEN list_has_any({_TOKEN_SQL(_QUOTED(v))}, said)" for k, v in answers.SYNONYMS.items()) + " ELSE false END"
+_WORD_SQL = {k: _TOKEN_SQL(k) for k in ("q", "wide", "sentence", "text")}
+
+
+@query(f"""WITH {_CHUNK_SQL}, asked AS (SELECT item_id * 2 + a AS query_id, text || CASE WHEN a = 1 THEN ' Should I buy it?' ELSE '' END AS q FROM benchmark, range(2) r(a)), questions AS (SELECT query_id, {_WIDE_SQL} AS text FROM asked),
+asks AS (SELECT doc_id, (doc_id % (SELECT count(*) FROM benchmark)) * 2 + (doc_id % 3 = 0)::INT AS query_id FROM documents WHERE text IS NOT NULL), {_scored_sql('c', 'doc_id', 'chunk')},
+r AS (SELECT doc_id, query_id, chunk, c.text, title, page_start, page_end, q, {_WORTH.replace('b.text', 'q')} AS score FROM sparse JOIN c USING (doc_id, chunk) JOIN asked USING (query_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, chunk) AS rank FROM r WHERE score > 0 QUALIFY rank <= 5),
+h AS (SELECT *, 'doc ' || doc_id || ', ' || CASE WHEN page_start = page_end THEN 'p.' || page_start ELSE 'pp.' || page_start || '-' || page_end END || ', § ' || title AS cited, {_SENTENCES_SQL} AS s FROM z),
+x AS (SELECT doc_id, rank, q, {_WIDE_SQL} AS wide, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM h),
+w AS (SELECT *, {_WORD_SQL['q']} AS asked, {_WORD_SQL['wide']} AS wider, {_WORD_SQL['sentence']} AS words FROM x),
+y AS (SELECT *, round((2 * len(list_intersect(asked, words)) + len(list_intersect(wider, words)))::DOUBLE - 0.3::DOUBLE * rank + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.5 ELSE 0 END - CASE WHEN contains(lower(sentence), ' means ') AND NOT regexp_matches(lower(q), '\\bmean|defin') THEN 2 ELSE 0 END, 6) AS points
+ FROM w WHERE len(list_intersect(asked, words)) > 0 AND length(sentence) > 30),
+e AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, left(sentence, 50) ORDER BY points DESC, rank, pos) = 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, rank, pos) AS n FROM e QUALIFY n <= 3),
+l AS (SELECT doc_id, string_agg('- ' || left(sentence, 350) || ' [S' || rank || ']', chr(10) ORDER BY n) AS lines FROM g GROUP BY doc_id),
+m AS (SELECT doc_id, any_value(q) AS q, max(score) AS best, count(*) AS n_hits, list_distinct(flatten(list({_WORD_SQL['text']}))) AS said, list(cited ORDER BY rank) AS cited, string_agg('[S' || rank || '] (' || cited || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY doc_id),
+o AS (SELECT *, list_sort(list_filter({_WORD_SQL['q']}, lambda t: length(t) > 2 AND NOT list_contains(said, t) AND NOT list_contains([{", ".join(_QUOTED(v) for v in answers.GENERIC)}], t) AND NOT {_SYNONYM_SQL})) AS missing FROM m),
+a AS (SELECT o.*, CASE WHEN best >= {answers.WEAK} AND lines IS NOT NULL THEN CASE WHEN len(missing) > 0 THEN {_QUOTED(answers.NOT_FOUND + ' The document does not mention: ')} || array_to_string(missing, ', ') || '. ' || {_QUOTED(answers.CLOSEST)} ELSE {_QUOTED(answers.FOUND)} END || lines || {_QUOTED(answers.VERIFY)} ELSE {_QUOTED(answers.NOT_FOUND)} END AS extract,
+ doc_id % 3 = 0 AS advice FROM o LEFT JOIN l USING (doc_id)),
+fin AS (SELECT *, CASE WHEN advice THEN {_QUOTED(analysis.PREAMBLE + 'what the document says so you can discuss it with a licensed advisor:')} || chr(10) || chr(10) ELSE '' END || extract AS own FROM a)
+SELECT doc_id, n_hits, round(best, 5) AS best, advice, advice AND doc_id % 6 = 0 OR (best >= {answers.WEAK} AND NOT contains(own, {_QUOTED(answers.NOT_FOUND)})) AS grounded, md5(context) AS context_md5,
+ md5(CASE WHEN advice AND doc_id % 6 = 0 THEN {_QUOTED(analysis.PREAMBLE + 'a factual summary to discuss with a licensed advisor:')} || chr(10) || chr(10) || 'Facts of ' || doc_id WHEN best < {answers.WEAK} THEN {_QUOTED(answers.NOT_FOUND + ' Please ask the insurer to point you to the exact clause.')}
+ WHEN regexp_matches(own, '\\[S\\d+\\]') OR contains(own, {_QUOTED(answers.NOT_FOUND)}) THEN own ELSE own || chr(10) || chr(10) || 'Sources: ' || array_to_string(list_transform(cited[1:3], lambda v, i: '[S' || i || '] ' || v), '; ') END) AS answer_md5 FROM fin""")
+def policy_answers(spark, d):
+    """From a question to a cited answer: each document's index, its best chunks, their sentences, refusals and routes."""
+    b = _t(spark, d, "benchmark")
+    n = b.count()
+    say = F.concat("text", F.when(F.col("a") == 1, " Should I buy it?").otherwise(""))
+    asked = kept(b.select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("a")).select((F.col("item_id") * 2 + F.col("a")).alias("query_id"), say.alias("question")))
+    questions = asked.select("query_id", answers.expanded(F.col("question")).alias("text"))
+    meaning = asked.select("query_id", F.coalesce(F.lower("question").rlike(r"\bmean|defin"), F.lit(False)).alias("asks_meaning"))
+    asks = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", ((F.col("doc_id") % n) * 2 + (F.col("doc_id") % 3 == 0).cast("int")).alias("query_id"))
+    chunks = kept(sections.chunks(document_lines(spark, d)))
+    best = _hits(spark, d, asks, 5, (questions, meaning), chunks.repartition("doc_id"))
+    cited = sections.citation(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("page_start"), F.col("page_end"), F.col("title"))
+    hits = best.join(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), ["doc_id", "chunk"]).join(sized(asked), "query_id")
+    hits = kept(hits.select(F.col("doc_id").alias("question_id"), "question", "rank", "text", "score", cited.alias("citation"), "page_start"))
+    lists = hits.groupBy("question_id").agg(F.first("question").alias("question"), F.max("score").alias("best"), F.count("*").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda x: x["citation"]).alias("citations"))
+    rows = lists.join(answers.answered(hits).select("question_id", F.col("answer").alias("extract")), "question_id")
+    rows = rows.withColumn("decision", F.when(F.col("question_id") % 6 == 0, F.concat(F.lit("Facts of "), F.col("question_id").cast("string"))))
+    got = analysis.routed(rows).join(lists.select("question_id", "best", "n_hits"), "question_id").join(answers.context(hits).select("question_id", "context"), "question_id")
+    return got.select(F.col("question_id").alias("doc_id"), "n_hits", F.round("best", 5).alias("best"), "advice", "grounded", F.md5("context").alias("context_md5"), F.md5("answer").alias("answer_md5"))
