@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 
 def term_list(text: Column, stop: list[str]) -> Column:
     """Words of two characters or more without stop words, and pairs of these; a term is 64 bits of its hash, which move and group faster."""
@@ -29,7 +31,7 @@ def fit(docs: DataFrame, key: str, stop: list[str], queries: DataFrame | None =
 
     With queries(query_id, text) only postings of their terms are given, with weights of the whole rows.
     """
-    tf = grams(docs, key, stop)
+    tf = kept(grams(docs, key, stop))  # read for document frequencies, lengths and postings
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return idf, _unit(tf.join(idf, "term"), key, None if queries is None else grams(queries, "query_id", stop).select("term").distinct())
