@@ -27,8 +27,8 @@ from .op04_packing import tokenizer_path
 BLOCK = 8 << 20
 
 
-def token_files(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(file, ordinal, doc_id, bytes): a row for each document of each file, and one with ordinal -1 and the file's size."""
+def token_files(docs: DataFrame, path: str, end: int, width: int = 2) -> DataFrame:
+    """(file, ordinal, doc_id, bytes): a row for each document of each file, and one with ordinal -1 and the file's size; ids of width bytes."""
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
 
     def run(batches):
@@ -40,11 +40,14 @@ def token_files(docs: DataFrame, path: str, end: int) -> DataFrame:
         enc = _encoder(ByteLevel, path)
         store.create_dir(where, recursive=True)
         name = f"{uuid.uuid4().hex}.bin"
-        tail, n, at = np.array([end], "<u2").tobytes(), 0, 0
+        tail, n, at, most = np.array([end], f"<u{width}").tobytes(), 0, 0, (1 << 8 * width) - 1
         with store.open_output_stream(f"{where}/{name}") as out:
             for b in batches:
                 for text in b.column("text"):
-                    ids = np.frombuffer(enc.encode([text.as_py() or ""])[0], "<u4").astype("<u2").tobytes() + tail
+                    ids = np.frombuffer(enc.encode([text.as_py() or ""])[0], "<u4")
+                    if ids.max(initial=0) > most:
+                        raise ValueError(f"an id of {ids.max()} doesn't fit {width} bytes")
+                    ids = ids.astype(f"<u{width}").tobytes() + tail
                     out.write(ids)
                     at += len(ids)
                 k = b.num_rows
@@ -96,9 +99,13 @@ def scan(files: DataFrame, end: int, width: int = 2, block: int = BLOCK) -> Data
 
 
 def counted(docs: DataFrame, path: str | None = None, end: int = 50256, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_tokens): texts written to token files, and these scanned."""
-    rows = token_files(docs, path or tokenizer_path(), end)
-    found = scan(rows.where(F.col("ordinal") < 0).select("file", "bytes"), end, 2, block)
+    """(doc_id, n_tokens): texts written to token files, and these scanned; end must be no id of a text. Ids take 4 bytes where the vocabulary needs them."""
+    from tokenizers import Tokenizer
+
+    path = path or tokenizer_path()
+    width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+    rows = token_files(docs, path, end, width)
+    found = scan(rows.where(F.col("ordinal") < 0).select("file", "bytes"), end, width, block)
     return rows.where(F.col("ordinal") >= 0).select("file", "ordinal", "doc_id").join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 

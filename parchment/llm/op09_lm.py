@@ -235,7 +235,7 @@ def scored(docs: DataFrame) -> DataFrame:
     counted = stored(word_counts(docs))
     counts = gathered(spark, counted, docs.where(fold("doc_id", FOLDS) != HELD).count())
     logs = train(pair_counts(docs, counts)) if counts.docs else np.full((CLASSES, CLASSES), -np.log10(CLASSES - 1))
-    found = stored(parts(docs, counts, logs)).withColumn("row", F.monotonically_increasing_id())
+    found = stored(parts(docs, counts, logs).withColumn("row", F.monotonically_increasing_id()))  # numbered once: both sides of the join below read it
     # the rarer words, once a text with their number, meet their counts
     rare = found.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
     rare = rare.join(counted.select("h", "c"), "h").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("logs"))
