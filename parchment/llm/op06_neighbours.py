@@ -35,6 +35,7 @@ from .common import by_hash, cut, stored, table
 SAMPLE = 1 << 17  # vectors that fit the index
 LIST, PER_LIST = 50, 8  # rows for which there is a list, and sample vectors that make its centroid
 REST = 1 << 13  # vectors that choose the ratios
+ASKED = 600  # of them, and of those that made the centroids, the queries
 REPLICAS, FIRST = 4, 4
 NEAR = (1.0, 1.02, 1.05, 1.1)
 RATIOS = tuple(round(1.01**i, 4) for i in range(1, 60)) + (1e9,)
@@ -158,11 +159,15 @@ def fit(sample: np.ndarray, norm: float, rows: int, k: int, asked: float = 0.05)
     if lists <= 8:
         return index
     rest = sample[n : n + REST]  # no centroid knows these
-    q = rest[:300]
-    # among all rows there are also those that made the centroids; as large a share of them here
-    pool = np.concatenate([rest, sample[: min(n, int(len(rest) * n / max(1, rows - n)))]])
+    # among all rows there are also those that made the centroids, near which they lie, so that ratios of distances are
+    # large for them; as large a share of them here, among the queries too
+    made = sample[: min(n, int(len(rest) * n / max(1, rows - n)))]
+    pool = np.concatenate([rest, made])
+    few = min(len(made), round(ASKED * n / max(1, rows)))
+    own_place = np.concatenate([np.arange(min(ASKED - few, len(rest))), len(rest) + np.arange(few)])
+    q = pool[own_place]
     scores = q @ pool.T
-    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    scores[np.arange(len(q)), own_place] = -np.inf
     # of the k nearest among all rows, so many are among these
     want = max(1, min(k, len(pool) - 1, -(-k * len(pool) // max(rows, 1))))
     true = np.argpartition(-scores, want - 1, 1)[:, :want]
