@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept, sized
-from .retrieval import term_list
+from .retrieval import DENSE, SPARSE, term_list
 
 #: Words that say little, a parameter of the index.
 STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below
@@ -21,7 +21,6 @@ her here hers herself him himself his how i if in into is it its itself me more
 once only or other ought our ours ourselves out over own same she should so some such than that the their theirs
 them themselves then there these they this those through to too under until up very was we were what when where
 which while who whom why with would you your yours yourself yourselves""".split()
-SPARSE, DENSE = 0.45, 0.55
 LISTED = 16  # how many of each list are looked at first
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..storage import kept
 
 
+FEW_QUERIES = 10_000  # vectors of at most so many queries are broadcast
+SPARSE, DENSE = 0.45, 0.55
+
+
 def term_list(text: Column, stop: list[str]) -> Column:
     """Words of two characters or more without stop words, and pairs of these; a term is 64 bits of its hash, which move and group faster."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
@@ -51,17 +55,25 @@ def sparse_scores(queries: DataFrame, idf: DataFrame, postings: DataFrame, key:
     return q.join(postings, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("sparse"))
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, dense): inner products of queries(query_id, qv), a stated small set, with all vectors(key, v)."""
+def dense_scores(queries: DataFrame, vectors: DataFrame, key: str, few: int = FEW_QUERIES) -> DataFrame:
+    """(query_id, key, dense): inner products of queries(query_id, qv), a stated set, with all vectors(key, v).
+
+    Few queries, by count, go to every task; more are dealt to blocks of the vectors, each block meeting all of them.
+    """
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", key, dot.alias("dense"))
+    if queries.limit(few + 1).count() <= few:
+        return vectors.crossJoin(F.broadcast(queries)).select("query_id", key, dot.alias("dense"))
+    blocks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.join(asked, "_block").select("query_id", key, dot.alias("dense"))
 
 
 def blended(sparse: DataFrame, dense: DataFrame | None, key: str) -> DataFrame:
     if dense is None:
         return sparse.withColumnRenamed("sparse", "score")
     both = sparse.join(dense, ["query_id", key], "full")
-    return both.select("query_id", key, (0.45 * F.coalesce("sparse", F.lit(0.0)) + 0.55 * F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0))).alias("score"))
+    return both.select("query_id", key, (SPARSE * F.coalesce("sparse", F.lit(0.0)) + DENSE * F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0))).alias("score"))
 
 
 def adjusted(scores: DataFrame) -> DataFrame:

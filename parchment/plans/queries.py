@@ -284,12 +284,11 @@ WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, 0.55 * greatest(list
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""")
 def dense_search(spark, d):
-    """Exact inner products of a stated query set with all vectors, blended, with category boost."""
+    """Exact inner products of a stated query set with all vectors, with category boost."""
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
     s = retrieval.dense_scores(q.select("query_id", "qv"), e.select("vec_id", F.col("embedding").alias("v")), "vec_id")
-    none = s.select("query_id", "vec_id", F.lit(0.0).alias("sparse"))
-    s = s.join(none.limit(0), ["query_id", "vec_id"], "left").select("query_id", "vec_id", (0.55 * F.greatest("dense", F.lit(0.0))).alias("score"))
+    s = s.select("query_id", "vec_id", (retrieval.DENSE * F.greatest("dense", F.lit(0.0))).alias("score"))
     s = s.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("query_id", "ql")), "query_id")
     s = s.select("query_id", "vec_id", "score", F.lit("").alias("category"), F.lit(False).alias("asks_meaning"), F.col("label"), "ql")
     s = s.withColumns({"category": F.col("label").cast("string"), "wanted": F.array(F.col("ql").cast("string"))})

@@ -8,9 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from parchment.operators import indexes, latent
+from parchment.operators import indexes, latent, retrieval, sections
 from parchment.plans import searches
-from parchment.operators import sections
 
 R = random.Random(3)
 WORDS = ["".join(R.choice("abcde") for _ in range(R.randint(1, 3))) for _ in range(40)] + ["the", "of"]
@@ -140,3 +139,11 @@ def test_rows_of_unknown_terms(spark, matrix):
     other = spark.createDataFrame([(1, "w0x1 w0x2"), (2, "nothing of these")], "query_id long, text string")
     got = {r.query_id: r.v for r in model.vectors(other, "query_id").collect()}
     assert len(got[1]) == 6 and set(got) == {1, 2}
+
+
+def test_products_of_few_and_of_many_queries(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "k long, v array<double>")
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(4)], "query_id long, qv array<double>")
+    want = {(q, i): i + q for q in range(4) for i in range(30)}
+    for few in (10, 2):
+        assert {(r.query_id, r.k): r.dense for r in retrieval.dense_scores(queries, vectors, "k", few).collect()} == want
