@@ -47,6 +47,11 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls")) for c in df.columns])).alias("x")).select("x.column", "rows", "x.nulls")
 
 
+def null_shares(df: DataFrame, most: int = 8) -> DataFrame:
+    """(column, share) of the columns with the largest shares of nulls, to three digits; equal ones by name."""
+    return null_profile(df).select("column", F.round(F.try_divide("nulls", "rows"), 3).alias("share")).orderBy(F.col("share").desc(), "column").limit(most)
+
+
 def checked(truth: DataFrame, extracted: DataFrame) -> DataFrame:
     """(doc_id, field, expected, extracted, correct): truth(doc_id, field, expected) beside extracted(doc_id, field, value)."""
     rows = truth.join(extracted.select("doc_id", "field", F.col("value").alias("extracted")), ["doc_id", "field"], "left")

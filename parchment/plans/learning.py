@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting
+from ..operators import boosting, evaluation
 from ..storage import kept
 from .queries import _t, query
 
@@ -16,6 +16,13 @@ def _lines(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", few.alias("l_discount"), "l_tax", F.month("l_shipdate").alias("month"), "l_extendedprice", held.alias("held"))
 
 
+@query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (l_linenumber % 3 = 0) AS few FROM lineitem)
+SELECT * FROM (SELECT unnest(['held', 'l_discount', 'l_extendedprice', 'l_linenumber', 'l_linestatus', 'l_orderkey', 'l_quantity', 'l_returnflag', 'l_tax', 'month']) AS "column", round(unnest([0, few / n, 0, 0, 0, 0, 0, 0, 0, 0]), 3)::DOUBLE AS share FROM s) ORDER BY share DESC, "column" LIMIT 8""")
+def null_shares(spark, d):
+    """Columns with the largest shares of missing values."""
+    return evaluation.null_shares(_lines(spark, d))
+
+
 @query("""WITH t AS (SELECT DISTINCT l_returnflag AS v FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_returnflag <> 'R'), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM t)
 SELECT coalesce(code, -1)::INT AS code, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem LEFT JOIN c ON c.v = l_returnflag GROUP BY ALL""")
 def ordinal_codes(spark, d):

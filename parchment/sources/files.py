@@ -32,6 +32,11 @@ def questions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"').na.fill("")
 
 
+def first_rows(spark: SparkSession, path: str, rows: int, schema: str) -> DataFrame:
+    """The first rows of a CSV file with a header, for a look at it; of several files the first by name."""
+    return spark.read.schema(schema).csv(path, header=True, escape='"').limit(rows)
+
+
 def truths(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, field, expected) of JSON files {document: {field: value}}; keys that start with _ are notes."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", TRUTH).alias("m"))

@@ -24,6 +24,7 @@ def test_sources(spark, tmp_path):
     assert {(r.doc_id, r.field, r.expected) for r in files.truths(spark, str(tmp_path / "t.json")).collect()} == {("p.pdf", "uin", "U1"), ("p.pdf", "ok", "true"), ("p.pdf", "n", "5")}
     (tmp_path / "q.csv").write_text('id,q,a\n1,"two\nlines","say ""x"""\n2,b,\n')
     assert [tuple(r) for r in files.questions(spark, str(tmp_path / "q.csv"), "id int, q string, a string").orderBy("id").collect()] == [(1, "two\nlines", 'say "x"'), (2, "b", "")]
+    assert [tuple(r) for r in files.first_rows(spark, str(tmp_path / "q.csv"), 1, "id int, q string, a string").select("id").collect()] == [(1,)]
     assert files.templates(spark, str(tmp_path)) == {"a": "one\ftwo\nlines"}
     for kind in ("csv", "json", "parquet"):
         df = spark.createDataFrame([(1, 'a\n"b"')], "i int, s string")
