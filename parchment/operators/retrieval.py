@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import stored
 
 
 FEW_QUERIES = 10_000  # vectors of at most so many queries are broadcast
@@ -25,17 +25,29 @@ def term_list(text: Column, stop: list[str]) -> Column:
     return F.flatten(F.transform(F.array(words), both))
 
 
+def counted_terms(text: Column, stop: list[str]) -> Column:
+    """A text's terms, each once with how often it occurs, as array of (term, tf): runs of equal ones in the sorted list."""
+
+    def counted(a: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        with_next = F.transform(F.array(at), lambda s: F.transform(s, lambda i, k: F.struct(F.get(a, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(a)) - i).cast("long").alias("tf"))))
+        return F.when(F.size(a) > 0, F.get(with_next, F.lit(0)))
+
+    return F.get(F.transform(F.array(F.array_sort(term_list(text, stop))), counted), F.lit(0))
+
+
 def grams(docs: DataFrame, key: str, stop: list[str]) -> DataFrame:
     """(key, term, tf) of docs(key, text)."""
     return docs.select(key, F.explode(term_list(F.col("text"), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fit(docs: DataFrame, key: str, stop: list[str], queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(idf(term, idf), postings(key, term, w)): 1 + ln tf, smoothed idf, rows of unit length.
+    """(idf(term, idf), postings(key, term, w)) of docs(key, text), a row for each key: 1 + ln tf, smoothed idf, rows of unit length.
 
     With queries(query_id, text) only postings of their terms are given, with weights of the whole rows.
     """
-    tf = kept(grams(docs, key, stop))  # read for document frequencies, lengths and postings
+    # counted within each row, without a shuffle; read for document frequencies, lengths and postings
+    tf = stored(docs.select(key, F.inline(counted_terms(F.col("text"), stop)).alias("term", "tf")))
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return idf, _unit(tf.join(idf, "term"), key, None if queries is None else grams(queries, "query_id", stop).select("term").distinct())

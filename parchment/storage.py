@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As kept(), for larger results: columns in compressed Parquet files in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sized(df: DataFrame, few: int = FEW) -> DataFrame:
     """df, of short rows, broadcast if a count shows it small."""
     return F.broadcast(df) if df.limit(few + 1).count() <= few else df

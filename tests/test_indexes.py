@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parchment.operators import indexes, latent, retrieval, sections
 from parchment.plans import searches
@@ -147,3 +148,10 @@ def test_products_of_few_and_of_many_queries(spark):
     want = {(q, i): i + q for q in range(4) for i in range(30)}
     for few in (10, 2):
         assert {(r.query_id, r.k): r.dense for r in retrieval.dense_scores(queries, vectors, "k", few).collect()} == want
+
+
+def test_terms_counted_within_a_row(spark):
+    rows = [(i, t) for i, (_, _, t) in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {r.k: sorted(x.tf for x in r.c or []) for r in df.select("k", retrieval.counted_terms(F.col("text"), STOP).alias("c")).collect()}
+    assert got == {i: sorted(terms(t).values()) for i, t in rows}
