@@ -338,7 +338,7 @@ def _extracted(pages: DataFrame) -> DataFrame:
     pages = kept(pages)
     clean = kept(cleaning.clean_pages(pages))
     lines = kept(sections.sectioned(sections.page_lines(clean)))
-    return clauses.extract(clean, lines, kept(sections.sentences(lines)), pages)
+    return clauses.extract(clean, lines, kept(sections.sentences(lines)), pages, numbered=True)
 
 
 #: The terms as they were written, field by field.

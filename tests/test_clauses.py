@@ -1,6 +1,7 @@
 """Sections, sentences, chunks and clauses of small policies."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from parchment.operators import clauses, cleaning, sections
 
@@ -90,3 +91,12 @@ def test_chunks(parts, size, overlap):
         blocks.setdefault((r.block, r.title), []).append(r.line)
     want = [c for (_, t), b in blocks.items() for c in chunked(b, t, size, overlap)]
     assert [r.text for r in sections.chunks(lines, size, overlap).where("doc_id = 'a'").orderBy("chunk").collect()] == want
+
+
+def test_plans_named_by_long_numbers(spark):
+    """Five digits make a line a registration, except at the end of a plan's name if plans are numbered."""
+    front = "HARBOUR LIGHT COMPANY LIMITED\nCare Plan {} - Policy Wording\nHealth plan of reg 12345\nPOLICY SCHEDULE"
+    rows = spark.createDataFrame([(n, front.format(n)) for n in (9_999, 10_000, 899_999)], "n long, front string")
+    of = lambda numbered: {r.n: r.name for r in rows.select("n", clauses.policy_name(F.col("front"), F.lit(None).cast("string"), numbered).alias("name")).collect()}
+    assert of(True) == {n: f"Care Plan {n}" for n in (9_999, 10_000, 899_999)}
+    assert of(False) == {9_999: "Care Plan 9999", 10_000: "POLICY SCHEDULE", 899_999: "POLICY SCHEDULE"}
