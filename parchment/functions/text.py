@@ -34,6 +34,8 @@ HEADING = r"(?i)^(section\s+[a-z0-9]+\b|part\s+[a-z0-9]+\b|[a-z]?\d{1,2}(\.\d{1,
 CODED = r"(?i)code\s*[-:]?\s*excl\s?\d{1,2}"
 PAGE_NUMBER = r"(?i)^\s*(page\s*)?\d{1,3}(\s*(of|/)\s*\d{1,3})?\s*$"
 NUMBER = r"(?i)^(?:(?:section|part)\s+([a-z]|\d{1,2})\b|([a-z])\.(\d{1,2})|(\d{1,2})((?:\.\d{1,2})*)\.?)"
+#: So many small letters that a line of at most 95 characters isn't one of capitals.
+LOWER = r"^(?:[^a-z]*[a-z]){20}"
 #: What ends like a sentence but doesn't end one.
 ABBREVIATION = r"(?iU)(?:\b(?:rs|no|nos|e\.g|i\.e|viz|etc|sr|dr|mr|mrs|ms|st|vs|approx|max|min|cl|sec|art)|\b[a-z]|\d)\.$"
 SENTENCE = r"(?<=[.;])\s+(?=[A-Z(\d\"'“])"
@@ -114,10 +116,11 @@ def word_count(line: Column) -> Column:
 
 def heading(line: Column) -> Column:
     n, words = F.length(line), word_count(line)
+    could = (n <= 95) & (n >= 3) & (~line.rlike(LOWER) | line.rlike(HEADING) | line.rlike(CODED))
     shape = (n <= 95) & (n >= 3) & ~F.regexp_replace(line, f"{WHITE}+$", "").rlike(r"[,;/\-&]$") & (_letters(line) >= 3)
     stop = line.rlike(r"\.$")
     late_stop = F.regexp_replace(line, f"{WHITE}+$", "").rlike(r"\.$")
-    return shape & ((upper_case(line) & (words <= 12) & ~stop) | (line.rlike(HEADING) & (words <= 12) & ~late_stop) | (line.rlike(CODED) & (words <= 14)))
+    return could & shape & ((upper_case(line) & (words <= 12) & ~stop) | (line.rlike(HEADING) & (words <= 12) & ~late_stop) | (line.rlike(CODED) & (words <= 14)))
 
 
 def section_number(line: Column) -> Column:

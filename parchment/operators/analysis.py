@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import apart
 from . import answers, scoring
 
 Field = Callable[[str], Column]
@@ -73,7 +74,7 @@ def features(extracted: DataFrame, overrides: DataFrame | None = None, notes: st
     df = extracted.select("doc_id", F.struct(*extracted.columns).alias("x"))
     x = lambda c: F.col(f"x.{c}")
     if overrides is not None:
-        df = df.join(overrides.select("doc_id", F.struct("sum_insured", "annual_premium").alias("own")), "doc_id", "left")
+        df = df.join(apart(overrides.select("doc_id", F.struct("sum_insured", "annual_premium").alias("own"))), "doc_id", "left")
     else:
         df = df.withColumn("own", F.struct(F.lit(None).cast("long").alias("sum_insured"), F.lit(None).cast("long").alias("annual_premium")))
     value = {k: scoring.given(F.col(f"own.{k}"), x(f)) if k in ("sum_insured", "annual_premium") else x(f) for k, f, _ in IMPUTED_FROM}

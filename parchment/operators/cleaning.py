@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import apart
 
 EDGE = 3  # lines at either end of a page that may be a running header or footer
 
@@ -23,21 +24,21 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     masked = rows.select("doc_id", F.explode_outer(F.transform(edges, T.digits_masked)).alias("masked"))
     counts = masked.groupBy("doc_id", "masked").agg(F.count("masked").alias("n"))
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "doc_id").where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))).select("doc_id", "masked")
+    return counts.join(apart(sizes), "doc_id").where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))).select("doc_id", "masked")
 
 
 def clean_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, line): normal lines that are neither blank, page numbers nor running headers."""
     rows = raw_lines(pages).withColumn("line", T.normal_line(F.col("line"))).where((F.col("line") != "") & ~T.page_number(F.col("line")))
     rows = rows.withColumn("masked", T.digits_masked(F.col("line")))
-    return rows.join(repeated_lines(pages), ["doc_id", "masked"], "left_anti").drop("masked")
+    return rows.join(apart(repeated_lines(pages)), ["doc_id", "masked"], "left_anti").drop("masked")
 
 
 def clean_pages(pages: DataFrame, mask: bool = True) -> DataFrame:
     """(doc_id, page, text) with one row for each page, personal data masked."""
     kept = clean_lines(pages).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     body = F.coalesce(F.array_join(F.col("l.line"), "\n"), F.lit(""))
-    return pages.select("doc_id", "page").join(kept, ["doc_id", "page"], "left").select("doc_id", "page", (T.anonymize(body) if mask else body).alias("text"))
+    return pages.select("doc_id", "page").join(apart(kept), ["doc_id", "page"], "left").select("doc_id", "page", (T.anonymize(body) if mask else body).alias("text"))
 
 
 def long_enough(pages: DataFrame, least: int = 200) -> DataFrame:

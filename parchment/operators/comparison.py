@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import apart
+
 #: What is compared; where it comes from (x extraction, f features), its kind, and which way is better.
 ASPECTS = [
     ("Sum insured (Rs)", "f", "sum_insured", "num", "higher"),
@@ -72,8 +74,8 @@ def aspects(policies: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, policies: DataFrame) -> DataFrame:
     """(pair_id, ord, aspect, current, proposed, change) of pairs(pair_id, current, proposed)."""
     a = aspects(policies)
-    side = lambda n: pairs.select("pair_id", F.col(n).alias("policy_id")).join(a, "policy_id").select("pair_id", "ord", "aspect", "better", F.col("value").alias(f"{n}_value"), F.col("known").alias(f"{n}_known"), F.col("text").alias(n))
-    both = side("current").join(side("proposed").drop("aspect", "better"), ["pair_id", "ord"])
+    side = lambda n: pairs.select("pair_id", F.col(n).alias("policy_id")).join(apart(a), "policy_id").select("pair_id", "ord", "aspect", "better", F.col("value").alias(f"{n}_value"), F.col("known").alias(f"{n}_known"), F.col("text").alias(n))
+    both = side("current").join(apart(side("proposed").drop("aspect", "better")), ["pair_id", "ord"])
     x, y = F.col("current_value"), F.col("proposed_value")
     up = F.col("better").isin("higher", "yes")
     change = (
@@ -95,7 +97,8 @@ def outlook(pairs: DataFrame, policies: DataFrame) -> DataFrame:
     The change is null unless both premiums are known. profile has age, planning_child and has_ped; nulls count as no.
     """
     keep = policies.select("policy_id", F.struct("x", "f", "given").alias("p"))
-    df = pairs.join(keep.select(F.col("policy_id").alias("current"), F.col("p").alias("a")), "current").join(keep.select(F.col("policy_id").alias("proposed"), F.col("p").alias("b")), "proposed")
+    side = lambda n, p: apart(keep.select(F.col("policy_id").alias(n), F.col("p").alias(p)))
+    df = pairs.join(side("current", "a"), "current").join(side("proposed", "b"), "proposed")
     known = F.nullif(F.col("a.given.annual_premium"), F.lit(0)).isNotNull() & F.nullif(F.col("b.given.annual_premium"), F.lit(0)).isNotNull()
     was, new = F.col("a.f.annual_premium"), F.col("b.f.annual_premium")
     pct = F.when(known, F.bround(F.try_divide((new - was) * 100.0, was), 1))

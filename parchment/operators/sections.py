@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import apart
 
 #: Categories that subsections take from their section; the section before the first heading.
 STRONG = ["exclusions", "waiting_period", "claims", "renewal", "definitions"]
@@ -56,7 +57,7 @@ def sectioned(rows: DataFrame) -> DataFrame:
     """Lines with block (0 before the first heading), first (of its block), title and category."""
     marks = headed(rows).select("doc_id", F.explode("heads").alias("h")).select("doc_id", "h.*")
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    out = rows.join(marks, ["doc_id", "page", "line_no"], "left")
+    out = rows.join(apart(marks), ["doc_id", "page", "line_no"], "left")
     out = out.select("doc_id", "page", "line_no", "line", F.count("title").over(order).alias("block"), (F.col("title").isNotNull() | (F.row_number().over(order) == 1)).alias("first"),
                      F.coalesce(F.last("title", True).over(order), F.lit(FIRST[0])).alias("title"), F.coalesce(F.last("cat", True).over(order), F.lit(FIRST[1])).alias("category"))
     return out

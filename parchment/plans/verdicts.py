@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, comparison, scoring
-from ..storage import kept
+from ..storage import apart, kept
 from .queries import _POLICIES_SQL, _TERMS_SQL, _extracted, _t, policy_pages, query
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -67,6 +67,6 @@ def paired_policies(spark, d):
     pairs = kept(_t(spark, d, "customer").where(k % 2 == 1).select(k.alias("pair_id"), k.alias("current"), (k + 1).alias("proposed"), profile))
     counts = comparison.summary(comparison.compared(pairs, policies)).select("pair_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("improved", "worse", "unclear")])
     outlook = comparison.outlook(pairs, policies).select("pair_id", "premium_change_pct", F.size("switching_risks").alias("n_risks"), F.size("cautions").alias("n_cautions"))
-    return counts.join(outlook, "pair_id")
+    return counts.join(apart(outlook), "pair_id")
 
 

@@ -36,6 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle: it has a row or more for each document, and the planner counts a text or list of any length as a few bytes."""
+    return df.hint("merge")
+
+
 def sized(df: DataFrame, few: int = FEW) -> DataFrame:
     """df, of short rows, broadcast if a count shows it small."""
     return F.broadcast(df) if df.limit(few + 1).count() <= few else df

@@ -100,3 +100,11 @@ def test_plans_named_by_long_numbers(spark):
     of = lambda numbered: {r.n: r.name for r in rows.select("n", clauses.policy_name(F.col("front"), F.lit(None).cast("string"), numbered).alias("name")).collect()}
     assert of(True) == {n: f"Care Plan {n}" for n in (9_999, 10_000, 899_999)}
     assert of(False) == {9_999: "Care Plan 9999", 10_000: "POLICY SCHEDULE", 899_999: "POLICY SCHEDULE"}
+
+
+def test_nothing_of_each_document_is_broadcast(spark, parts):
+    """The planner counts a text of any length as 20 bytes; joins of rows of documents go by a shuffle whatever it thinks."""
+    raw, clean, lines, sents = parts
+    for df in (cleaning.clean_pages(raw), sections.sectioned(sections.page_lines(clean)), clauses.extract(clean, lines, sents, raw)):
+        plan = df._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
