@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import apart
 
 #: Words of questions and what policies say instead; words that are no facts; texts of answers.
 SYNONYMS = {
@@ -83,7 +84,7 @@ def answered(hits: DataFrame) -> DataFrame:
     """(question_id, answer, grounded) of hits(question_id, question, rank, text, score)."""
     lines = sentences(hits).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("- "), F.left("sentence", F.lit(350)), F.lit(" [S"), "rank", F.lit("]")).alias("line")))).alias("l"))
     best = hits.groupBy("question_id").agg(F.max("score").alias("best"))
-    df = best.join(lines, "question_id", "left").join(missing(hits), "question_id", "left")
+    df = best.join(apart(lines), "question_id", "left").join(apart(missing(hits)), "question_id", "left")
     lack = F.concat(F.lit(NOT_FOUND + " The document does not mention: "), F.array_join("missing", ", "), F.lit(". " + CLOSEST))
     text = F.concat(F.when(F.size("missing") > 0, lack).otherwise(FOUND), F.array_join("l.line", "\n"), F.lit(VERIFY))
     grounded = F.col("best") >= WEAK

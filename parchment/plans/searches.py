@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, answers, indexes, latent, retrieval, sections
-from ..storage import kept, sized
+from ..storage import apart, kept, sized, stored
 from .queries import _TOKEN_SQL, _WIDE_SQL, _t, query
 
 #: Each document is read as a policy of its own: six lines a page, 24 lines a section, categories in turn.
@@ -74,11 +74,11 @@ def _hits(spark, d, asks: DataFrame, k: int, asked: tuple[DataFrame, DataFrame]
     """The k best chunks of each document for what asks(doc_id, query_id) puts to it, without their text."""
     questions, meaning = asked or _asked(spark, d)
     chunks = (sections.chunks(document_lines(spark, d)) if chunks is None else chunks).withColumn("chunk", F.col("chunk").cast("long"))
-    about = chunks.select("doc_id", "chunk", "category", "page_start", "page_end", "title", (F.length("text") + F.length("title") + F.length(F.col("page_start").cast("string")) + 9).alias("size"))
-    index = kept(indexes.indexed(chunks, "doc_id", "chunk", questions, indexes.STOP_WORDS).join(about, ["doc_id", "chunk"]))
+    chunks = chunks.withColumn("size", F.length("text") + F.length("title") + F.length(F.col("page_start").cast("string")) + 9)
+    index = stored(indexes.indexed(chunks, "doc_id", "chunk", questions, indexes.STOP_WORDS, asks=asks))
     scores = indexes.sparse_scores(index, "doc_id", "chunk", asks, questions, indexes.STOP_WORDS)
     about = index.select("doc_id", "chunk", "category", "page_start", "page_end", "title", "size")
-    scores = scores.join(about, ["doc_id", "chunk"]).join(F.broadcast(meaning), "query_id").withColumnsRenamed({"sparse": "score"}).withColumn("wanted", F.array(F.lit(CATEGORIES[0])))
+    scores = scores.join(apart(about), ["doc_id", "chunk"]).join(F.broadcast(meaning), "query_id").withColumnsRenamed({"sparse": "score"}).withColumn("wanted", F.array(F.lit(CATEGORIES[0])))
     return indexes.best(retrieval.adjusted(scores), ["doc_id", "query_id"], "chunk", k)
 
 
@@ -114,7 +114,7 @@ def packed_contexts(spark, d):
     j = F.explode(F.sequence(F.lit(0), F.lit(GROUPS * EACH - 1))).alias("j")
     asks = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", j).select("doc_id", ((F.col("doc_id") + 7 * F.col("j")) % n).alias("query_id"), "j")
     got = _hits(spark, d, asks.select("doc_id", "query_id").distinct(), 4)
-    rows = got.join(asks, ["doc_id", "query_id"]).select("doc_id", F.floor(F.col("j") / EACH).alias("part"), F.col("j").alias("query"), "rank", F.col("chunk").alias("key"), "size")
+    rows = got.join(apart(asks), ["doc_id", "query_id"]).select("doc_id", F.floor(F.col("j") / EACH).alias("part"), F.col("j").alias("query"), "rank", F.col("chunk").alias("key"), "size")
     return indexes.packed(rows, ["doc_id", "part"], BUDGET).select("doc_id", "part", F.array_join("parts", " ").alias("chunks"), "size")
 
 
@@ -133,7 +133,7 @@ def fused_search(spark, d):
     own = F.col("doc_id") % 50 == 0
     questions = kept(texts.where(own).select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(300)).alias("text")))
     asks = questions.select(F.expr("query_id div 100").alias("shelf"), "query_id")
-    index = kept(indexes.indexed(texts, "shelf", "doc_id", questions, indexes.STOP_WORDS, apart=True))
+    index = stored(indexes.indexed(texts.repartition("shelf"), "shelf", "doc_id", questions, indexes.STOP_WORDS, asks=asks))
     sparse = indexes.sparse_scores(index, "shelf", "doc_id", asks, questions, indexes.STOP_WORDS)
     asked = vectors.where(own).select(F.col("doc_id").alias("query_id"), F.col("v").alias("qv"))
     dense = indexes.dense_scores(vectors, "shelf", "doc_id", asked.select(F.expr("query_id div 100").alias("shelf"), "query_id"), asked)
@@ -148,9 +148,9 @@ def hybrid_policy_search(spark, d):
     questions, _ = _asked(spark, d)
     questions = kept(questions)
     n = questions.count()
-    chunks = kept(sections.chunks(document_lines(spark, d)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"))
+    chunks = stored(sections.chunks(document_lines(spark, d)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"))
     asks = chunks.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % n).alias("query_id"))
-    index = kept(indexes.indexed(chunks.repartition("doc_id"), "doc_id", "chunk", questions, indexes.STOP_WORDS))
+    index = stored(indexes.indexed(chunks.repartition("doc_id"), "doc_id", "chunk", questions, indexes.STOP_WORDS, asks=asks))
     sparse = indexes.sparse_scores(index, "doc_id", "chunk", asks, questions, indexes.STOP_WORDS)
     named = chunks.select(F.struct("doc_id", "chunk").alias("id"), "text")
     model = latent.fit(named, "id", indexes.STOP_WORDS)
@@ -198,13 +198,13 @@ def policy_answers(spark, d):
     questions = asked.select("query_id", answers.expanded(F.col("question")).alias("text"))
     meaning = asked.select("query_id", F.coalesce(F.lower("question").rlike(r"\bmean|defin"), F.lit(False)).alias("asks_meaning"))
     asks = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", ((F.col("doc_id") % n) * 2 + (F.col("doc_id") % 3 == 0).cast("int")).alias("query_id"))
-    chunks = kept(sections.chunks(document_lines(spark, d)))
+    chunks = stored(sections.chunks(document_lines(spark, d)))
     best = _hits(spark, d, asks, 5, (questions, meaning), chunks.repartition("doc_id"))
     cited = sections.citation(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("page_start"), F.col("page_end"), F.col("title"))
-    hits = best.join(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text"), ["doc_id", "chunk"]).join(sized(asked), "query_id")
-    hits = kept(hits.select(F.col("doc_id").alias("question_id"), "question", "rank", "text", "score", cited.alias("citation"), "page_start"))
+    hits = best.join(apart(chunks.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text")), ["doc_id", "chunk"]).join(sized(asked), "query_id")
+    hits = stored(hits.select(F.col("doc_id").alias("question_id"), "question", "rank", "text", "score", cited.alias("citation"), "page_start"))
     lists = hits.groupBy("question_id").agg(F.first("question").alias("question"), F.max("score").alias("best"), F.count("*").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda x: x["citation"]).alias("citations"))
-    rows = lists.join(answers.answered(hits).select("question_id", F.col("answer").alias("extract")), "question_id")
+    rows = lists.join(apart(answers.answered(hits).select("question_id", F.col("answer").alias("extract"))), "question_id")
     rows = rows.withColumn("decision", F.when(F.col("question_id") % 6 == 0, F.concat(F.lit("Facts of "), F.col("question_id").cast("string"))))
-    got = analysis.routed(rows).join(lists.select("question_id", "best", "n_hits"), "question_id").join(answers.context(hits).select("question_id", "context"), "question_id")
+    got = analysis.routed(rows).join(apart(lists.select("question_id", "best", "n_hits")), "question_id").join(apart(answers.context(hits).select("question_id", "context")), "question_id")
     return got.select(F.col("question_id").alias("doc_id"), "n_hits", F.round("best", 5).alias("best"), "advice", "grounded", F.md5("context").alias("context_md5"), F.md5("answer").alias("answer_md5"))

@@ -155,3 +155,24 @@ def test_terms_counted_within_a_row(spark):
     df = spark.createDataFrame(rows, "k long, text string")
     got = {r.k: sorted(x.tf for x in r.c or []) for r in df.select("k", retrieval.counted_terms(F.col("text"), STOP).alias("c")).collect()}
     assert got == {i: sorted(terms(t).values()) for i, t in rows}
+
+
+def test_found_terms_are_those_of_own_questions(spark):
+    """Scores are the same if a collection lists only terms of its questions, wherever batches are cut."""
+    texts = spark.createDataFrame(TEXTS, "c long, k long, text string").withColumn("page", F.col("k") + 1)
+    questions = spark.createDataFrame(QUESTIONS, "query_id long, text string")
+    asks = texts.select("c", (F.col("c") % 3).alias("query_id")).distinct()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in (1, 7, 1000):
+            spark.conf.set(name, size)
+            index = indexes.indexed(texts, "c", "k", questions, STOP, asks=asks)
+            rows = index.collect()
+            assert len(rows) == len(TEXTS) and all(r.page == r.k + 1 for r in rows)
+            assert all(len(r.found) <= len(terms(QUESTIONS[r.c % 3][1])) for r in rows)
+            got = {(r.c, r.query_id, r.k): r.sparse for r in indexes.sparse_scores(index, "c", "k", asks, questions, STOP).collect()}
+            want = {x: s for x, s in brute().items() if x[1] == x[0] % 3}
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    finally:
+        spark.conf.set(name, before)
