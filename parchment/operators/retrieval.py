@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..storage import stored
 
 FEW_QUERIES = 10_000  # vectors of at most so many queries are broadcast
 SPARSE, DENSE = 0.45, 0.55
+WANTED = 1.15
+TOGETHER, ASKED = 20_000, 256  # vectors of a block, queries multiplied at once
 
 
 def term_list(text: Column, stop: list[str]) -> Column:
@@ -81,6 +86,47 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, key: str, few: int = FE
     return dealt.join(asked, "_block").select("query_id", key, dot.alias("dense"))
 
 
+def dense_heads(queries: DataFrame, vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """(query_id, key, dense, same): from each block of vectors(key, v, label) those that can be among the k best of queries(query_id, qv, ql).
+
+    A block meets all queries in one product of matrices. It decides nothing but which vectors come near the k best, by
+    inner products above 0 times WANTED where the labels are the same; dense is the sum in the order of the components.
+    """
+    v, q = vectors.where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)"), queries.where("qv IS NOT NULL AND NOT exists(qv, x -> x IS NULL)")
+    blocks = max(v.count() // TOGETHER, v.sparkSession.sparkContext.defaultParallelism)
+    dealt = v.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), F.col(key).cast("long").alias(key), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"), F.col("ql").cast("string").alias("ql"))
+    matrix = lambda c: pc.list_flatten(c).to_numpy().reshape(len(c), -1)
+
+    def heads(own: pa.Table, other: pa.Table) -> pa.Table:
+        ids, asks, out = own.column(key).to_numpy(), other.column("query_id").to_numpy(), []
+        if len(ids) and len(asks):
+            m, qm = matrix(own.column("v")), matrix(other.column("qv"))
+            # labels as numbers, -1 and -2 where none is: these are never the same
+            names = pc.unique(own.column("label"))
+            code = lambda c, none: pc.fill_null(pc.index_in(c, names, skip_nulls=True), none).to_numpy()
+            label, wanted = code(own.column("label"), -1), code(other.column("ql"), -2)
+            for i in range(0, len(asks), ASKED):
+                near = qm[i : i + ASKED] @ m.T * np.where(wanted[i : i + ASKED, None] == label, WANTED, 1.0)
+                near[np.isnan(near)] = np.inf
+                last = np.partition(near, -k, 1)[:, -k] if len(ids) > k else np.full(len(near), -np.inf)
+                a, b = np.nonzero((near >= last[:, None] - 1e-5) & (near > -1e-9))
+                dense = np.zeros(len(a))
+                for j in range(m.shape[1]):
+                    dense += qm[i + a, j] * m[b, j]
+                same = wanted[i + a] == label[b]
+                # equal ones by key, as they are ranked; three times k, as scores near the middle of two steps may be rounded either way
+                order = np.lexsort((ids[b], -np.round(DENSE * near[a, b], 6), a))
+                a, b, dense, same = a[order], b[order], dense[order], same[order]
+                first = np.searchsorted(a, a)
+                put = np.arange(len(a)) - first < 3 * k
+                out.append(pa.table({"query_id": asks[i + a[put]], key: ids[b[put]], "dense": dense[put], "same": same[put]}))
+        none = pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "dense": pa.array([], pa.float64()), "same": pa.array([], pa.bool_())})
+        return pa.concat_tables(out) if out else none
+
+    return dealt.groupBy("_block").cogroup(asked.groupBy("_block")).applyInArrow(heads, f"query_id long, `{key}` long, dense double, same boolean")
+
+
 def blended(sparse: DataFrame, dense: DataFrame | None, key: str) -> DataFrame:
     if dense is None:
         return sparse.withColumnRenamed("sparse", "score")

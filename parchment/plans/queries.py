@@ -287,11 +287,8 @@ def dense_search(spark, d):
     """Exact inner products of a stated query set with all vectors, with category boost."""
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    s = retrieval.dense_scores(q.select("query_id", "qv"), e.select("vec_id", F.col("embedding").alias("v")), "vec_id")
-    s = s.select("query_id", "vec_id", (retrieval.DENSE * F.greatest("dense", F.lit(0.0))).alias("score"))
-    s = s.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("query_id", "ql")), "query_id")
-    s = s.select("query_id", "vec_id", "score", F.lit("").alias("category"), F.lit(False).alias("asks_meaning"), F.col("label"), "ql")
-    s = s.withColumns({"category": F.col("label").cast("string"), "wanted": F.array(F.col("ql").cast("string"))})
+    s = retrieval.dense_heads(q, e.select("vec_id", F.col("embedding").alias("v"), "label"), "vec_id")
+    s = s.select("query_id", "vec_id", (retrieval.DENSE * F.greatest("dense", F.lit(0.0))).alias("score"), F.lit("").alias("category"), F.lit(False).alias("asks_meaning"), F.when(F.col("same"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")).alias("wanted"))
     return retrieval.top_k(retrieval.adjusted(s), "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -176,3 +176,18 @@ def test_found_terms_are_those_of_own_questions(spark):
             assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     finally:
         spark.conf.set(name, before)
+
+
+def test_heads_of_blocks_hold_the_best(spark):
+    """Equal vectors, products below 0, missing labels, a null vector: the five best are those of all pairs."""
+    vec = [(i, [R.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] if i != 7 else None, R.choice([0, 1, None])) for i in range(300)]
+    vectors = spark.createDataFrame(vec, "k long, v array<double>, label int")
+    queries = vectors.where("k % 9 = 0 AND v IS NOT NULL").select(F.col("k").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("ql"))
+    want = {}
+    for q, qv, ql in vec[::9]:
+        scores = [(0.55 * max(sum(x * y for x, y in zip(qv, v)), 0) * (1.15 if label is not None and label == ql else 1), i) for i, v, label in vec if v]
+        want[q] = [i for s, i in sorted(scores, key=lambda x: (-round(x[0], 6), x[1])) if s > 0][:5]
+    rows = retrieval.dense_heads(queries, vectors, "k")
+    got = retrieval.top_k(rows.withColumn("score", 0.55 * F.greatest("dense", F.lit(0.0)) * F.when(F.col("same"), 1.15).otherwise(1.0)), "k").collect()
+    assert rows.count() <= len(want) * 4 * 15
+    assert {q: [r.k for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
