@@ -14,25 +14,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept, sized
+from ..storage import kept, stored
 from .retrieval import term_list
 
 COLUMNS, RANK, MORE, PASSES = 1 << 13, 48, 12, 3
 BLOCK = 128  # columns whose sums travel together
+ROWS = 256  # texts that are multiplied at once
 
 
 def rows_of(texts: DataFrame, key: str, stop: list[str], columns: int, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((key, _at, _w): columns and weights of each text, of unit length; idf(column, idf), of texts if not given)."""
-    terms = F.explode_outer(F.transform(term_list(F.coalesce("text", F.lit("")), stop), lambda t: F.pmod(t, F.lit(columns)).cast("int")))
-    tf = texts.select(key, terms.alias("column")).groupBy(key, "column").agg(F.count("*").alias("tf"))
+    """((key, _at, _w): columns and weights of each text, of unit length; idf(column, idf), of texts if not given).
+
+    A text's columns are counted where it is; only the numbers of texts that have a column are dealt, at most `columns` a task.
+    """
+    terms = F.transform(term_list(F.coalesce("text", F.lit("")), stop), lambda t: F.pmod(t, F.lit(columns)).cast("int"))
+    rows = texts.select(key, terms.alias("_terms"))
     if idf is None:
-        n = texts.count()
-        idf = kept(tf.where("column IS NOT NULL").groupBy("column").agg((F.ln((n + 1) / (F.count("*") + 1)) + 1).alias("idf")))
-    # at most `columns` rows; what no text has doesn't count
-    rows = tf.join(sized(idf), "column", "left").withColumn("w", F.when(F.col("idf").isNotNull(), (1 + F.ln("tf")) * F.col("idf")))
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("column", "w")))).alias("l"))
-    size = F.sqrt(F.aggregate("l", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.select(key, F.col("l.column").alias("_at"), F.transform("l", lambda x: x["w"] / size).alias("_w")), idf
+        df = kept(rows.select(F.explode(F.concat(F.array_distinct("_terms"), F.array(F.lit(-1)))).alias("column")).groupBy("column").agg(F.count("*").alias("df")))
+        n = df.where("column = -1").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
+        idf = kept(df.where("column >= 0").select("column", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    known = np.full(columns, np.nan)  # what no text has doesn't count
+    for column, value in idf.collect():
+        known[column] = value
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("_terms")
+            many = np.diff(lists.offsets.to_numpy())
+            at, tf = np.unique(np.repeat(np.arange(batch.num_rows), many) * columns + lists.flatten().to_numpy(), return_counts=True)
+            w = (1 + np.log(tf)) * sent.value[at % columns]
+            at, w = at[~np.isnan(w)], w[~np.isnan(w)]
+            row = at // columns
+            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))).astype(np.int32))
+            columns_ = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((at % columns).astype(np.int32), w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns_], names=[key, "_at", "_w"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, _at array<int>, _w array<double>"), idf
+
+
+def _parts(batches):
+    """Batches in parts of a few rows, whose products with a block stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +84,7 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
 
     def run(batches):
         out = None
-        for batch in batches:
+        for batch in _parts(batches):
             row, column, weight = _flat(batch)
             if not len(row):
                 continue
@@ -100,7 +126,7 @@ class Latent:
         sent = texts.sparkSession.sparkContext.broadcast(self.basis)
 
         def run(batches):
-            for batch in batches:
+            for batch in _parts(batches):
                 row, column, weight = _flat(batch)
                 got = _times(row, column, weight, batch.num_rows, sent.value)
                 size = np.sqrt((got * got).sum(1))
@@ -115,7 +141,7 @@ class Latent:
 def fit(texts: DataFrame, key: str, stop: list[str], rank: int = RANK, columns: int = COLUMNS, more: int = MORE, passes: int = PASSES, seed: int = 3) -> Latent:
     """The first rank directions of texts(key, text); more: directions besides, that make the first ones sure."""
     rows, idf = rows_of(texts, key, stop, columns)
-    rows = kept(rows)
+    rows = stored(rows.select("_at", "_w"))
     block = np.random.default_rng(seed).standard_normal((columns, rank + more))
     for _ in range(passes):
         block = np.linalg.qr(gram_times(rows, block))[0]
