@@ -1,4 +1,4 @@
-"""Lexical and vector retrieval over chunks: TF-IDF postings, dense scores, blending, top k per query."""
+"""Lexical and vector retrieval over chunks: TF-IDF scores, dense scores, blending, top k per query."""
 
 from __future__ import annotations
 
@@ -8,13 +8,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
-
 
 FEW_QUERIES = 10_000  # vectors of at most so many queries are broadcast
 SPARSE, DENSE = 0.45, 0.55
 WANTED = 1.15
 TOGETHER, ASKED = 20_000, 256  # vectors of a block, queries multiplied at once
+LETTERS, PIECE = 16_000_000, 8_192  # characters of a block of texts, texts of it multiplied at once
 
 
 def term_list(text: Column, stop: list[str]) -> Column:
@@ -41,35 +40,113 @@ def counted_terms(text: Column, stop: list[str]) -> Column:
     return F.get(F.transform(F.array(F.array_sort(term_list(text, stop))), counted), F.lit(0))
 
 
-def grams(docs: DataFrame, key: str, stop: list[str]) -> DataFrame:
-    """(key, term, tf) of docs(key, text)."""
-    return docs.select(key, F.explode(term_list(F.col("text"), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def fit(docs: DataFrame, key: str, stop: list[str], queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(idf(term, idf), postings(key, term, w)) of docs(key, text), a row for each key: 1 + ln tf, smoothed idf, rows of unit length.
-
-    With queries(query_id, text) only postings of their terms are given, with weights of the whole rows.
+def _hashed_words(text: Column, stop: list[str]) -> Column:
+    """64 bits of the hash of each word of two characters or more that is no stop word, in their order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.transform(F.filter(words, lambda w: ~w.isin(stop)) if stop else words, lambda w: F.xxhash64(w))
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of words, mixed as splitmix64 does."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _cells(block: pa.Table, key: str) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, query ids, terms, row, code, tf) of a block: its distinct terms in order, and a cell for each term of each key, then of each query."""
+    block = block.combine_chunks()
+    asked = block.column("asked").to_numpy()
+    coded = lambda c: pc.dictionary_encode(block.column(c), null_encoding="encode").combine_chunks()
+    keys, asks = coded(key), coded("query_id")
+    unit = np.where(asked, len(keys.dictionary) + asks.indices.to_numpy(), keys.indices.to_numpy()).astype(np.int64)
+    words = block.column("words")
+    row = np.repeat(unit, pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    text = np.repeat(np.arange(len(unit)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    w = pc.list_flatten(words).to_numpy().view(np.uint64)
+    inside = text[1:] == text[:-1]
+    terms, code = np.unique(np.concatenate([w, _paired(w[:-1], w[1:])[inside]]), return_inverse=True)
+    row = np.concatenate([row, row[:-1][inside]])
+    cell, tf = np.unique(row * max(len(terms), 1) + code, return_counts=True)
+    row, code = np.divmod(cell, max(len(terms), 1))
+    return keys.dictionary, asks.dictionary, terms, row, code, tf
+
+
+def lexical_heads(docs: DataFrame, queries: DataFrame, key: str, stop: list[str], k: int = 5) -> DataFrame:
+    """(query_id, key, score): from each block of docs(key, text) those that can be among the k best of queries(query_id, text) by TF-IDF.
+
+    1 + ln tf, smoothed idf of all documents, rows of unit length, words and pairs of words; unknown terms don't count.
+    A block's distinct terms travel once, cut into parts by their hash; a part adds up what all blocks have of its terms
+    and sends each block its frequencies back. The block then has the lengths of its own texts and meets all queries,
+    a stated set that a task holds. A term moves once for each block, not for each text, and no pair of query and text does.
     """
-    # counted within each row, without a shuffle; read for document frequencies, lengths and postings
-    tf = stored(docs.select(key, F.inline(counted_terms(F.col("text"), stop)).alias("term", "tf")))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return idf, _unit(tf.join(idf, "term"), key, None if queries is None else grams(queries, "query_id", stop).select("term").distinct())
-
-
-def _unit(rows: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
-    rows = rows.withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def sparse_scores(queries: DataFrame, idf: DataFrame, postings: DataFrame, key: str, stop: list[str]) -> DataFrame:
-    """(query_id, key, sparse): products of queries(query_id, text) with the chunks; unknown terms don't count."""
-    q = _unit(grams(queries, "query_id", stop).join(idf, "term"), "query_id").withColumnRenamed("w", "qw")
-    return q.join(postings, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("sparse"))
+    found = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    n, blocks = found["n"], max((found["chars"] or 0) // LETTERS, docs.sparkSession.sparkContext.defaultParallelism)
+    none = lambda of, c: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), key, none(queries, "query_id"), "text", F.lit(False).alias("asked"))
+    rows = rows.union(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), none(docs, key), "query_id", "text", F.lit(True).alias("asked")))
+    # texts are dealt, their words are taken where they come to
+    rows = rows.repartition("block").select("block", key, "query_id", "asked", _hashed_words(F.col("text"), stop).alias("words"))
+    ends = np.array([(i << 32) // blocks << 32 for i in range(1, blocks)], np.uint64)
+
+    def counted(block: pa.Table) -> pa.Table:
+        keys, _, terms, row, code, _ = _cells(block, key)
+        df = np.bincount(code[row < len(keys)], minlength=len(terms)).astype(np.int64)
+        cut = [0, *np.searchsorted(terms, ends).tolist(), len(terms)]
+        sent = [(terms[i:j].tobytes(), df[i:j].tobytes()) for i, j in zip(cut, cut[1:])]
+        own = pa.array(np.full(blocks, block.column("block")[0].as_py(), np.int32))
+        return pa.table({"part": pa.array(np.arange(blocks, dtype=np.int32)), "block": own, "terms": pa.array([t for t, _ in sent], pa.binary()), "df": pa.array([c for _, c in sent], pa.binary())})
+
+    def added(part: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(t.as_buffer(), np.uint64) for t in part.column("terms")]
+        _, code = np.unique(np.concatenate(sent), return_inverse=True)
+        df = np.bincount(code, np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in part.column("df")])).astype(np.int64)[code]
+        cut = np.cumsum([0, *map(len, sent)])
+        return pa.table({"block": part.column("block"), "part": part.column("part"), "df": pa.array([df[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+
+    def heads(block: pa.Table, sums: pa.Table) -> pa.Table:
+        keys, asks, terms, row, code, tf = _cells(block, key)
+        df = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in sums.sort_by("part").column("df")])
+        w = (1 + np.log(tf)) * (np.log((n + 1) / (df + 1)) + 1)[code]
+        w[df[code] == 0] = 0  # of queries alone
+        norm = np.sqrt(np.bincount(row, w * w, len(keys) + len(asks)))
+        w /= np.where(norm > 0, norm, 1)[row]
+        place = pc.rank(keys, null_placement="at_start").to_numpy()
+        start, out = np.searchsorted(row, np.arange(len(keys) + len(asks) + 1)), []
+        put = np.empty(len(terms), np.int64)
+        for q in range(0, len(asks), ASKED):
+            many = min(ASKED, len(asks) - q)
+            own = slice(start[len(keys) + q], start[len(keys) + q + many])
+            put[:] = -1
+            used = np.unique(code[own][w[own] > 0])
+            put[used] = np.arange(len(used))
+            weights = np.zeros((len(used), many))
+            known = w[own] > 0
+            weights[put[code[own][known]], row[own][known] - len(keys) - q] = w[own][known]
+            at = put[code[: start[len(keys)]]]
+            hit = np.flatnonzero(at >= 0)
+            at, have, of = at[hit], w[hit], np.searchsorted(hit, start[: len(keys) + 1])
+            for d in range(0, len(keys), PIECE):
+                near = np.zeros((min(PIECE, len(keys) - d), many))
+                for i in range(len(near)):
+                    s, e = of[d + i], of[d + i + 1]
+                    if e > s:
+                        near[i] = have[s:e] @ weights[at[s:e]]
+                # equal ones by key, as they are ranked; three times k, as scores near the middle of two steps may be rounded either way
+                step = np.where(near > 0, np.round(near, 6), -1.0)
+                last = np.partition(step, -3 * k, 0)[-3 * k] if len(near) > 3 * k else np.full(many, -1.0)
+                b, a = np.nonzero((step >= last) & (near > 0))
+                order = np.lexsort((place[d + b], -step[b, a], a))
+                a, b = a[order], b[order]
+                first = np.arange(len(a)) - np.searchsorted(a, a) < 3 * k
+                a, b = a[first], b[first]
+                out.append(pa.table({"query_id": asks.take(pa.array(q + a)), key: keys.take(pa.array(d + b)), "score": near[b, a]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": asks.slice(0, 0), key: keys.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    sums = rows.groupBy("block").applyInArrow(counted, "part int, block int, terms binary, df binary").groupBy("part").applyInArrow(added, "block int, part int, df binary")
+    kind = lambda of, c: of.schema[c].dataType.simpleString()
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(heads, f"query_id {kind(queries, 'query_id')}, `{key}` {kind(docs, key)}, score double")
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, key: str, few: int = FEW_QUERIES) -> DataFrame:

@@ -273,9 +273,7 @@ SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""
 def lexical_search(spark, d):
     """The five documents nearest to each benchmark passage by TF-IDF."""
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    q = kept(q)
-    idf, postings = retrieval.fit(_dealt(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", [], q)
-    s = retrieval.blended(retrieval.sparse_scores(q, idf, postings, "doc_id", []), None, "doc_id")
+    s = retrieval.lexical_heads(_t(spark, d, "documents").select("doc_id", "text"), q, "doc_id", [])
     return retrieval.top_k(s, "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -191,3 +191,41 @@ def test_heads_of_blocks_hold_the_best(spark):
     got = retrieval.top_k(rows.withColumn("score", 0.55 * F.greatest("dense", F.lit(0.0)) * F.when(F.col("same"), 1.15).otherwise(1.0)), "k").collect()
     assert rows.count() <= len(want) * 4 * 15
     assert {q: [r.k for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+
+
+def test_lexical_heads_of_blocks(spark, monkeypatch):
+    """Many blocks and pieces, few queries at once: copies, keys of two rows, null and short texts, unknown terms; against plain loops."""
+    monkeypatch.setattr(retrieval, "LETTERS", 200)
+    monkeypatch.setattr(retrieval, "PIECE", 4)
+    monkeypatch.setattr(retrieval, "ASKED", 3)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("sea Öl wind x rock tide_2 the foam is".split()) for _ in range(rng.randrange(12))) for _ in range(150)]
+    docs = [*enumerate(texts), (0, "sea of glass"), *[(i, "rock tide foam") for i in range(200, 240)], (300, None), (301, "")]
+    asked = [*enumerate(texts[:6]), (7, "rock tide foam"), (8, "never seen"), (9, None), (10, "rock glass never")]
+
+    def counts(rows):
+        out = {}
+        for i, t in rows:
+            w = re.findall(r"\w\w+", (t or "").lower())
+            out.setdefault(i, Counter()).update([*w, *map(" ".join, zip(w, w[1:]))])
+        return out
+
+    own = counts(docs)
+    df = Counter(t for c in own.values() for t in c)
+
+    def unit(c):
+        w = {t: (1 + math.log(n)) * (math.log((len(docs) + 1) / (df[t] + 1)) + 1) for t, n in c.items() if df[t]}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / norm for t, v in w.items()}
+
+    units, want = {i: unit(c) for i, c in own.items()}, {}
+    for q, c in counts(asked).items():
+        scores = [(-round(sum(v * u.get(t, 0) for t, v in unit(c).items()), 6), i) for i, u in units.items()]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:5], 1)}
+    frames = spark.createDataFrame(docs, "k long, text string").repartition(3), spark.createDataFrame(asked, "query_id int, text string")
+    rows = retrieval.lexical_heads(*frames, "k", []).cache()
+    got = {(r.query_id, r["rank"]): (r.k, round(r.score, 6)) for r in retrieval.top_k(rows, "k").collect()}
+    assert got == want and {q for q, _ in got} == {*range(6), 7, 10} - {i for i in range(6) if not unit(counts(asked)[i])}
+    scored = sum(1 for c in counts(asked).values() for u in units.values() if unit(c).keys() & u.keys())
+    monkeypatch.undo()
+    assert retrieval.lexical_heads(*frames, "k", []).count() < scored  # not a row for each pair that shares a term
