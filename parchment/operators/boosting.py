@@ -1,9 +1,10 @@
 """Histogram gradient boosting: trees on binned columns, a bin for missing values, squared error or softmax over classes.
 
-Rows are binned once and kept as blocks of bytes. For each level of a round's trees one pass sums gradients by node,
-column and bin in the tasks, and only these sums reach the driver, which chooses the splits; so what the driver and a
-task hold depends on columns, bins, classes and depth, not on rows. What the finished trees say of a row is kept with
-it and written anew every EVERY rounds.
+Rows of equal values (of a classifier, of one class too) count as one, with their weights and their number, which
+changes no sum; so a pass is over distinct rows. These are binned once and kept as blocks of bytes. For each level of
+a round's trees one pass sums gradients by node, column and bin in the tasks, and only these sums reach the driver,
+which chooses the splits; so what the driver and a task hold depends on columns, bins, classes and depth, not on rows.
+What the finished trees say of a row is kept with it and written anew every EVERY rounds.
 
 A value goes left if it is at most the split's edge; missing values go to the side that gains more, left if neither
 does. Ties go to the first column and the lowest edge. Nodes of fewer than two times `least` rows stay leaves.
@@ -24,7 +25,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import kept, sized
+from ..storage import kept, sized, stored
 
 BINS = 255  # and one for missing values
 EVERY = 10
@@ -86,14 +87,14 @@ def gradients(f: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, n
     return p - (y[:, None] == np.arange(classes)), p * (1 - p)
 
 
-def histograms(bins: np.ndarray, at: list[np.ndarray], g: np.ndarray, h: np.ndarray, w: np.ndarray, nodes: int) -> np.ndarray:
+def histograms(bins: np.ndarray, at: list[np.ndarray], g: np.ndarray, h: np.ndarray, w: np.ndarray, n: np.ndarray, nodes: int) -> np.ndarray:
     """classes x nodes x columns x (BINS + 1) x 3: sums of gradients, of second derivatives, and rows."""
-    n, columns = bins.shape
+    columns = bins.shape[1]
     out = np.zeros((g.shape[1], nodes, columns, BINS + 1, 3))
     size = nodes * columns * (BINS + 1)
     for k in range(g.shape[1]):
         cell = ((at[k][:, None] * columns + np.arange(columns)) * (BINS + 1) + bins).reshape(-1)
-        for i, v in enumerate((g[:, k] * w, h[:, k] * w, np.ones(n))):
+        for i, v in enumerate((g[:, k] * w, h[:, k] * w, n)):
             out[k, ..., i] = np.bincount(cell, np.repeat(v, columns), size).reshape(nodes, columns, BINS + 1)
     return out
 
@@ -138,8 +139,8 @@ def _added(rows: DataFrame, run) -> np.ndarray:
 
 
 def _cells(batch: pa.RecordBatch, columns: int, width: int):
-    for b, y, w, f in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "f"))):
-        yield np.frombuffer(b, np.uint8).reshape(-1, columns), np.frombuffer(y), np.frombuffer(w), np.frombuffer(f).reshape(-1, width)
+    for b, y, w, n, f in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "n", "f"))):
+        yield np.frombuffer(b, np.uint8).reshape(-1, columns), np.frombuffer(y), np.frombuffer(w), np.frombuffer(n), np.frombuffer(f).reshape(-1, width)
 
 
 def fit(df: DataFrame, columns: list[str], target: str, classes: int = 0, rounds: int = 100, depth: int = 3, rate: float = 0.1, least: int = 20, l2: float = 0.0, weight: str | None = None) -> Boosted:
@@ -154,16 +155,21 @@ def fit(df: DataFrame, columns: list[str], target: str, classes: int = 0, rounds
     start = [float(np.log(max(stats[f"n{k}"], 1e-12) / stats["w"])) for k in range(classes)] if classes else [stats["y"] / stats["w"]]
     model = Boosted(edges, start, classes, depth)
     width = len(start)
+    # of equal rows a gradient times the weight adds up to that of their mean target
+    sums = F.sum("w").alias("w"), F.count("*").cast("double").alias("n"), F.sum(F.col("y") * F.col("w")).alias("wy")
+    mean = F.when(F.col("w") != 0, F.col("wy") / F.col("w")).otherwise(0.0)
+    alike = rows.groupBy(*[f"c{i}" for i in range(len(columns))], *(["y"] if classes else [])).agg(*sums)
+    alike = alike.drop("wy") if classes else alike.withColumn("y", mean).drop("wy")
 
     def pack(batches):
         for batch in batches:
             x = np.stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], 1)
             bins = model.binned(x)
-            cells = bins.tobytes(), batch.column("y").to_numpy().tobytes(), batch.column("w").to_numpy().tobytes(), np.tile(np.array(start), (len(bins), 1)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["bins", "y", "w", "f"])
+            cells = bins.tobytes(), batch.column("y").to_numpy().tobytes(), batch.column("w").to_numpy().tobytes(), batch.column("n").to_numpy().tobytes(), np.tile(np.array(start), (len(bins), 1)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["bins", "y", "w", "n", "f"])
 
-    kinds = "bins binary, y binary, w binary, f binary"
-    blocks, done = kept(rows.mapInArrow(pack, kinds)), 0
+    kinds = "bins binary, y binary, w binary, n binary, f binary"
+    blocks, done = kept(alike.mapInArrow(pack, kinds)), 0
     spark = df.sparkSession
     for _ in range(rounds):
         trees = [{"column": [], "bin": [], "missing_left": [], "values": [0.0]} for _ in range(width)]
@@ -176,10 +182,10 @@ def fit(df: DataFrame, columns: list[str], target: str, classes: int = 0, rounds
                 m, growing, first = sent.value
                 total = None
                 for batch in batches:
-                    for bins, y, w, f in _cells(batch, len(columns), width):
+                    for bins, y, w, n, f in _cells(batch, len(columns), width):
                         f = m.raw(bins, first, f)
                         g, h = gradients(f, y, classes)
-                        got = histograms(bins, [places(bins, t, level) for t in growing], g, h, w, nodes)
+                        got = histograms(bins, [places(bins, t, level) for t in growing], g, h, w, n, nodes)
                         total = got if total is None else total + got
                 return total
 
@@ -207,9 +213,9 @@ def fit(df: DataFrame, columns: list[str], target: str, classes: int = 0, rounds
             def onward(batches, sent=sent):
                 m, first = sent.value
                 for batch in batches:
-                    for b, y, w, f in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "f"))):
+                    for b, y, w, n, f in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "n", "f"))):
                         new = m.raw(np.frombuffer(b, np.uint8).reshape(-1, len(columns)), first, np.frombuffer(f).reshape(-1, width))
-                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (b, y, w, new.tobytes())], names=["bins", "y", "w", "f"])
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (b, y, w, n, new.tobytes())], names=["bins", "y", "w", "n", "f"])
 
             blocks, done = kept(blocks.mapInArrow(onward, kinds)), len(model.trees)
     return model
@@ -218,16 +224,15 @@ def fit(df: DataFrame, columns: list[str], target: str, classes: int = 0, rounds
 def predicted(df: DataFrame, model: Boosted, columns: list[str], name: str = "prediction") -> DataFrame:
     """df with the model's values, or with an array of the classes' probabilities."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    many = len(columns)
+    classes = model.classes
 
-    @F.pandas_udf("array<double>")
-    def score(x: pd.Series) -> pd.Series:
-        a = np.array(x.tolist(), dtype=float).reshape(-1, many)
-        return pd.Series(list(sent.value.predicted(a)))
+    @F.pandas_udf("array<double>" if classes else "double")
+    def score(x: pd.DataFrame) -> pd.Series:
+        got = sent.value.predicted(x.to_numpy(dtype=float))
+        return pd.Series(list(got) if classes else got[:, 0])
 
-    row = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns])
-    out = score(row)
-    return df.withColumn(name, out if model.classes else out[0])
+    cells = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(columns)]
+    return df.withColumn(name, score(F.struct(*cells)))
 
 
 class SoftmaxBoosting(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -283,7 +288,7 @@ def ordinal(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """df with columns replaced by the place of their value among the training part's, in order, from 0; -1 for missing and unseen ones."""
     for c in columns:
         codes = train.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_code", F.row_number().over(Window.orderBy(c)) - 1)  # categories: a row each
-        df = df.join(sized(codes), c, "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_code")
+        df = df.join(sized(stored(codes)), c, "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_code")
     return df
 
 

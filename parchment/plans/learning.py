@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boosting, evaluation
-from ..storage import kept
 from .queries import _t, query
 
 
@@ -46,7 +45,7 @@ def boosted_prices(spark, d):
     """Boosted trees for the logarithm of a line's price, from quantity, missing discounts, tax, month and coded flags; the held-out error."""
     columns = ["l_quantity", "l_discount", "l_tax", "month", "l_returnflag", "l_linestatus"]
     rows = _lines(spark, d)
-    rows = kept(boosting.ordinal(rows.where(~F.col("held")), rows, ["l_returnflag", "l_linestatus"]).withColumn("y", F.log1p("l_extendedprice")))
+    rows = boosting.ordinal(rows.where(~F.col("held")), rows, ["l_returnflag", "l_linestatus"]).withColumn("y", F.log1p("l_extendedprice"))
     model = boosting.fit(rows.where(~F.col("held")), columns, "y", rounds=20, depth=3, rate=0.3)
     got = boosting.rmsle(boosting.predicted(rows.where("held"), model, columns), "l_extendedprice", "prediction")
     return got.select(F.round("rmsle", 6).alias("rmsle"), "n")

@@ -99,3 +99,20 @@ def test_codes_and_errors(spark):
     got = boosting.ordinal(df.where("c IN ('a', 'b')"), df, ["c"])
     assert sorted((r.y, r.c) for r in got.collect()) == [(1.0, 1), (2.0, 0), (3.0, -1), (4.0, -1)]
     assert abs(boosting.rmsle(df.withColumn("p", F.lit(1.0)), "y", "p").first().rmsle - math.sqrt(sum((math.log1p(v) - 1) ** 2 for v in (1, 2, 3, 4)) / 4)) < 1e-12
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_equal_rows_are_one_in_every_pass(spark, monkeypatch, classes):
+    passed, added = [], boosting._added
+    monkeypatch.setattr(boosting, "_added", lambda rows, run: passed.append(sum(len(r.y) // 8 for r in rows.select("y").collect())) or added(rows, run))
+    rows = [(None if i % 4 == 0 else float(i % 4), float(i % 3), float(i % (3 if classes else 7)), float(i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, w double").repartition(3)
+    model = boosting.fit(df, ["a", "b"], "y", classes, rounds=3, depth=2, rate=0.5, least=40, weight="w")
+    assert passed == [12] * 6
+    again = [r for r in rows if r[3]]  # rows without weight count for least only
+    plain = boosting.fit(spark.createDataFrame(again, "a double, b double, y double, w double"), ["a", "b"], "y", classes, rounds=3, depth=2, rate=0.5, least=40)
+    x = np.array([[math.nan if v is None else v for v in r[:2]] for r in again])
+    assert np.allclose(model.predicted(x), plain.predicted(x))
+    if not classes:
+        want = naive(x.tolist(), [r[2] for r in again], plain.edges, 0, 3, 2, 0.5, 40)
+        assert np.allclose(plain.raw(plain.binned(x)), want)
