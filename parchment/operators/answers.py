@@ -59,12 +59,14 @@ def sentences(hits: DataFrame) -> DataFrame:
     the same 50 first characters the best. Ties go to the better hit, then to the earlier sentence.
     """
     q = F.col("question")
-    rows = hits.select("question_id", "rank", T.tokens(q).alias("asked"), T.tokens(expanded(q)).alias("wide"), F.lower(q).rlike(r"\bmean|defin").alias("meaning"), F.posexplode(T.sentences(F.regexp_replace("text", "\n", " "))).alias("pos", "sentence"))
-    rows = rows.withColumn("words", T.tokens(F.col("sentence")))
+    # dealt by question once for all that follows; a question's words are taken below the sentences, a sentence's words where it is made
+    rows = hits.repartition("question_id").select("question_id", "rank", "text", T.tokens(q).alias("asked"), T.tokens(expanded(q)).alias("wide"), F.lower(q).rlike(r"\bmean|defin").alias("meaning"))
+    said = F.filter(T.sentences(F.regexp_replace("text", "\n", " ")), lambda s: F.length(s) > 30)
+    rows = rows.select("question_id", "rank", "asked", "wide", "meaning", F.posexplode(F.transform(said, lambda s: F.struct(s.alias("sentence"), T.tokens(s).alias("words")))).alias("pos", "s")).select("*", "s.*")
     own = F.size(F.array_intersect("asked", "words"))
     score = 2 * own + F.size(F.array_intersect("wide", "words")) - 0.3 * F.col("rank") + F.when(F.col("sentence").rlike(r"\d"), 0.5).otherwise(0.0)
     score = score - F.when(F.contains(F.lower("sentence"), F.lit(" means ")) & ~F.col("meaning"), 2.0).otherwise(0.0)
-    rows = rows.where((own > 0) & (F.length("sentence") > 30)).select("question_id", "rank", "pos", "sentence", F.round(score, 6).alias("score"))
+    rows = rows.where(own > 0).select("question_id", "rank", "pos", "sentence", F.round(score, 6).alias("score"))
     best = [F.col("score").desc(), "rank", "pos"]
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("question_id", F.left("sentence", F.lit(50))).orderBy(*best))).where("n = 1")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy(*best))).where(F.col("n") <= PICKED)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+from parchment.operators import answers
 from parchment.plans import queries as plans
 
 #: The reference's masks, by Python's re.
@@ -25,3 +26,15 @@ def test_personal_data_masked(spark, tmp_path):
             t = re.sub(pattern, put, t)
         want[i] = t if t is None else hashlib.md5(t.encode()).hexdigest()
     assert {r.doc_id: r.masked_md5 for r in plans.personal_data_masked(spark, str(tmp_path)).collect()} == want
+
+
+def test_sentences_are_dealt_by_question(spark):
+    """Hits of one file on all cores: one shuffle, below the sentences; short sentences and equal heads go, ties go to the better hit, then to the earlier sentence."""
+    long = "Documents for admission are kept by the hospital desk"
+    hits = [(1, "Which documents for admission?", 1, f"Documents. {long} here. The admission documents are sent within days of it."), (1, "Which documents for admission?", 2, f"{long} there.\nAdmission needs 3 documents of the kind stated."), (2, "Which documents?", 1, None), (3, "Is it paid?", 1, "Nothing that is asked for stands in here at all.")]
+    got = answers.sentences(spark.createDataFrame(hits, "question_id long, question string, rank int, text string").coalesce(1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
+    assert [(r.question_id, r.n, r["rank"], r.sentence, r.score) for r in got.orderBy("question_id", "n").collect()] == [
+        (1, 1, 2, "Admission needs 3 documents of the kind stated.", 5.9), (1, 2, 1, f"{long} here.", 5.7), (1, 3, 1, "The admission documents are sent within days of it.", 5.7),
+    ]
