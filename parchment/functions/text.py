@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import once
+
 #: What is masked, in this order.
 MASKS = [
     (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[EMAIL]"),
@@ -17,6 +19,11 @@ MASKS = [
     (r"(?i)((?:insured|proposer|policyholder)(?:'s)?\s*name\s*[:\-]\s*)([A-Za-z .]{3,40})", "$1[NAME]"),
     (r"(?i)(date of birth|dob)\s*[:\-]?\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", "$1: [DOB]"),
 ]
+#: Where masks can find anything: plain words or a pattern that some part of what they match holds, whatever the masks before them put in.
+MASKED = {
+    "[EMAIL]": lambda low: low.contains("@"), "[PHONE]": lambda low: low.rlike(r"\d{4}\s?\d{4}"), "[AADHAAR]": lambda low: low.rlike(r"\d{4}\s?\d{4}"),
+    "$1[NAME]": lambda low: low.contains("name"), "$1: [DOB]": lambda low: low.contains("dob") | low.contains("date of birth"),
+}
 #: Words that place a heading in a category; the first category with a word in it wins.
 CATEGORIES = [
     ("waiting_period", ["waiting period", "pre-existing", "pre existing", "excl01", "excl02", "excl03"]),
@@ -52,6 +59,9 @@ STOP = """the a an is are of in to for and or this that my policy does do what a
 it its as at by from have has which when where why who benefit benefits cover covered coverage expenses insured sum person policyholder""".split()
 
 WHITE = r"[\s   -     　\u0085\u001c-\u001f]"
+#: The signs of WHITE one by one, and a run of others; signs of ASCII first, as a pattern's classes are tried in turn.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+WORD = f"[!-~{WHITE.replace('[', '[^', 1)}]+"
 BREAKS = r"\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]"
 
 
@@ -60,24 +70,23 @@ def _each(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def dehyphenate(text: Column) -> Column:
     """Words cut at a line's end are whole again."""
-    return F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
+    return F.when(text.contains("-\n"), F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")).otherwise(text)
 
 
 def lines(text: Column) -> Column:
     """Lines as an array; an empty rest after the last break is none."""
-    parts = F.split(text, BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(text, BREAKS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def normal_line(line: Column) -> Column:
     """Bullets, dashes and quotes of one kind; runs of blanks as one."""
     signs = F.translate(line, "●▪–—’“”", "••••--'\"\"")
-    return strip(F.regexp_replace(signs, "[ \t ]+", " "))
+    return strip(F.regexp_replace(signs, "[ \t ]{2,}|[\t ]", " "))
 
 
 def page_number(line: Column) -> Column:
@@ -89,7 +98,14 @@ def digits_masked(line: Column) -> Column:
 
 
 def anonymize(text: Column) -> Column:
-    return _each(text, MASKS)
+    def masked(s):
+        def one(t, rule):
+            pattern, put = rule
+            return once(t, lambda x: F.when(MASKED[put](s["low"]), F.regexp_replace(x, pattern, put)).otherwise(x)) if put in MASKED else F.regexp_replace(t, pattern, put)
+
+        return reduce(one, MASKS, s["text"])
+
+    return once(F.struct(text.alias("text"), F.lower(text).alias("low")), masked)
 
 
 def category(heading: Column) -> Column:
@@ -102,24 +118,25 @@ def category(heading: Column) -> Column:
 
 
 def _letters(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"\P{L}", ""))
+    return F.length(F.regexp_replace(line, r"\P{L}+", ""))
 
 
 def upper_case(line: Column) -> Column:
     n = _letters(line)
-    return (n >= 5) & (F.length(F.regexp_replace(line, r"\P{Lu}", "")) > 0.8 * n)
+    return (n >= 5) & (F.length(F.regexp_replace(line, r"\P{Lu}+", "")) > 0.8 * n)
 
 
 def word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, f"{WHITE}+"), lambda w: w != ""))
+    return F.regexp_count(line, F.lit(WORD))
 
 
 def heading(line: Column) -> Column:
     n, words = F.length(line), word_count(line)
     could = (n <= 95) & (n >= 3) & (~line.rlike(LOWER) | line.rlike(HEADING) | line.rlike(CODED))
-    shape = (n <= 95) & (n >= 3) & ~F.regexp_replace(line, f"{WHITE}+$", "").rlike(r"[,;/\-&]$") & (_letters(line) >= 3)
+    bare = F.rtrim(line, F.lit(BLANKS))
+    shape = (n <= 95) & (n >= 3) & ~bare.rlike(r"[,;/\-&]$") & (_letters(line) >= 3)
     stop = line.rlike(r"\.$")
-    late_stop = F.regexp_replace(line, f"{WHITE}+$", "").rlike(r"\.$")
+    late_stop = bare.rlike(r"\.$")
     return could & shape & ((upper_case(line) & (words <= 12) & ~stop) | (line.rlike(HEADING) & (words <= 12) & ~late_stop) | (line.rlike(CODED) & (words <= 14)))
 
 
@@ -171,4 +188,4 @@ def rupees(number: Column, unit: Column) -> Column:
 
 
 def quote(text: Column, words: int = 30) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, f"{WHITE}+"), lambda w: w != ""), 1, words), " ")
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, words), " ")

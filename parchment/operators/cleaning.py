@@ -11,11 +11,6 @@ from ..storage import apart
 EDGE = 3  # lines at either end of a page that may be a running header or footer
 
 
-def raw_lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, line) of pages(doc_id, page, text), words joined over line ends."""
-    return pages.select("doc_id", "page", F.posexplode(T.lines(T.dehyphenate(F.col("text")))).alias("line_no", "line"))
-
-
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, masked): what stands at the edges of half of a document's three or more pages, digits as #."""
     rows = pages.select("doc_id", "page", F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: x != "").alias("all"))
@@ -27,18 +22,18 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     return counts.join(apart(sizes), "doc_id").where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))).select("doc_id", "masked")
 
 
-def clean_lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, line): normal lines that are neither blank, page numbers nor running headers."""
-    rows = raw_lines(pages).withColumn("line", T.normal_line(F.col("line"))).where((F.col("line") != "") & ~T.page_number(F.col("line")))
-    rows = rows.withColumn("masked", T.digits_masked(F.col("line")))
-    return rows.join(apart(repeated_lines(pages)), ["doc_id", "masked"], "left_anti").drop("masked")
-
-
 def clean_pages(pages: DataFrame, mask: bool = True) -> DataFrame:
-    """(doc_id, page, text) with one row for each page, personal data masked."""
-    kept = clean_lines(pages).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    body = F.coalesce(F.array_join(F.col("l.line"), "\n"), F.lit(""))
-    return pages.select("doc_id", "page").join(apart(kept), ["doc_id", "page"], "left").select("doc_id", "page", (T.anonymize(body) if mask else body).alias("text"))
+    """(doc_id, page, text) with one row for each page: normal lines, words joined over line ends, that are neither blank, page numbers nor running headers; personal data masked.
+
+    A page's lines stay in its row; only the list of a document's running headers comes to it.
+    """
+    gone = repeated_lines(pages).groupBy("doc_id").agg(F.collect_set("masked").alias("gone"))
+    lines = F.transform(T.lines(T.dehyphenate(F.col("text"))), T.normal_line)
+    lines = F.filter(lines, lambda x: (x != "") & ~T.page_number(x))
+    rows = pages.select("doc_id", "page", lines.alias("l")).join(apart(gone), "doc_id", "left")
+    rest = F.when(F.col("gone").isNull(), F.col("l")).otherwise(F.filter("l", lambda x: ~F.array_contains("gone", T.digits_masked(x))))
+    body = F.coalesce(F.array_join(rest, "\n"), F.lit(""))
+    return rows.select("doc_id", "page", (T.anonymize(body) if mask else body).alias("text"))
 
 
 def long_enough(pages: DataFrame, least: int = 200) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import apart
+from ..storage import nearby, once, once_each
 
 #: Categories that subsections take from their section; the section before the first heading.
 STRONG = ["exclusions", "waiting_period", "claims", "renewal", "definitions"]
@@ -14,21 +14,14 @@ FIRST = ("Preamble", "general")
 TITLE, CHUNK, OVERLAP, LEAST = 90, 1000, 150, 25
 
 
-def headed(rows: DataFrame) -> DataFrame:
-    """(doc_id, heads): of lines(doc_id, page, line_no, line) the headings that open a section, in order.
+def opened(heads: Column) -> Column:
+    """array<struct<at, title, cat>>: which of heads, a document's lines that look like headings, open a section.
 
     A numbered line is an item of a list where numbers would go back, skip more than one section, or name no
     known category; capitals excepted. SECTION and PART begin a new numbering. Only lines that look like
-    headings take part, so the fold is over a few rows of each document.
+    headings take part, so the fold is over a few lines of each document.
     """
-    line, at = F.col("line"), T.section_number(F.col("line"))
-    looks = rows.where(T.heading(line)).select(
-        "doc_id", F.struct(
-            "page", "line_no", F.left(line, F.lit(TITLE)).alias("title"), at["kind"].alias("kind"), at["top"].alias("top"), at["top"].try_cast("int").alias("n"), at["depth"].alias("depth"),
-            T.category(line).alias("cat"), T.upper_case(line).alias("upper"), line.rlike(r"(?i)^\s*(section|part)\s+[a-z0-9]+\b").alias("restart"), line.rlike(r"(?i)excl\s?-?\s?\d").alias("coded"),
-        ).alias("h"),
-    )
-    found = "array<struct<page:int,line_no:int,title:string,cat:string>>"
+    found = "array<struct<at:int,title:string,cat:string>>"
     start = F.struct(F.lit(None).cast("int").alias("n"), F.lit(FIRST[1]).alias("cat"), F.create_map().cast("map<string,string>").alias("parents"), F.array().cast(found).alias("out"))
 
     def step(s, h):
@@ -41,10 +34,19 @@ def headed(rows: DataFrame) -> DataFrame:
         top = h["kind"].isNotNull() & (h["depth"] == 1)
         parents = F.map_concat(F.map_filter(s["parents"], lambda k, _: k != key), F.create_map(key, F.coalesce(h["cat"], s["cat"])))
         n = F.when(numbered, h["n"]).when(~h["restart"], s["n"])
-        opened = F.struct(n.alias("n"), cat.alias("cat"), F.when(F.coalesce(top, F.lit(False)), parents).otherwise(s["parents"]).alias("parents"), F.concat(s["out"], F.array(F.struct(h["page"].alias("page"), h["line_no"].alias("line_no"), h["title"].alias("title"), cat.alias("cat")))).alias("out"))
-        return F.when(F.coalesce(item, F.lit(False)), s).otherwise(opened)
+        opens = F.struct(n.alias("n"), cat.alias("cat"), F.when(F.coalesce(top, F.lit(False)), parents).otherwise(s["parents"]).alias("parents"), F.concat(s["out"], F.array(F.struct(h["at"].alias("at"), h["title"].alias("title"), cat.alias("cat")))).alias("out"))
+        return F.when(F.coalesce(item, F.lit(False)), s).otherwise(opens)
+
+    return F.aggregate(heads, start, step)["out"]
 
-    return looks.groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("h")).select("doc_id", F.aggregate("h", start, step)["out"].alias("heads"))
+
+def _head(line: Column) -> Column:
+    """What the fold needs of a line that looks like a heading, else null."""
+    made = lambda at: F.struct(
+        F.left(line, F.lit(TITLE)).alias("title"), at["kind"].alias("kind"), at["top"].alias("top"), at["top"].try_cast("int").alias("n"), at["depth"].alias("depth"),
+        T.category(line).alias("cat"), T.upper_case(line).alias("upper"), line.rlike(r"(?i)^\s*(section|part)\s+[a-z0-9]+\b").alias("restart"), line.rlike(r"(?i)excl\s?-?\s?\d").alias("coded"),
+    )
+    return F.when(T.heading(line), once(T.section_number(line), made))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -53,27 +55,39 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return rows.where("line IS NOT NULL")
 
 
-def sectioned(rows: DataFrame) -> DataFrame:
-    """Lines with block (0 before the first heading), first (of its block), title and category."""
-    marks = headed(rows).select("doc_id", F.explode("heads").alias("h")).select("doc_id", "h.*")
-    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    out = rows.join(apart(marks), ["doc_id", "page", "line_no"], "left")
-    out = out.select("doc_id", "page", "line_no", "line", F.count("title").over(order).alias("block"), (F.col("title").isNotNull() | (F.row_number().over(order) == 1)).alias("first"),
-                     F.coalesce(F.last("title", True).over(order), F.lit(FIRST[0])).alias("title"), F.coalesce(F.last("cat", True).over(order), F.lit(FIRST[1])).alias("category"))
-    return out
+def sectioned(rows: DataFrame, repeating: bool = False) -> DataFrame:
+    """Lines with block (0 before the first heading), first (of its block), title and category; repeating: lines that many documents share are looked at once.
 
-
-def sentences(lines: DataFrame) -> DataFrame:
-    """(doc_id, ord, text, low, page, heading, cat, title) of sectioned lines; a heading's line stands alone."""
+    A document's lines come together in order once; its sections are parts of that list.
+    """
+    rows = once_each(rows, ["line"], "h", lambda x: _head(x["line"])) if repeating else rows.withColumn("h", _head(F.col("line")))
+    docs = rows.select("doc_id", F.struct("page", "line_no", "line", "h").alias("l")).groupBy("doc_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), x["h"].alias("h"))), lambda x: x["h"].isNotNull())
+    heads = F.transform(heads, lambda x: x["h"].withField("at", x["at"]))
+    start = F.struct(F.lit(0).alias("at"), F.lit(FIRST[0]).alias("title"), F.lit(FIRST[1]).alias("cat"))
+    parts = docs.select("doc_id", "l", F.concat(F.array(start), opened(heads)).alias("s")).select("doc_id", "l", "s", F.posexplode("s").alias("block", "o"))
+    end = F.coalesce(F.get("s", F.col("block") + 1)["at"], F.size("l"))
+    parts = parts.select("doc_id", "block", "o", F.posexplode(F.slice("l", F.col("o.at") + 1, end - F.col("o.at"))).alias("i", "x"))
+    return parts.select("doc_id", "x.page", "x.line_no", "x.line", F.col("block").cast("long").alias("block"), (F.col("i") == 0).alias("first"), "o.title", F.col("o.cat").alias("category"))
+
+
+def sentences(lines: DataFrame, repeating: bool = False) -> DataFrame:
+    """(doc_id, ord, text, low, page, heading, cat, title) of sectioned lines; a heading's line stands alone. repeating: as in sectioned()."""
     alone = F.col("first") & (F.col("line") == F.col("title"))
-    paragraphs = lines.withColumn("part", F.when(alone, 0).otherwise(1)).groupBy("doc_id", "block", "page", "part", "title", "category").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("body"))
-    rows = paragraphs.select("doc_id", "block", "page", "part", "title", F.col("category").alias("cat"), F.posexplode(T.sentences(F.col("body"))).alias("pos", "text")).where(F.length("text") > 8)
+    paragraphs = lines.withColumn("part", F.when(alone, 0).otherwise(1)).groupBy("doc_id", "block", "page", "part").agg(
+        F.first("title").alias("title"), F.first("category").alias("cat"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("body"))
+    paragraphs = once_each(nearby(paragraphs), ["body"], "said", lambda x: _said(x["body"])) if repeating else paragraphs.withColumn("said", _said(F.col("body")))
+    rows = paragraphs.select("doc_id", "block", "page", "part", "title", "cat", F.posexplode("said").alias("pos", "s")).select("*", "s.text", "s.plain").drop("s")
     same = F.col("text") == F.col("title")
     order = Window.partitionBy("doc_id").orderBy("block", "page", "part", "pos")
     low = F.lower(F.when(same, F.col("text")).otherwise(F.concat("title", F.lit(" :: "), "text")))
-    head = same & (T.word_count(F.col("text")) < 8) & ~F.lower("text").rlike(r"\d+\s*(months|days|years|%)")
-    return rows.select("doc_id", F.row_number().over(order).alias("ord"), "text", low.alias("low"), "page", head.alias("heading"), "cat", "title")
+    return rows.select("doc_id", F.row_number().over(order).alias("ord"), "text", low.alias("low"), "page", (same & F.col("plain")).alias("heading"), "cat", "title")
+
+
+def _said(body: Column) -> Column:
+    """Sentences of more than eight signs, and whether one that is a title is only that: few words and no period or share."""
+    plain = lambda s: (T.word_count(s) < 8) & ~F.lower(s).rlike(r"\d+\s*(months|days|years|%)")
+    return F.transform(F.filter(T.sentences(body), lambda s: F.length(s) > 8), lambda s: F.struct(s.alias("text"), plain(s).alias("plain")))
 
 
 def chunks(lines: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers, clauses, cleaning, comparison, evaluation, retrieval, scoring, sections, validation
 from ..operators.cleaning import first_of
-from ..storage import kept, sized
+from ..storage import dealt, kept, nearby, sized
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -329,11 +329,11 @@ def policy_pages(spark, d) -> DataFrame:
 
 
 def _extracted(pages: DataFrame) -> DataFrame:
-    """Clauses of pages; clean pages, their sections and sentences are each made once and kept for all the fields."""
-    pages = kept(pages)
-    clean = kept(cleaning.clean_pages(pages))
-    lines = kept(sections.sectioned(sections.page_lines(clean)))
-    return clauses.extract(clean, lines, kept(sections.sentences(lines)), pages, numbered=True)
+    """Clauses of pages, dealt by document once; clean pages, their sections and sentences are each made once and kept for all the fields."""
+    pages = dealt(pages, "doc_id")
+    clean = nearby(cleaning.clean_pages(pages))
+    lines = nearby(sections.sectioned(sections.page_lines(clean), repeating=True))
+    return clauses.extract(clean, lines, nearby(sections.sentences(lines, repeating=True)), pages, numbered=True, repeating=True)
 
 
 #: The terms as they were written, field by field.

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchment.operators import clauses, cleaning, sections
+from parchment.storage import dealt, nearby, once_each
 
 PAGES = [
     "Northlake Health Insurance Company Limited | Northlake Plan\nNORTHLAKE HEALTH INSURANCE COMPANY LIMITED\nNorthlake Family Plan - Policy Wording\nUIN: NLKHLIP21001V012122\nPREAMBLE\nThis is a contract of insurance.\n"
@@ -108,3 +109,25 @@ def test_nothing_of_each_document_is_broadcast(spark, parts):
     for df in (cleaning.clean_pages(raw), sections.sectioned(sections.page_lines(clean)), clauses.extract(clean, lines, sents, raw)):
         plan = df._jdf.queryExecution().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_documents_are_dealt_once(spark):
+    """Pages are dealt by document; lines, sections, sentences and rules need no further shuffle, and what is looked at once for many documents is as if looked at in each."""
+    rows = [(f"{d}", i + 1, t.replace("Northlake", f"North {d}")) for d in range(3) for i, t in enumerate(PAGES)]
+    raw = dealt(spark.createDataFrame([*rows, ("empty", 1, ""), ("none", 1, None)], "doc_id string, page int, text string"), "doc_id")
+    made = []
+    for repeating in (False, True):
+        clean = nearby(cleaning.clean_pages(raw))
+        lines = nearby(sections.sectioned(sections.page_lines(clean), repeating))
+        sents = nearby(sections.sentences(lines, repeating))
+        hits = clauses.chosen(sents, repeating)
+        for df in (clean, sections.sectioned(sections.page_lines(clean)), sections.sentences(lines), clauses.chosen(sents)):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        made.append([sorted(map(str, df.collect())) for df in (lines, sents, hits)])
+    assert made[0] == made[1] and len(made[0][2]) == 3
+
+
+def test_frequent_keys_are_looked_at_once(spark):
+    rows = spark.createDataFrame([("a", True)] * 3 + [("a", False), ("b", True), ("x" * 2000, True), ("x" * 2000, True)], "t string, f boolean")
+    got = once_each(rows, ["t", "f"], "n", lambda k: F.when(k["f"], F.length(k["t"])))
+    assert sorted(str((r.t[:1], r.f, r.n)) for r in got.collect()) == sorted(map(str, [("a", True, 1)] * 3 + [("a", False, None), ("b", True, 1), ("x", True, 2000), ("x", True, 2000)]))

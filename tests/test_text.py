@@ -75,3 +75,12 @@ def test_scores(spark):
 @pytest.mark.parametrize("a,b,want", [(None, "x", None), ("true", "True", True), ("5", "5.0000001", True), ("5", None, False), (" ab", "AB", True), ("10", "ten", False)])
 def test_same_value(spark, a, b, want):
     assert spark.sql("select 1").select(same_value(F.lit(a).cast("string"), F.lit(b).cast("string")).alias("x")).first().x is want
+
+
+def test_blanks_of_all_kinds(spark):
+    """White space is what str.split takes for it and nothing else, at the ends and between words."""
+    signs = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    assert sorted(signs) == sorted(T.BLANKS)
+    for c in [*signs, "\u200b", "\ufeff", "\0"]:
+        t = f"{c}one{c}{c}two {c}"
+        assert one(spark, F.struct(T.strip(F.col("t")), T.word_count(F.col("t")), T.quote(F.col("t"))), t=t) == (t.strip(), len(t.split()), " ".join(t.split()))
