@@ -56,7 +56,7 @@ def shown(value: Column, kind: str, none: str = "Not found") -> Column:
 
 
 def aspects(policies: DataFrame) -> DataFrame:
-    """(policy_id, ord, aspect, kind, better, value, known): the rows of policies(policy_id, x struct, f struct, score, given struct).
+    """(policy_id, aspects): for policies(policy_id, x struct, f struct, score, given struct) the list of (ord, aspect, better, value, known, text).
 
     given holds sum_insured and annual_premium where document or user states them: what was imputed is not known.
     """
@@ -68,14 +68,17 @@ def aspects(policies: DataFrame) -> DataFrame:
         text = F.when(known, shown(value, kind, none)).otherwise(none)
         rows.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("aspect"), F.lit(better).alias("better"), value.alias("value"), known.alias("known"), text.alias("text")))
     rows.append(F.struct(F.lit(len(ASPECTS)).alias("ord"), F.lit(SCORE).alias("aspect"), F.lit("higher").alias("better"), F.col("score").cast("double").alias("value"), F.lit(True).alias("known"), F.col("score").cast("long").cast("string").alias("text")))
-    return policies.select("policy_id", F.explode(F.array(*rows)).alias("r")).select("policy_id", "r.*")
+    return policies.select("policy_id", F.array(*rows).alias("aspects"))
 
 
 def compared(pairs: DataFrame, policies: DataFrame) -> DataFrame:
     """(pair_id, ord, aspect, current, proposed, change) of pairs(pair_id, current, proposed)."""
     a = aspects(policies)
-    side = lambda n: pairs.select("pair_id", F.col(n).alias("policy_id")).join(apart(a), "policy_id").select("pair_id", "ord", "aspect", "better", F.col("value").alias(f"{n}_value"), F.col("known").alias(f"{n}_known"), F.col("text").alias(n))
-    both = side("current").join(apart(side("proposed").drop("aspect", "better")), ["pair_id", "ord"])
+    side = lambda n: apart(a.select(F.col("policy_id").alias(n), F.col("aspects").alias(f"{n}_aspects")))
+    # both lists have all aspects in one order, so they meet without a join of their rows
+    both = pairs.select("pair_id", "current", "proposed").join(side("current"), "current").join(side("proposed"), "proposed")
+    both = both.select("pair_id", F.explode(F.arrays_zip(F.col("current_aspects").alias("a"), F.col("proposed_aspects").alias("b"))).alias("r")).select("pair_id", "r.a", "r.b")
+    both = both.select("pair_id", "a.ord", "a.aspect", "a.better", *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for n, s in (("current", "a"), ("proposed", "b")) for c in ("value", "known")], F.col("a.text").alias("current"), F.col("b.text").alias("proposed"))
     x, y = F.col("current_value"), F.col("proposed_value")
     up = F.col("better").isin("higher", "yes")
     change = (

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.operators import answers, scoring, validation
+from parchment.operators import answers, comparison, scoring, validation
 
 
 @pytest.mark.parametrize("field,value,want", [
@@ -68,3 +68,15 @@ def test_cross_checked(spark):
     df = spark.createDataFrame(rows, "k int, annual_premium long, sum_insured long, room_rent_limit_present boolean, room_rent_limit string, exclusion_count int, permanent_exclusions array<string>, validation_notes array<string>")
     got = [(r.room_rent_limit_present, r.exclusion_count, [n[:7] for n in r.validation_notes]) for r in validation.cross_checked(df).orderBy("k").collect()]
     assert got == [(True, 2, ["old", "Premium"]), (False, 7, []), (None, None, []), (None, None, [])]
+
+
+def test_pairs_meet_by_lists(spark):
+    """Two joins, one for each side; the aspects of a pair don't meet row by row."""
+    policy = "policy_id int, x struct<" + ", ".join(f"{k}:double" for _, side, k, _, _ in comparison.ASPECTS if side == "x") + ">, f struct<" + ", ".join(f"{k}:double" for _, side, k, _, _ in comparison.ASPECTS if side == "f") + ">, score int, given struct<sum_insured:double,annual_premium:double>"
+    x, f = sum(a[1] == "x" for a in comparison.ASPECTS), sum(a[1] == "f" for a in comparison.ASPECTS)
+    policies = spark.createDataFrame([(1, (1.0,) * x, (1.0,) * f, 5, (1.0, 1.0)), (2, (1.0,) * x, (2.0,) * f, 4, (1.0, 1.0))], policy)
+    got = comparison.compared(spark.createDataFrame([(7, 1, 2), (8, 2, 1)], "pair_id int, current int, proposed int"), policies)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert got.count() == 2 * (len(comparison.ASPECTS) + 1)
+    last = {r.pair_id: (r.current, r.proposed, r.change) for r in got.where("aspect = 'Coverage Clarity Score'").collect()}
+    assert last == {7: ("5", "4", "Worse"), 8: ("4", "5", "Improved")}
