@@ -2,7 +2,8 @@
 
 Terms fall into hashed columns, so the matrix has as many rows as there are texts and `columns` columns. A block of
 random directions is multiplied by AᵀA a few times; each product is one pass over the rows, whose partial sums are
-columns x width numbers a task and are added by block. The driver holds such a block and no row of the matrix.
+columns x width numbers a task and are added by block. The driver holds such a block and no row of the matrix. Texts
+are split into terms once; a few rows at a time are spread out as a full matrix, whose products need no sorting.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def rows_of(texts: DataFrame, key: str, stop: list[str], columns: int, idf: Data
     terms = F.transform(term_list(F.coalesce("text", F.lit("")), stop), lambda t: F.pmod(t, F.lit(columns)).cast("int"))
     rows = texts.select(key, terms.alias("_terms"))
     if idf is None:
+        rows = stored(rows)
         df = kept(rows.select(F.explode(F.concat(F.array_distinct("_terms"), F.array(F.lit(-1)))).alias("column")).groupBy("column").agg(F.count("*").alias("df")))
         n = df.where("column = -1").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
         idf = kept(df.where("column >= 0").select("column", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
@@ -68,13 +70,15 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(many)), many), at.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
 
 
-def _times(row: np.ndarray, column: np.ndarray, weight: np.ndarray, rows: int, block: np.ndarray) -> np.ndarray:
-    """The batch's rows times block."""
-    out = np.zeros((rows, block.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(weight[:, None] * block[column], first)
-    return out
+def _spread(batches, columns: int):
+    """Parts of batches with their rows as a full matrix; one matrix a task, used again and again."""
+    full = None
+    for batch in _parts(batches):
+        row, column, weight = _flat(batch)
+        full = np.zeros((ROWS, columns)) if full is None else full
+        full[row, column] = weight
+        yield batch, full[: batch.num_rows]
+        full[row, column] = 0
 
 
 def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
@@ -84,16 +88,9 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
 
     def run(batches):
         out = None
-        for batch in _parts(batches):
-            row, column, weight = _flat(batch)
-            if not len(row):
-                continue
-            got = _times(row, column, weight, batch.num_rows, sent.value)
-            order = np.argsort(column, kind="stable")
-            column = column[order]
-            first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+        for _, rows_ in _spread(batches, columns):
             out = np.zeros((columns, width)) if out is None else out
-            out[column[first]] += np.add.reduceat(weight[order][:, None] * got[row[order]], first)
+            out += rows_.T @ (rows_ @ sent.value)
         if out is not None:
             parts = [out[i : i + BLOCK].tobytes() for i in range(0, columns, BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], names=["block", "sums"])
@@ -113,39 +110,44 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Latent:
-    """basis: columns x rank right singular vectors; strength: their singular values; idf(column, idf)."""
+    """basis: columns x rank right singular vectors; strength: their singular values; idf(column, idf); rows: those of the texts that made it."""
 
     basis: np.ndarray
     strength: np.ndarray
     idf: DataFrame
     stop: list[str]
+    rows: DataFrame
 
     def vectors(self, texts: DataFrame, key: str) -> DataFrame:
         """(key, v) of texts(key, text): rows times basis, of unit length; a text without known terms has none."""
-        rows, _ = rows_of(texts, key, self.stop, len(self.basis), self.idf)
-        sent = texts.sparkSession.sparkContext.broadcast(self.basis)
+        return self._turned(rows_of(texts, key, self.stop, len(self.basis), self.idf)[0], key)
+
+    def own(self) -> DataFrame:
+        """(key, v) of the texts that made it, whose rows are there."""
+        return self._turned(self.rows, self.rows.columns[0])
+
+    def _turned(self, rows: DataFrame, key: str) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(self.basis)
 
         def run(batches):
-            for batch in _parts(batches):
-                row, column, weight = _flat(batch)
-                got = _times(row, column, weight, batch.num_rows, sent.value)
+            for batch, full in _spread(batches, len(sent.value)):
+                got = full @ sent.value
                 size = np.sqrt((got * got).sum(1))
                 got /= np.where(size > 1e-12, size, 1)[:, None]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1]), pa.int32()), pa.array(got.reshape(-1)), mask=pa.array(size <= 1e-12))
                 yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[key, "v"])
 
-        kind = dict(rows.dtypes)[key]
-        return rows.mapInArrow(run, f"`{key}` {kind}, v array<double>")
+        return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, v array<double>")
 
 
 def fit(texts: DataFrame, key: str, stop: list[str], rank: int = RANK, columns: int = COLUMNS, more: int = MORE, passes: int = PASSES, seed: int = 3) -> Latent:
     """The first rank directions of texts(key, text); more: directions besides, that make the first ones sure."""
     rows, idf = rows_of(texts, key, stop, columns)
-    rows = stored(rows.select("_at", "_w"))
+    rows = stored(rows)
     block = np.random.default_rng(seed).standard_normal((columns, rank + more))
     for _ in range(passes):
         block = np.linalg.qr(gram_times(rows, block))[0]
     small = block.T @ gram_times(rows, block)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:rank]
-    return Latent(block @ turn[:, order], np.sqrt(np.maximum(values[order], 0)), idf, stop)
+    return Latent(block @ turn[:, order], np.sqrt(np.maximum(values[order], 0)), idf, stop, rows)

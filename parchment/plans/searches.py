@@ -154,7 +154,7 @@ def hybrid_policy_search(spark, d):
     sparse = indexes.sparse_scores(index, "doc_id", "chunk", asks, questions, indexes.STOP_WORDS)
     named = chunks.select(F.struct("doc_id", "chunk").alias("id"), "text")
     model = latent.fit(named, "id", indexes.STOP_WORDS)
-    vectors = model.vectors(named, "id").select("id.doc_id", "id.chunk", "v")
+    vectors = model.own().select("id.doc_id", "id.chunk", "v")
     asked = model.vectors(questions, "query_id").withColumnRenamed("v", "qv")
     dense = indexes.dense_scores(vectors, "doc_id", "chunk", asks, asked)
     mode = chunks.select("doc_id", F.lit(True).alias("hybrid")).distinct()

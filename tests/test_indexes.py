@@ -229,3 +229,18 @@ def test_lexical_heads_of_blocks(spark, monkeypatch):
     scored = sum(1 for c in counts(asked).values() for u in units.values() if unit(c).keys() & u.keys())
     monkeypatch.undo()
     assert retrieval.lexical_heads(*frames, "k", []).count() < scored  # not a row for each pair that shares a term
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """Frequencies, passes and the vectors of the texts themselves come from rows that were split once; more rows than one matrix holds, and one without terms."""
+    words = ["room", "rent", "care", "claim", "bonus", "cover", "limit", "share"]
+    texts = [(i, " ".join(words[(i * j + j * j) % 8] for j in range(3 + i % 9))) for i in range(2 * latent.ROWS + 5)] + [(-1, ""), (-2, None)]
+    df = spark.createDataFrame(texts, "k long, text string")
+    split = []
+    monkeypatch.setattr(latent, "term_list", lambda *a: split.append(a) or retrieval.term_list(*a))
+    model = latent.fit(df, "k", [], rank=4, columns=64)
+    own = {r.k: r.v for r in model.own().collect()}
+    assert len(split) == 1
+    other = {r.k: r.v for r in model.vectors(df, "k").collect()}
+    assert len(own) == len(texts) and own[-1] is None and own[-2] is None
+    assert all((v is None and own[k] is None) or np.allclose(v, own[k], atol=1e-12) for k, v in other.items())
